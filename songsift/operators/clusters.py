@@ -30,11 +30,12 @@ def fit_many(
     features: str = "scaledFeatures",
     seed: int = 1,
     parallelism: int = 1,
-) -> dict[int, KMeansModel]:
-    """One model per k; ``df`` should be settled, since every fit reads it."""
+) -> dict[int, tuple[KMeansModel, float]]:
+    """Model and silhouette per k; ``df`` should be settled, since every fit reads it."""
 
-    def fit(k: int) -> KMeansModel:
-        return fit_kmeans(df, k, features, seed)
+    def fit(k: int) -> tuple[KMeansModel, float]:
+        model = fit_kmeans(df, k, features, seed)
+        return model, float(silhouette(model.transform(df), features))
 
     with ThreadPool(min(parallelism, len(ks))) as pool:
         return dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)))
@@ -57,8 +58,9 @@ def sweep_k(
     parallelism: int = 1,
 ) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """``k, silhouette`` for each k, and the fitted models for later use."""
-    models = fit_many(df, ks, features, seed, parallelism)
-    rows = [(k, float(silhouette(model.transform(df), features))) for k, model in models.items()]
+    fitted = fit_many(df, ks, features, seed, parallelism)
+    rows = [(k, score) for k, (_, score) in fitted.items()]
+    models = {k: model for k, (model, _) in fitted.items()}
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double"), models
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songsift.functions.numeric import is_missing
 from songsift.operators.joins import lookup
+from songsift.session import settle
 
 EARTH_RADIUS_KM = 6371.0088
 
@@ -42,48 +44,51 @@ def nearest_country(
     one cube edge of a point lies in one of the 27 cubes around it.  Small cubes
     come first, so that most points are settled among few places; the others go
     on to larger cubes, up to an edge of ``max_km``.  A point with no place that
-    near gets null.  Equal distances go to the smaller ``place_id``.
+    near gets null.  Equal distances go to the smaller ``place_id``.  Each round
+    is written out, so that the next one does not run it again.
     """
     sites = _add_sphere(
-        places.groupBy("lat", "lon").agg(
-            F.min(F.struct("place_id", "country")).alias("place")
-        ),
+        places.groupBy("lat", "lon").agg(F.min(F.struct("place_id", "country")).alias("place")),
         "p",
         "lat",
         "lon",
     ).select("px", "py", "pz", "place")
-    found = _add_sphere(points, "q", "lat", "lon").withColumn(
-        "best", F.lit(None).cast("struct<d:double,place_id:bigint,country:string>")
-    )
-    shifts = F.array(*[F.lit(s) for s in (-1, 0, 1)])
+    open_points = settle(_add_sphere(points, "q", "lat", "lon"), "points")
+    done = []
     for km in (max_km / 64, max_km / 8, max_km):
-        edge = _chord(km)
-        around = sites
-        for axis in "xyz":
-            around = around.withColumn(f"d{axis}", F.explode(shifts))
-        neighbour = [cell + F.col(f"d{axis}") for axis, cell in zip("xyz", _cube("p", edge))]
-        around = around.select("px", "py", "pz", "place", F.xxhash64(*neighbour).alias("cube"))
-        open_points = found.withColumn(
-            "cube", F.when(F.col("best").isNull(), F.xxhash64(*_cube("q", edge)))
-        )
-        squared = sum(
-            (F.col(f"q{axis}") - F.col(f"p{axis}")) * (F.col(f"q{axis}") - F.col(f"p{axis}"))
-            for axis in "xyz"
-        )
-        candidate = F.when(
-            squared <= edge * edge,
-            F.struct(
-                squared.alias("d"),
-                F.col("place.place_id").cast("bigint").alias("place_id"),
-                F.col("place.country").alias("country"),
-            ),
-        )
-        found = (
-            lookup(open_points, around, "cube", "left", ["lat", "lon"], rows_per_task)
-            .groupBy("lat", "lon", "qx", "qy", "qz")
-            .agg(F.min(F.coalesce("best", candidate)).alias("best"))
-        )
-    return found.select("lat", "lon", F.col("best.country").alias("artist_country"))
+        found = settle(_nearest_within(open_points, sites, km, rows_per_task), "nearest")
+        done.append(found.filter("best IS NOT NULL"))
+        open_points = found.filter("best IS NULL").drop("best")
+    unmatched = open_points.withColumn("best", F.lit(None).cast(found.schema["best"].dataType))
+    return reduce(DataFrame.unionByName, [*done, unmatched]).select(
+        "lat", "lon", F.col("best.country").alias("artist_country")
+    )
+
+
+def _nearest_within(
+    points: DataFrame, sites: DataFrame, km: float, rows_per_task: int
+) -> DataFrame:
+    """Every point with its nearest place within ``km`` as ``best``, null if there is none."""
+    edge = _chord(km)
+    around = sites
+    for axis in "xyz":
+        around = around.withColumn(f"d{axis}", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    neighbour = [cell + F.col(f"d{axis}") for axis, cell in zip("xyz", _cube("p", edge))]
+    # Two cubes with the same hash only add places that the distance rules out.
+    around = around.select("px", "py", "pz", "place", F.xxhash64(*neighbour).alias("cube"))
+    cubed = points.withColumn("cube", F.xxhash64(*_cube("q", edge)))
+    steps = [F.col(f"q{axis}") - F.col(f"p{axis}") for axis in "xyz"]
+    squared = steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
+    candidate = F.struct(
+        squared.alias("d"),
+        F.col("place.place_id").alias("place_id"),
+        F.col("place.country").alias("country"),
+    )
+    return (
+        lookup(cubed, around, "cube", "left", ["lat", "lon"], rows_per_task)
+        .groupBy("lat", "lon", "qx", "qy", "qz")
+        .agg(F.min(F.when(squared <= edge * edge, candidate)).alias("best"))
+    )
 
 
 def enrich_country(

@@ -189,13 +189,14 @@ def artist_sweep(
     All k are scored in one pass over the known pairs.  ``artists`` should be
     settled, since every fit reads it.
     """
-    models = fit_many(artists, ks, features, seed, parallelism)
+    fitted = fit_many(artists, ks, features, seed, parallelism)
+    models = {k: model for k, (model, _) in fitted.items()}
     assigned = artists.select("artist_id", features)
     for k, model in models.items():
         assigned = model.copy({model.predictionCol: f"k{k}"}).transform(assigned)
     scores = _evaluate(assigned, truth, [f"k{k}" for k in ks], rows_per_task)
     rows = [
-        (k, size, float(silhouette(assigned, features, f"k{k}")), average, largest)
+        (k, size, fitted[k][1], average, largest)
         for k, (size, average, largest) in zip(ks, scores)
     ]
     table = artists.sparkSession.createDataFrame(
