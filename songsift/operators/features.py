@@ -20,6 +20,7 @@ from songsift.functions.lists import first_listed, parse_list
 from songsift.functions.numeric import round_int, shift_round
 from songsift.operators.quality import drop_missing, drop_zero
 from songsift.schemas import GENRES
+from songsift.session import settle
 
 
 def assemble(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
@@ -59,20 +60,20 @@ def round_features(df: DataFrame, loudness_shift: float = 100.0) -> DataFrame:
     )
 
 
+def song_label(df: DataFrame, vocabulary: list[str], terms: str = "artist_terms") -> Column:
+    """The first of the song's own terms that is in ``vocabulary``; case matters."""
+    is_text = isinstance(df.schema[terms].dataType, T.StringType)
+    return first_listed(parse_list(F.col(terms)) if is_text else F.col(terms), vocabulary)
+
+
 def derive_label(
     df: DataFrame,
     vocabulary: list[str] = GENRES,
     terms: str = "artist_terms",
     label: str = "filtered_genre",
 ) -> DataFrame:
-    """Label each song with the first of its terms that is in ``vocabulary``.
-
-    The song's own term order decides and case matters; songs without such a
-    term are dropped, and so is the term column.
-    """
-    is_text = isinstance(df.schema[terms].dataType, T.StringType)
-    tokens = parse_list(F.col(terms)) if is_text else F.col(terms)
-    return keep_labelled(df.withColumn(label, first_listed(tokens, vocabulary)), label).drop(terms)
+    """Label the songs; those without a known term are dropped, and so is the term column."""
+    return keep_labelled(df.withColumn(label, song_label(df, vocabulary, terms)), label).drop(terms)
 
 
 def keep_labelled(df: DataFrame, label: str) -> DataFrame:
@@ -110,6 +111,8 @@ def prepare_classification(df: DataFrame, vocabulary: list[str] = GENRES) -> Dat
     """The classification frame: clean, round, scale, label and index the songs.
 
     The scaling range is taken over all clean songs, before unlabelled ones go.
+    The catalogue is read and its terms are parsed once: the rounded and
+    labelled songs are settled, and both fits run on that narrow table.
     """
     clean = drop_zero(
         drop_missing(
@@ -121,10 +124,15 @@ def prepare_classification(df: DataFrame, vocabulary: list[str] = GENRES) -> Dat
         "tempo",
     )
     rounded = round_features(clean).select(
-        "loudness", "tempo", "duration", "time_signature", "artist_terms"
+        "loudness",
+        "tempo",
+        "duration",
+        "time_signature",
+        song_label(clean, vocabulary).alias("filtered_genre"),
     )
-    scaled = minmax_scale(rounded, ["loudness", "tempo", "duration"])
-    return index_label(derive_label(scaled, vocabulary))
+    settled = settle(rounded, "rounded", spread=True)
+    scaled = minmax_scale(settled, ["loudness", "tempo", "duration"])
+    return index_label(keep_labelled(scaled, "filtered_genre"))
 
 
 def split_bucket(columns: list[str], buckets: int = 100) -> Column:

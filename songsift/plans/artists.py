@@ -14,7 +14,7 @@ def artist_vectors(
     songs: DataFrame, features: list[str] = ARTIST_CLUSTER_FEATURES
 ) -> DataFrame:
     """Settled artists with their scaled feature vector."""
-    return settle(standard_scale(artist_features(songs, features), features), "artists")
+    return standard_scale(settle(artist_features(songs, features), "artists", spread=True), features)
 
 
 def compare_artist_clusterings(

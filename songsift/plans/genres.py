@@ -22,7 +22,7 @@ def training_split(
     songs: DataFrame, vocabulary: list[str] = GENRES, share: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """The prepared songs as settled training and test rows."""
-    frame = settle(prepare_classification(songs, vocabulary), "classification")
+    frame = settle(prepare_classification(songs, vocabulary), "classification", spread=True)
     return hash_split(frame, SPLIT_KEY, share)
 
 

@@ -17,7 +17,7 @@ def song_vectors(
     """Settled songs with their scaled feature vector; only the needed columns are kept."""
     columns = list(dict.fromkeys([*keep, *features]))
     complete = drop_missing(songs.select(*columns), features)
-    return settle(standard_scale(complete, features).drop("features"), "songs")
+    return standard_scale(settle(complete, "songs", spread=True), features).drop("features")
 
 
 def cluster_songs(

@@ -328,7 +328,7 @@ def best_k_fixed(spark, sf_dir):
 
 
 def _embedding_model(spark, sf_dir, k=10):
-    points = settle(vectors(spark, sf_dir).drop("prediction"), "embeddings")
+    points = settle(vectors(spark, sf_dir).drop("prediction"), "embeddings", spread=True)
     return points, fit_kmeans(points, k)
 
 

@@ -29,12 +29,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/songsift-{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Iterative fits read their input many times.  A written table cuts the
     lineage, stays columnar and outlives any executor that is lost on the way.
+    With ``spread``, a table of fewer files than the cluster has cores is
+    written once more with a file per core, so that a fit, which is heavy for
+    each row, keeps all of them busy.  A larger table is left as it is.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(settled.inputFiles()) < cores:
+        return settle(settled.repartition(cores), name)
+    return settled
