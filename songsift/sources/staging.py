@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
-# Not a value a catalogue holds, so null and the empty string stay apart.
-_NULL = "\\N"
+# Files are read whole, one task each, since a value may span lines; Spark writes
+# one file per task, so their size follows the partitions of the written frame.
+_CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "multiLine": True,
+    "nullValue": "\\N",
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _escaped(column: Column) -> Column:
+    """A leading backslash is doubled, so that no text looks like the mark for null."""
+    return F.when(column.startswith("\\"), F.concat(F.lit("\\"), column)).otherwise(column)
+
+
+def _unescaped(column: Column) -> Column:
+    doubled = column.startswith("\\\\")
+    return F.when(doubled, F.substring(column, F.lit(2), F.length(column))).otherwise(column)
 
 
 def write_staging_csv(df: DataFrame, path: str) -> None:
     """Write a header CSV; arrays become JSON text."""
-    flat = df.select(
-        *[
-            F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType) else f.name
-            for f in df.schema
-        ]
-    )
-    (
-        flat.write.mode("overwrite")
-        .options(**_CSV, nullValue=_NULL, emptyValue="")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+
+    def flat(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.ArrayType):
+            return F.to_json(field.name).alias(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return _escaped(F.col(field.name)).alias(field.name)
+        return F.col(field.name)
+
+    df.select(*map(flat, df.schema)).write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def read_staging_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a staging CSV back into the types of ``schema``."""
-    flat = T.StructType(
+    text = T.StructType(
         [
             T.StructField(
                 f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType
@@ -38,12 +53,12 @@ def read_staging_csv(spark: SparkSession, path: str, schema: T.StructType) -> Da
             for f in schema
         ]
     )
-    stored = spark.read.schema(flat).options(**_CSV, nullValue=_NULL, emptyValue="").csv(path)
-    return stored.select(
-        *[
-            F.from_json(f.name, f.dataType).alias(f.name)
-            if isinstance(f.dataType, T.ArrayType)
-            else F.col(f.name)
-            for f in schema
-        ]
-    )
+
+    def typed(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.ArrayType):
+            return F.from_json(field.name, field.dataType).alias(field.name)
+        if isinstance(field.dataType, T.StringType):
+            return _unescaped(F.col(field.name)).alias(field.name)
+        return F.col(field.name)
+
+    return spark.read.schema(text).options(**_CSV).csv(path).select(*map(typed, schema))
