@@ -14,7 +14,6 @@ _CSV = {
     "escape": '"',
     "multiLine": True,
     "nullValue": "\\N",
-    "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }

@@ -55,7 +55,6 @@ def test_top_k_keeps_k_rows_per_task(stored):
 def test_artist_features_scans_once_and_hashes_first(stored):
     plan = plan_of(artist_features(stored))
     assert plan.count("FileScan") == 1
-    assert "HashAggregate(keys=[artist_id" in plan.replace("#", " #") or "HashAggregate" in plan
     deepest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
     assert "HashAggregate" in deepest and "partial_sum" in deepest
 

@@ -95,7 +95,7 @@ def ragged(spark, lengths_by_file, lead=0):
 def test_ragged_arrays(spark, span):
     rng = np.random.default_rng(1)
     offsets, values, want = ragged(
-        spark, {"f": [2, 0, 0, 5, 1], "g": [0], "h": list(rng.integers(0, 9, 60)), "i": [0, 3, 0]}
+        spark, {"f": [2, 0, 0, 5, 1], "g": [0], "h": rng.integers(0, 9, 60).tolist(), "i": [0, 3, 0]}
     )
     got = assemble_ragged(offsets, values.repartition(4), span=span)
     assert {(r["file"], r["songidx"]): r["values"] for r in got.collect()} == want
