@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,24 +42,42 @@ def mean_by(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.filter(is_valid_nonzero(df, key)).groupBy(key).agg(F.avg(value).alias("mean"))
 
 
-def _tokens(df: DataFrame, column: str):
-    is_text = isinstance(df.schema[column].dataType, T.StringType)
+def list_totals(df: DataFrame, column: str, metrics: list[str]) -> DataFrame:
+    """Songs, and the sum and number of each metric, per different list.
+
+    Songs of one artist share the same list, so this table is far smaller than
+    the catalogue.  Everything that is asked per token can be had from it, and
+    each list is parsed once.
+    """
+    return (
+        df.filter(F.col(column).isNotNull())
+        .groupBy(column)
+        .agg(
+            F.count(F.lit(1)).alias("songs"),
+            *[F.sum(F.when(~is_missing(df, m), F.col(m))).alias(f"sum_{m}") for m in metrics],
+            *[F.count(F.when(~is_missing(df, m), F.col(m))).alias(f"n_{m}") for m in metrics],
+        )
+    )
+
+
+def _tokens(lists: DataFrame, column: str) -> Column:
+    is_text = isinstance(lists.schema[column].dataType, T.StringType)
     return parse_list(F.col(column)) if is_text else F.col(column)
 
 
 def token_count(df: DataFrame, column: str) -> DataFrame:
-    """Occurrences of every token of a list column.
+    """Occurrences of every token of a list column, case kept."""
+    return count_tokens(list_totals(df, column, []), column)
 
-    Songs of one artist share the same list, so equal lists are counted first
-    and only the different ones are parsed and exploded.
-    """
-    lists = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+def count_tokens(lists: DataFrame, column: str) -> DataFrame:
+    """``token_count`` from the totals per list."""
     return (
-        lists.select(F.explode(_tokens(lists, column)).alias("term"), "n")
-        .select(F.trim("term").alias("term"), "n")
+        lists.select(F.explode(_tokens(lists, column)).alias("term"), "songs")
+        .select(F.trim("term").alias("term"), "songs")
         .filter("term != ''")
         .groupBy("term")
-        .agg(F.sum("n").alias("count"))
+        .agg(F.sum("songs").alias("count"))
     )
 
 
@@ -69,15 +87,16 @@ def avg_metrics_by_token(
     """Mean of each metric over the songs whose list holds a term, without case.
 
     ``terms`` is a short list such as the top ten; a term that no song has gets
-    0.0.  A song counts once per term.  Sums and counts are taken per different
-    list before anything is exploded, and a missing metric is left out.
+    0.0.  A song counts once per term, and a missing metric is left out.
     """
+    return average_tokens(list_totals(df, column, metrics), column, metrics, terms)
+
+
+def average_tokens(
+    lists: DataFrame, column: str, metrics: list[str], terms: DataFrame
+) -> DataFrame:
+    """``avg_metrics_by_token`` from the totals per list."""
     names = [f"avg_{m}" for m in metrics]
-    lists = df.groupBy(column).agg(
-        F.count(F.lit(1)).alias("songs"),
-        *[F.sum(F.when(~is_missing(df, m), F.col(m))).alias(f"sum_{m}") for m in metrics],
-        *[F.count(F.when(~is_missing(df, m), F.col(m))).alias(f"n_{m}") for m in metrics],
-    )
     exploded = lists.withColumn(
         "term", F.explode(F.array_distinct(clean_tokens(_tokens(lists, column))))
     ).drop(column)

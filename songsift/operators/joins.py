@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def hot_keys(facts: DataFrame, on: list[str], rows_per_task: int) -> DataFrame:
     return (
         facts.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") > rows_per_task) & F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in on)))
+        .filter(F.col("_n") > rows_per_task)
         .orderBy(F.desc("_n"))
         .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan"))
@@ -35,21 +38,29 @@ def lookup(
 ) -> DataFrame:
     """Join the large ``facts`` to ``dim``, spreading the hot keys of ``facts``.
 
-    The rows of a hot key are dealt over as many salts as the key needs, and
-    only the ``dim`` rows of those keys are repeated per salt.  The salt is a
-    hash of the row, so a task that runs again sends its rows the same way.
-    Rows with a null key match nothing and are dealt out as well.
+    One count per key comes first, so ``facts`` should be cheap to read twice.
+    Without hot keys this is a plain join, for which Spark picks the strategy.
+    Otherwise the rows of a hot key are dealt over as many salts as the key
+    needs, and only the ``dim`` rows of those keys are repeated per salt.  The
+    salt is a hash of the row, so a task that runs again sends its rows the same
+    way.  Rows with a null key match nothing; if they are many, they are dealt
+    out as well.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = F.broadcast(hot_keys(facts, on, rows_per_task))
-    spread = F.xxhash64(*(salt_by or facts.columns))
-    no_key = F.greatest(*[F.col(c).isNull() for c in on]) if len(on) > 1 else F.col(on[0]).isNull()
+    found = hot_keys(facts, on, rows_per_task).collect()  # at most MAX_HOT_KEYS rows
+    if not found:
+        return facts.join(dim, on, how)
+    types = [facts.schema[c].dataType.simpleString() for c in on]
+    schema = ", ".join([f"`{c}` {t}" for c, t in zip(on, types)] + ["_fan int"])
+    hot = F.broadcast(facts.sparkSession.createDataFrame(found, schema))
+    salt = F.xxhash64(*(salt_by or facts.columns))
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
     salted_facts = (
         facts.join(hot, on, "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_fan").isNotNull(), F.pmod(spread, F.col("_fan")))
-            .when(no_key, F.pmod(spread, F.lit(MAX_HOT_KEYS)))
+            F.when(F.col("_fan").isNotNull(), F.pmod(salt, F.col("_fan")))
+            .when(no_key, F.pmod(salt, F.lit(MAX_HOT_KEYS)))
             .otherwise(F.lit(0))
             .cast("int"),
         )

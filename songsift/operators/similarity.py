@@ -54,16 +54,21 @@ def artist_features(
 
 
 def ground_truth(df: DataFrame) -> DataFrame:
-    """``artist_id, similar_artists``: the list of the artist's first song, as an array."""
-    listed = df.filter(F.col("similar_artists").isNotNull())
-    first = listed.groupBy("artist_id").agg(
-        F.min_by("similar_artists", F.struct("song_id", "similar_artists")).alias(
-            "similar_artists"
-        )
+    """``artist_id, similar_artists``: the artist's known similar artists as an array.
+
+    All songs of an artist carry the same long list, so equal lists are merged
+    by hash first.  Should an artist have several, the smallest one is taken.
+    """
+    lists = (
+        df.filter(F.col("similar_artists").isNotNull())
+        .select("artist_id", "similar_artists")
+        .distinct()
+        .groupBy("artist_id")
+        .agg(F.min("similar_artists").alias("similar_artists"))
     )
     if isinstance(df.schema["similar_artists"].dataType, T.StringType):
-        return first.withColumn("similar_artists", parse_list(F.col("similar_artists")))
-    return first
+        return lists.withColumn("similar_artists", parse_list(F.col("similar_artists")))
+    return lists
 
 
 def truth_edges(

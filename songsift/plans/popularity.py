@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songsift.operators.counts import (
-    avg_metrics_by_token,
+    average_tokens,
     count_by,
     count_entities_by,
+    count_tokens,
+    list_totals,
     order_desc,
     token_count,
     top_k,
 )
 from songsift.operators.quality import drop_zero
+from songsift.session import settle
 
 
 def songs_per_year(songs: DataFrame) -> DataFrame:
@@ -40,6 +43,11 @@ def sound_of_popular_terms(
     k: int = 10,
     terms: str = "artist_terms",
 ) -> DataFrame:
-    """Mean of every metric for the ``k`` most common terms."""
-    top = top_k(token_count(songs, terms), k, "count", "term")
-    return avg_metrics_by_token(songs, terms, list(metrics), F.broadcast(top))
+    """Mean of every metric for the ``k`` most common terms.
+
+    The catalogue is read once: the totals per different list are settled, and
+    both the ranking and the means are taken from them.
+    """
+    lists = settle(list_totals(songs, terms, list(metrics)), "lists")
+    top = top_k(count_tokens(lists, terms), k, "count", "term")
+    return average_tokens(lists, terms, list(metrics), F.broadcast(top))

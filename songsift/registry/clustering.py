@@ -51,7 +51,7 @@ _ARTIST_COLUMNS = "artist_id artist_name duration energy loudness tempo year".sp
 
 TRUTH = (
     f"truth AS (SELECT artist_id, {tokens_sql('named')} AS similar_artists FROM"
-    " (SELECT artist_id, min_by(similar_artists, song_id) AS named"
+    " (SELECT artist_id, min(similar_artists) AS named"
     " FROM catalogue GROUP BY artist_id))"
 )
 FEATURES = (
@@ -100,7 +100,7 @@ _EMBEDDED = "SELECT label AS prediction, list_transform(embedding, lambda v: CAS
 
 
 def _truth(spark, sf_dir):
-    return ground_truth(catalogue(spark, sf_dir, "artist_id", "song_id", "similar_artists"))
+    return settle(ground_truth(catalogue(spark, sf_dir, "artist_id", "similar_artists")), "truth")
 
 
 def _one_value(spark, value, name):
@@ -292,7 +292,7 @@ _STANDARD = ", ".join(
 def cluster_eval_fixed(spark, sf_dir):
     scaled = artist_vectors(catalogue(spark, sf_dir, *_ARTIST_COLUMNS)).drop("artist_name")
     assigned = scaled.join(artists(spark, sf_dir), "artist_id")
-    result = evaluate_clusters(assigned, settle(_truth(spark, sf_dir), "truth"))
+    result = evaluate_clusters(assigned, _truth(spark, sf_dir))
     return result.withColumns({c: near(c) for c in result.columns})
 
 
@@ -396,5 +396,5 @@ def kmeans_song_profile(spark, sf_dir):
 
 @query()
 def artist_cluster_sweep(spark, sf_dir):
-    songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "song_id", "similar_artists")
+    songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "similar_artists")
     return compare_artist_clusterings(songs, parallelism=4)

@@ -17,7 +17,7 @@ def facts(spark):
 
 def test_hot_keys_get_tasks_by_size(spark):
     hot = {r["k"]: r["_fan"] for r in hot_keys(facts(spark), ["k"], 100).collect()}
-    assert set(hot) == {7} and hot[7] == 10
+    assert hot == {7: 10, None: 3}
 
 
 def test_lookup_equals_a_plain_join(spark):

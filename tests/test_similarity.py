@@ -40,12 +40,12 @@ def test_artists_with_missing_features_are_dropped(spark):
     assert artist_features(df, None).count() == 3
 
 
-def test_ground_truth_takes_the_first_songs_list(spark):
+def test_ground_truth_has_one_list_per_artist(spark):
     df = spark.createDataFrame(
-        [("A", "S2", "['X']"), ("A", "S1", "['Y', \"Z\"]"), ("B", "S3", None), ("C", "S4", "[]")],
-        "artist_id string, song_id string, similar_artists string",
+        [("A", "['Y', \"Z\"]"), ("A", "['Y', \"Z\"]"), ("B", None), ("C", "[]"), ("D", "['b']"), ("D", "['a']")],
+        "artist_id string, similar_artists string",
     )
-    assert rows(ground_truth(df)) == [("A", ["Y", "Z"]), ("C", [])]
+    assert rows(ground_truth(df)) == [("A", ["Y", "Z"]), ("C", []), ("D", ["a"])]
 
 
 def scored_by_lists(truth, clusters):
