@@ -19,13 +19,14 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
-def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
-    """Register the function under its own name, with its SQL if there is one."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[QueryFn], QueryFn]:
+    """Register the function under ``name``, or its own name, with its SQL if there is one."""
 
     def register(run: QueryFn) -> QueryFn:
-        if run.__name__ in ENTRIES:
-            raise ValueError(f"{run.__name__} is registered twice")
-        ENTRIES[run.__name__] = Entry(run, sql)
+        key = name or run.__name__
+        if key in ENTRIES:
+            raise ValueError(f"{key} is registered twice")
+        ENTRIES[key] = Entry(run, sql)
         return run
 
     return register

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from songsift.functions.lists import clean_tokens, parse_floats, parse_list
+from songsift.functions.sql import register_functions
 from songsift.operators.quality import (
     clip_outliers,
     describe_columns,
@@ -32,7 +33,8 @@ _MEASURES = ["tempo", "loudness", "time_signature", "duration"]
                 ("duration", "duration IS NULL OR isnan(duration)"),
             ]
         )
-    )
+    ),
+    "missing_profile",
 )
 def missing_values(spark, sf_dir):
     return missing_profile(catalogue(spark, sf_dir, *_GAPPY))
@@ -64,13 +66,17 @@ def describe_features(spark, sf_dir):
         " WHERE gappy_tempo IS NOT NULL AND NOT isnan(gappy_tempo)"
         " AND gappy_loudness IS NOT NULL AND NOT isnan(gappy_loudness)"
         " AND gappy_title IS NOT NULL AND NOT isnan(duration)"
-    )
+    ),
+    "drop_missing",
 )
 def drop_missing_rows(spark, sf_dir):
     return drop_missing(catalogue(spark, sf_dir, *_GAPPY))
 
 
-@query(over_catalogue("SELECT song_id, gappy_title FROM catalogue WHERE gappy_title IS NOT NULL"))
+@query(
+    over_catalogue("SELECT song_id, gappy_title FROM catalogue WHERE gappy_title IS NOT NULL"),
+    "drop_null",
+)
 def drop_null_rows(spark, sf_dir):
     return drop_null(catalogue(spark, sf_dir, "song_id", "gappy_title"), "gappy_title")
 
@@ -79,7 +85,8 @@ def drop_null_rows(spark, sf_dir):
     over_catalogue(
         "SELECT song_id, gappy_loudness, gappy_title FROM catalogue WHERE gappy_title IS NOT NULL"
         " AND gappy_loudness IS NOT NULL AND NOT isnan(gappy_loudness)"
-    )
+    ),
+    "drop_na",
 )
 def drop_na_rows(spark, sf_dir):
     return drop_na(catalogue(spark, sf_dir, "song_id", "gappy_loudness", "gappy_title"))
@@ -89,7 +96,8 @@ def drop_na_rows(spark, sf_dir):
     over_catalogue(
         "SELECT song_id, tempo, time_signature FROM catalogue"
         " WHERE tempo <> 0 AND time_signature <> 0"
-    )
+    ),
+    "drop_zero",
 )
 def drop_zero_rows(spark, sf_dir):
     songs = catalogue(spark, sf_dir, "song_id", "tempo", "time_signature")
@@ -100,7 +108,8 @@ def drop_zero_rows(spark, sf_dir):
     over_catalogue(
         "SELECT song_id, duration FROM catalogue, (SELECT quantile_cont(duration, 0.01) AS lo,"
         " quantile_cont(duration, 0.99) AS hi FROM catalogue) WHERE duration BETWEEN lo AND hi"
-    )
+    ),
+    "clip_outliers",
 )
 def clip_outlier_durations(spark, sf_dir):
     return clip_outliers(catalogue(spark, sf_dir, "song_id", "duration"), "duration", tail=0.01)
@@ -157,3 +166,18 @@ def token_clean(spark, sf_dir):
     padded = F.concat(F.lit(" "), F.upper(F.replace("title", F.lit(" "), F.lit(" , "))), F.lit(" , Rock"))
     tokens = clean_tokens(F.split(padded, ","))
     return songs.select("song_id", F.array_join(tokens, "|").alias("tokens"))
+
+
+@query(
+    over_catalogue(
+        "SELECT song_id, array_to_string(terms, '|') AS terms"
+        f" FROM (SELECT song_id, {tokens_sql('artist_terms')} AS terms FROM catalogue)"
+    )
+)
+def list_parse_sql(spark, sf_dir):
+    """The parser as a function of Spark SQL."""
+    register_functions(spark)
+    return spark.sql(
+        "SELECT song_id, array_join(parseStringList(artist_terms), '|') AS terms FROM {songs}",
+        songs=catalogue(spark, sf_dir, "song_id", "artist_terms"),
+    )

@@ -115,7 +115,8 @@ def _one_value(spark, value, name):
         + ", ".join(f"{near_sql(c)} AS {c}" for c in ARTIST_CLUSTER_FEATURES)
         + ", yearFirstSong, yearLastSong FROM features",
         FEATURES,
-    )
+    ),
+    "artist_features",
 )
 def artist_frame(spark, sf_dir):
     frame = artist_features(catalogue(spark, sf_dir, *_ARTIST_COLUMNS))
@@ -126,14 +127,16 @@ def artist_frame(spark, sf_dir):
     over_catalogue(
         "SELECT artist_id, array_to_string(similar_artists, '|') AS similar_artists FROM truth",
         TRUTH,
-    )
+    ),
+    "ground_truth",
 )
 def known_similar_artists(spark, sf_dir):
     return _truth(spark, sf_dir).withColumn("similar_artists", F.array_join("similar_artists", "|"))
 
 
 @query(
-    f'WITH {ARTISTS_SQL} SELECT prediction, count(*) AS "count" FROM artists GROUP BY prediction'
+    f'WITH {ARTISTS_SQL} SELECT prediction, count(*) AS "count" FROM artists GROUP BY prediction',
+    "cluster_sizes",
 )
 def sizes_of_clusters(spark, sf_dir):
     return cluster_sizes(artists(spark, sf_dir))
@@ -141,7 +144,8 @@ def sizes_of_clusters(spark, sf_dir):
 
 @query(
     f"WITH {ARTISTS_SQL} SELECT {near_sql('avg(n)')} AS \"avgPerCluster\" FROM"
-    " (SELECT count(*) AS n FROM artists GROUP BY prediction)"
+    " (SELECT count(*) AS n FROM artists GROUP BY prediction)",
+    "avg_cluster_size",
 )
 def mean_cluster_size(spark, sf_dir):
     return avg_cluster_size(artists(spark, sf_dir)).withColumn(
@@ -156,7 +160,8 @@ def mean_cluster_size(spark, sf_dir):
         " USING (artist_id) GROUP BY prediction",
         ARTISTS_SQL,
         FEATURES,
-    )
+    ),
+    "cluster_profile",
 )
 def profile_of_clusters(spark, sf_dir):
     frame = artist_features(catalogue(spark, sf_dir, *_ARTIST_COLUMNS)).drop("artist_name")
@@ -171,7 +176,8 @@ def profile_of_clusters(spark, sf_dir):
     " FROM artists GROUP BY prediction) SELECT prediction, list,"
     " string_agg(artist_id, '|' ORDER BY artist_id) AS members FROM (SELECT prediction, artist_id,"
     " CAST(CAST('0x' || substr(md5(artist_id), 1, 8) AS BIGINT) % 2147483648 % n AS INTEGER) AS list"
-    " FROM artists JOIN lists USING (prediction)) GROUP BY prediction, list"
+    " FROM artists JOIN lists USING (prediction)) GROUP BY prediction, list",
+    "cluster_members",
 )
 def members_of_clusters(spark, sf_dir):
     lists = cluster_members(artists(spark, sf_dir), "artist_id", per_list=50)
@@ -181,7 +187,8 @@ def members_of_clusters(spark, sf_dir):
 @query(
     f"WITH {ARTISTS_SQL} SELECT prediction, string_agg(artist_name, '|' ORDER BY artist_name)"
     " AS names FROM (SELECT prediction, artist_name, row_number() OVER (PARTITION BY prediction"
-    " ORDER BY artist_name) AS rn FROM artists) WHERE rn <= 10 GROUP BY prediction"
+    " ORDER BY artist_name) AS rn FROM artists) WHERE rn <= 10 GROUP BY prediction",
+    "cluster_names",
 )
 def names_of_clusters(spark, sf_dir):
     return cluster_names(artists(spark, sf_dir), 10).withColumn("names", F.array_join("names", "|"))
@@ -195,7 +202,8 @@ def names_of_clusters(spark, sf_dir):
         ARTISTS_SQL,
         TRUTH,
         EDGES,
-    )
+    ),
+    "cluster_peers",
 )
 def known_peers(spark, sf_dir):
     return cluster_peers(_truth(spark, sf_dir), artists(spark, sf_dir))
@@ -217,7 +225,8 @@ def peers_of_busiest_artist(spark, sf_dir):
 
 
 @query(
-    f"WITH {ARTISTS_SQL} SELECT artist_id, artist_name, prediction FROM artists WHERE prediction = 0"
+    f"WITH {ARTISTS_SQL} SELECT artist_id, artist_name, prediction FROM artists WHERE prediction = 0",
+    "filter_cluster",
 )
 def rows_of_cluster(spark, sf_dir):
     return filter_cluster(artists(spark, sf_dir), 0)
@@ -234,7 +243,8 @@ def overlap_score(spark, sf_dir):
         f'SELECT {near_sql("avg(percent)")} AS "avgPercent", {near_sql("max(percent)")} AS "maxPercent"'
         " FROM scores",
         *_OVERLAP,
-    )
+    ),
+    "overlap_summary",
 )
 def overlap_mean_max(spark, sf_dir):
     summary = overlap_summary(score_overlap(_truth(spark, sf_dir), artists(spark, sf_dir)))
@@ -394,7 +404,7 @@ def kmeans_song_profile(spark, sf_dir):
     return cluster_profile(songs, SONG_CLUSTER_FEATURES)
 
 
-@query()
+@query(name="artist_sweep")
 def artist_cluster_sweep(spark, sf_dir):
     songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "similar_artists")
     return compare_artist_clusterings(songs, parallelism=4)

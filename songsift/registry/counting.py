@@ -96,7 +96,7 @@ def artists_per_location_approx(spark, sf_dir):
     return count_entities_by(songs, "artist_location", "artist_id", approx=True)
 
 
-@query(over_catalogue("SELECT * FROM terms", _TERMS))
+@query(over_catalogue("SELECT * FROM terms", _TERMS), "token_count")
 def token_counts(spark, sf_dir):
     return popular_terms(catalogue(spark, sf_dir, "artist_terms"))
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from songsift.functions.lists import parse_list
 from songsift.operators.enrich import enrich_country, enrich_tags
+from songsift.plans.ingest import build_catalogue
 from songsift.registry import query
 from songsift.registry.data import catalogue, over_catalogue, table, tokens_sql
-from songsift.schemas import SONG_GROUPS
+from songsift.schemas import CATALOGUE, SONG_GROUPS
 from songsift.session import scratch_path
 from songsift.sources.catalogue import (
     decode_text_columns,
     read_catalogue,
     select_song_fields,
+    typed_catalogue,
     write_catalogue,
 )
 from songsift.sources.files import list_files
@@ -22,27 +25,33 @@ from songsift.sources.staging import read_staging_csv, write_staging_csv
 _MAX_KM = 800.0
 
 
-@query(
-    "WITH places AS (SELECT s_suppkey AS place_id, n_name AS country,"
+_SPHERE = (
+    "cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y,"
+    " sin(radians(lat)) AS z"
+)
+_NEAREST = (
+    "places AS (SELECT s_suppkey AS place_id, n_name AS country,"
     " CAST(s_suppkey * 7919 % 16000 AS DOUBLE) / 100 - 80 AS lat,"
     " CAST(s_suppkey * 104729 % 36000 AS DOUBLE) / 100 - 180 AS lon"
-    " FROM supplier JOIN nation ON s_nationkey = n_nationkey),"
-    " sphere AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x,"
-    " cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM places), "
-    + over_catalogue("", "coords AS (SELECT DISTINCT artist_latitude AS lat, artist_longitude AS lon"
-    " FROM catalogue WHERE NOT isnan(artist_latitude))")[len("WITH "):]
-    + ", points AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x,"
-    " cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM coords),"
-    " pairs AS (SELECT p.lat, p.lon, s.country, s.place_id,"
+    " FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
+    f"sites AS (SELECT *, {_SPHERE} FROM places)",
+    f"points AS (SELECT *, {_SPHERE} FROM (SELECT DISTINCT artist_latitude AS lat,"
+    " artist_longitude AS lon FROM catalogue WHERE NOT isnan(artist_latitude)))",
+    "pairs AS (SELECT p.lat, p.lon, s.country, s.place_id,"
     " (p.x-s.x)*(p.x-s.x) + (p.y-s.y)*(p.y-s.y) + (p.z-s.z)*(p.z-s.z) AS d"
-    " FROM points p, sphere s),"
-    " nearest AS (SELECT lat, lon, min_by(country, (d, place_id)) AS artist_country FROM pairs"
-    f" WHERE d <= power(2 * sin({_MAX_KM} / (2 * 6371.0088)), 2) GROUP BY lat, lon)"
-    " SELECT song_id, artist_id, artist_country FROM catalogue LEFT JOIN nearest"
-    " ON artist_latitude = lat AND artist_longitude = lon"
+    " FROM points p, sites s)",
+    "nearest AS (SELECT lat, lon, min_by(country, (d, place_id)) AS artist_country FROM pairs"
+    f" WHERE d <= power(2 * sin({_MAX_KM} / (2 * 6371.0088)), 2) GROUP BY lat, lon)",
 )
-def country_of_song(spark, sf_dir):
-    places = (
+_TAGS = (
+    "tags AS (SELECT c_name, lower(c_mktsegment) || '|nation ' || c_nationkey AS artist_genre"
+    " FROM customer WHERE c_custkey % 5 <> 0)"
+)
+
+
+def _places(spark, sf_dir):
+    """Suppliers as places, spread over the globe."""
+    return (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
         .selectExpr(
@@ -52,24 +61,41 @@ def country_of_song(spark, sf_dir):
             "n_name AS country",
         )
     )
+
+
+def _tags(spark, sf_dir):
+    """Tags for four customers out of five."""
+    return table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").selectExpr(
+        "c_name AS artist_name", "array(lower(c_mktsegment), 'nation ' || c_nationkey) AS tags"
+    )
+
+
+@query(
+    over_catalogue(
+        "SELECT song_id, artist_id, artist_country FROM catalogue LEFT JOIN nearest"
+        " ON artist_latitude = lat AND artist_longitude = lon",
+        *_NEAREST,
+    ),
+    "enrich_country",
+)
+def country_of_song(spark, sf_dir):
     songs = catalogue(
         spark, sf_dir, "song_id", "artist_id", "artist_latitude", "artist_longitude"
     )
-    return enrich_country(songs, places, _MAX_KM).drop("artist_latitude", "artist_longitude")
+    enriched = enrich_country(songs, _places(spark, sf_dir), _MAX_KM)
+    return enriched.select("song_id", "artist_id", "artist_country")
 
 
 @query(
     over_catalogue(
-        "SELECT song_id, artist_name, tags AS artist_genre FROM catalogue LEFT JOIN"
-        " (SELECT c_name, lower(c_mktsegment) || '|nation ' || c_nationkey AS tags FROM customer"
-        " WHERE c_custkey % 5 <> 0) ON artist_name = c_name"
-    )
+        "SELECT song_id, artist_name, artist_genre FROM catalogue"
+        " LEFT JOIN tags ON artist_name = c_name",
+        _TAGS,
+    ),
+    "enrich_tags",
 )
 def tags_of_song(spark, sf_dir):
-    tags = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").selectExpr(
-        "c_name AS artist_name", "array(lower(c_mktsegment), 'nation ' || c_nationkey) AS tags"
-    )
-    songs = enrich_tags(catalogue(spark, sf_dir, "song_id", "artist_name"), tags)
+    songs = enrich_tags(catalogue(spark, sf_dir, "song_id", "artist_name"), _tags(spark, sf_dir))
     return songs.withColumn("artist_genre", F.array_join("artist_genre", "|"))
 
 
@@ -132,15 +158,9 @@ _TRIP_SQL = over_catalogue(
 )
 
 
-def _typed(spark, sf_dir):
-    from songsift.sources.catalogue import typed_catalogue
-
-    return typed_catalogue(catalogue(spark, sf_dir, *_TRIP))
-
-
 @query(_TRIP_SQL)
 def csv_round_trip(spark, sf_dir):
-    songs = _typed(spark, sf_dir)
+    songs = typed_catalogue(catalogue(spark, sf_dir, *_TRIP))
     path = scratch_path(spark, "staging")
     write_staging_csv(songs, path)
     back = read_staging_csv(spark, path, songs.schema)
@@ -172,6 +192,27 @@ def decode_text(spark, sf_dir):
     return decode_text_columns(stored).withColumn("words", F.array_join("words", "|"))
 
 
+def _records(spark, sf_dir):
+    """The catalogue as nested song records, text as bytes."""
+    songs = catalogue(spark, sf_dir)
+    parsed = songs.withColumn("artist_terms", parse_list(F.col("artist_terms")))
+
+    def field(name):
+        if name not in songs.columns:
+            return F.lit(None).cast(CATALOGUE[name].dataType).alias(name)
+        if name == "artist_terms":
+            return F.transform(name, lambda term: F.encode(term, "UTF-8")).alias(name)
+        is_text = songs.schema[name].dataType.simpleString() == "string"
+        return (F.encode(name, "UTF-8") if is_text else F.col(name)).alias(name)
+
+    return parsed.select(
+        *[
+            F.struct(*map(field, names), F.col("energy").alias("unused")).alias(group)
+            for group, names in SONG_GROUPS.items()
+        ]
+    )
+
+
 @query(
     over_catalogue(
         "SELECT artist_id, song_id, title, year, round(duration, 6) AS duration, tempo"
@@ -179,20 +220,38 @@ def decode_text(spark, sf_dir):
     )
 )
 def song_fields(spark, sf_dir):
-    songs = catalogue(spark, sf_dir)
-    nested = songs.select(
-        *[
-            F.struct(
-                *[
-                    (F.col(name) if name in songs.columns else F.lit(None)).alias(name)
-                    for name in names
-                ],
-                F.col("energy").alias("unused"),
-            ).alias(group)
-            for group, names in SONG_GROUPS.items()
-        ]
-    )
-    picked = select_song_fields(nested)
-    return picked.select(
+    songs = decode_text_columns(select_song_fields(_records(spark, sf_dir)))
+    return songs.select(
         "artist_id", "song_id", "title", "year", F.round("duration", 6).alias("duration"), "tempo"
     )
+
+
+@query(
+    over_catalogue(
+        "SELECT song_id, title, artist_location, artist_country, artist_genre, year, tempo,"
+        f" array_to_string({tokens_sql('artist_terms')}, '|') AS artist_terms FROM catalogue"
+        " LEFT JOIN nearest ON artist_latitude = lat AND artist_longitude = lon"
+        " LEFT JOIN tags ON artist_name = c_name",
+        *_NEAREST,
+        _TAGS,
+    )
+)
+def ingested_catalogue(spark, sf_dir):
+    """Records to stored catalogue, end to end."""
+    built = build_catalogue(
+        _records(spark, sf_dir),
+        _places(spark, sf_dir),
+        _tags(spark, sf_dir),
+        scratch_path(spark, "catalogue"),
+        _MAX_KM,
+    )
+    return built.select(
+        "song_id",
+        "title",
+        "artist_location",
+        "artist_country",
+        F.array_join("artist_genre", "|").alias("artist_genre"),
+        "year",
+        "tempo",
+        F.array_join("artist_terms", "|").alias("artist_terms"),
+    )

@@ -117,7 +117,10 @@ def assembled_features(spark, sf_dir):
     )
 
 
-@query(over_catalogue("SELECT * FROM labelled", labelled("(SELECT song_id, artist_terms FROM catalogue)")))
+@query(
+    over_catalogue("SELECT * FROM labelled", labelled("(SELECT song_id, artist_terms FROM catalogue)")),
+    "derive_label",
+)
 def label_of_song(spark, sf_dir):
     return derive_label(catalogue(spark, sf_dir, "song_id", "artist_terms"), VOCABULARY)
 
@@ -139,7 +142,8 @@ def label_index(spark, sf_dir):
             f"CAST(time_signature = {i} AS DOUBLE) AS is_{i}" for i in range(6)
         )
         + " FROM catalogue"
-    )
+    ),
+    "one_hot",
 )
 def one_hot_signature(spark, sf_dir):
     songs = one_hot(catalogue(spark, sf_dir, "song_id", "time_signature"), "time_signature", "hot")
@@ -160,7 +164,8 @@ def classification_frame(spark, sf_dir):
         " count(*) AS \"rows\", sum(duration)::BIGINT AS total_duration FROM indexed"
         " GROUP BY ALL",
         *FRAME,
-    )
+    ),
+    "hash_split",
 )
 def hash_split_sides(spark, sf_dir):
     train, test = hash_split(classification_rows(spark, sf_dir), SPLIT_KEY)

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from songsift.functions.sql import register_functions
 from songsift.functions.lists import (
     clean_tokens,
     first_listed,
@@ -79,3 +80,16 @@ def test_overlap_and_without(spark):
     )
     got = df.select(overlap_pct(F.col("t"), F.col("p")), without(F.col("t"), F.col("own"))).collect()
     assert [tuple(r) for r in got] == [(50.0, ["b", "b", "c"]), (0.0, [])]
+
+
+def test_sql_functions_parse_like_the_column_functions(spark):
+    register_functions(spark)
+    texts = [
+        "['rock', 'pop']", """["rock 'n roll", 'a, b']""", r"['caf\xe9', 'a\\xe9']", "[rock, 'pop']",
+        r"""['it\'s "x"']""", "[]", "", None, "[1. 0.5\n ... 3e-1]",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    df.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT i, parseStringList(t) AS l, parseFloatList(t) AS f FROM texts")
+    want = df.select("i", parse_list(F.col("t")).alias("l"), parse_floats(F.col("t")).alias("f"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -15,9 +15,9 @@ from songsift.sources.catalogue import read_catalogue, write_catalogue
 from tests.conftest import plan_of
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "PythonUDF")
-LAZY = """count_by_year artists_per_location token_counts sound_by_token missing_values
-drop_missing_rows list_parse float_parse artist_frame overlap_score members_of_clusters
-tags_of_song ragged_arrays decode_text""".split()
+LAZY = """count_by_year artists_per_location token_count sound_by_token missing_profile
+drop_missing list_parse float_parse artist_features overlap_score cluster_members
+enrich_tags ragged_arrays decode_text""".split()
 
 
 @pytest.fixture(scope="module")
