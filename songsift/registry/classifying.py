@@ -21,7 +21,7 @@ from songsift.operators.classify import (
 from songsift.operators.features import hash_split, index_label
 from songsift.plans.genres import compare_classifiers, training_split
 from songsift.registry import query
-from songsift.registry.data import VOCABULARY, catalogue, over_catalogue, table
+from songsift.registry.data import VOCABULARY, catalogue, near, near_sql, over_catalogue, table
 from songsift.registry.preparing import _NEEDED, FRAME, IN_TRAIN
 from songsift.session import settle
 
@@ -120,6 +120,26 @@ def predicted_rows_per_label(spark, sf_dir):
     )
 
 
+@query(
+    over_catalogue(
+        f"SELECT {near_sql('avg(CAST(filtered_genre_index = majority AS DOUBLE))')} AS accuracy,"
+        " count(*) AS \"rows\" FROM indexed, (SELECT filtered_genre_index AS majority FROM indexed"
+        f" WHERE {IN_TRAIN} GROUP BY 1 ORDER BY count(*) DESC LIMIT 1) WHERE NOT ({IN_TRAIN})",
+        *FRAME,
+    )
+)
+def tree_without_splits(spark, sf_dir):
+    """A tree of depth 0 predicts the most frequent training label."""
+    train, test = _split(spark, sf_dir)
+    scored = fit_decision_tree(train, max_depth=0).transform(test)
+    return scored.agg(
+        near(F.avg((F.col("prediction") == F.col("filtered_genre_index")).cast("double"))).alias(
+            "accuracy"
+        ),
+        F.count(F.lit(1)).alias("rows"),
+    )
+
+
 @query()
 def event_type_tree(spark, sf_dir):
     """The same classifiers on a table that is no catalogue."""

@@ -397,13 +397,37 @@ def playlist_kmeans(spark, sf_dir):
     return playlist(songs, 0, 20, columns, "song_id", "artist_name", "title", "duration")
 
 
-@query()
-def kmeans_song_profile(spark, sf_dir):
+def _song_profile(spark, sf_dir):
     points = song_vectors(catalogue(spark, sf_dir, *SONG_CLUSTER_FEATURES))
     songs = attach_predictions(points, fit_kmeans(points, 4))
     return cluster_profile(songs, SONG_CLUSTER_FEATURES)
 
 
+@query()
+def kmeans_song_profile(spark, sf_dir):
+    return _song_profile(spark, sf_dir)
+
+
+@query(
+    over_catalogue(
+        'SELECT count(*) AS songs, CAST(4 AS BIGINT) AS clusters, '
+        + ", ".join(f'{near_sql(f"""avg("{c}")""")} AS "{c}"' for c in SONG_CLUSTER_FEATURES)
+        + " FROM catalogue"
+    )
+)
+def kmeans_profile_total(spark, sf_dir):
+    """The cluster means, weighted by size, give the means of all songs."""
+    total = F.sum("count")
+    return _song_profile(spark, sf_dir).agg(
+        total.alias("songs"),
+        F.count(F.lit(1)).alias("clusters"),
+        *[
+            near(F.sum(F.col("count") * F.col(f"avg_{c}")) / total).alias(c)
+            for c in SONG_CLUSTER_FEATURES
+        ],
+    )
+
+
 @query(name="artist_sweep")
 def artist_cluster_sweep(spark, sf_dir):
     songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "similar_artists")

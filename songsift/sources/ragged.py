@@ -80,7 +80,7 @@ def _assign(spans: DataFrame, values: DataFrame, span: int) -> DataFrame:
 
 
 def assemble_ragged(
-    offsets: DataFrame, values: DataFrame, part_size: int = 1_000_000, span: int = 65_536
+    offsets: DataFrame, values: DataFrame, part_size: int = 100_000, span: int = 65_536
 ) -> DataFrame:
     """Arrays per song: ``file, songidx, part, values``; ``v`` may itself be an array.
 

@@ -84,7 +84,7 @@ def test_cross_validation_reports_every_candidate(separable):
     assert params["maxDepth"] == "4" and params["numTrees"] == "3" and params["impurity"] == "gini"
 
 
-def test_reference_settings_are_the_defaults():
+def test_published_settings_are_the_defaults():
     forest = random_forest().getStages()[-1]
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMaxBins()) == (200, 5, 50)
     assert forest.getSubsamplingRate() == 0.8 and forest.getFeatureSubsetStrategy() == "all"
