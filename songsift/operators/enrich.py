@@ -104,12 +104,15 @@ def enrich_country(
     ``places`` has ``place_id, lat, lon, country``.  Every different coordinate
     is looked up once, however many songs share it.
     """
+    df = df.drop("artist_country")
     known = ~is_missing(df, lat) & ~is_missing(df, lon)
-    keyed = df.withColumns({"lat": F.when(known, F.col(lat)), "lon": F.when(known, F.col(lon))})
-    points = keyed.filter("lat IS NOT NULL").select("lat", "lon").distinct()
-    countries = nearest_country(points, places, max_km, rows_per_task)
-    return lookup(keyed, countries, ["lat", "lon"], "left", rows_per_task=rows_per_task).select(
-        *df.columns, "artist_country"
+    keyed = df.withColumns({"_lat": F.when(known, F.col(lat)), "_lon": F.when(known, F.col(lon))})
+    points = keyed.filter("_lat IS NOT NULL").selectExpr("_lat AS lat", "_lon AS lon").distinct()
+    countries = nearest_country(points, places, max_km, rows_per_task).withColumnsRenamed(
+        {"lat": "_lat", "lon": "_lon"}
+    )
+    return lookup(keyed, countries, ["_lat", "_lon"], "left", rows_per_task=rows_per_task).drop(
+        "_lat", "_lon"
     )
 
 
@@ -119,13 +122,14 @@ def enrich_tags(
     name: str = "artist_name",
     rows_per_task: int = 1_000_000,
 ) -> DataFrame:
-    """Add ``artist_genre``, the ordered tags of the artist; null where none are known.
+    """Set ``artist_genre``, the ordered tags of the artist; null where none are known.
 
     ``artist_tags`` has ``artist_name, tags``; a name listed twice counts once.
     """
     tags = artist_tags.groupBy(F.col("artist_name").alias(name)).agg(
         F.min("tags").alias("artist_genre")
     )
+    df = df.drop("artist_genre")
     return lookup(df, tags, name, "left", rows_per_task=rows_per_task).select(
         *df.columns, "artist_genre"
     )

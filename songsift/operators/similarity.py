@@ -130,7 +130,10 @@ def _scores(
 ) -> DataFrame:
     edges = truth_edges(truth, assignments, predictions, rows_per_task)
     return edges.groupBy("artist_id", "listed").agg(
-        *[(100.0 * F.count_if(f"same_{p}") / F.col("listed")).alias(f"pct_{p}") for p in predictions]
+        *[
+            (100.0 * F.count_if(f"same_{p}") / F.col("listed")).alias(f"pct_{p}")
+            for p in predictions
+        ]
     )
 
 

@@ -14,7 +14,8 @@ def artist_vectors(
     songs: DataFrame, features: list[str] = ARTIST_CLUSTER_FEATURES
 ) -> DataFrame:
     """Settled artists with their scaled feature vector."""
-    return standard_scale(settle(artist_features(songs, features), "artists", spread=True), features)
+    artists = settle(artist_features(songs, features), "artists", spread=True)
+    return standard_scale(artists, features)
 
 
 def compare_artist_clusterings(

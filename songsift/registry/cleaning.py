@@ -131,7 +131,9 @@ def clip_fixed_durations(spark, sf_dir):
 def list_parse(spark, sf_dir):
     songs = catalogue(spark, sf_dir, "song_id", "artist_terms")
     terms = songs.select("song_id", parse_list(F.col("artist_terms")).alias("terms"))
-    return terms.select("song_id", F.array_join("terms", "|").alias("terms"), F.size("terms").alias("n"))
+    return terms.select(
+        "song_id", F.array_join("terms", "|").alias("terms"), F.size("terms").alias("n")
+    )
 
 
 @query(
@@ -163,7 +165,8 @@ def float_parse(spark, sf_dir):
 )
 def token_clean(spark, sf_dir):
     songs = catalogue(spark, sf_dir, "song_id", "title")
-    padded = F.concat(F.lit(" "), F.upper(F.replace("title", F.lit(" "), F.lit(" , "))), F.lit(" , Rock"))
+    words = F.upper(F.replace("title", F.lit(" "), F.lit(" , ")))
+    padded = F.concat(F.lit(" "), words, F.lit(" , Rock"))
     tokens = clean_tokens(F.split(padded, ","))
     return songs.select("song_id", F.array_join(tokens, "|").alias("tokens"))
 

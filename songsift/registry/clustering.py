@@ -96,7 +96,10 @@ def silhouette_sql(points: str, dims: int) -> str:
                       WHEN a > b THEN b / a - 1 ELSE 0 END) AS silhouette FROM sides)"""
 
 
-_EMBEDDED = "SELECT label AS prediction, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
+_EMBEDDED = (
+    "SELECT label AS prediction, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x"
+    " FROM embeddings"
+)
 
 
 def _truth(spark, sf_dir):
@@ -175,7 +178,8 @@ def profile_of_clusters(spark, sf_dir):
     f"WITH {ARTISTS_SQL}, lists AS (SELECT prediction, CAST(ceil(count(*) / 50.0) AS BIGINT) AS n"
     " FROM artists GROUP BY prediction) SELECT prediction, list,"
     " string_agg(artist_id, '|' ORDER BY artist_id) AS members FROM (SELECT prediction, artist_id,"
-    " CAST(CAST('0x' || substr(md5(artist_id), 1, 8) AS BIGINT) % 2147483648 % n AS INTEGER) AS list"
+    " CAST(CAST('0x' || substr(md5(artist_id), 1, 8) AS BIGINT) % 2147483648 % n AS INTEGER)"
+    " AS list"
     " FROM artists JOIN lists USING (prediction)) GROUP BY prediction, list",
     "cluster_members",
 )
@@ -225,7 +229,8 @@ def peers_of_busiest_artist(spark, sf_dir):
 
 
 @query(
-    f"WITH {ARTISTS_SQL} SELECT artist_id, artist_name, prediction FROM artists WHERE prediction = 0",
+    f"WITH {ARTISTS_SQL} SELECT artist_id, artist_name, prediction FROM artists"
+    " WHERE prediction = 0",
     "filter_cluster",
 )
 def rows_of_cluster(spark, sf_dir):
@@ -240,7 +245,8 @@ def overlap_score(spark, sf_dir):
 
 @query(
     over_catalogue(
-        f'SELECT {near_sql("avg(percent)")} AS "avgPercent", {near_sql("max(percent)")} AS "maxPercent"'
+        f'SELECT {near_sql("avg(percent)")} AS "avgPercent",'
+        f' {near_sql("max(percent)")} AS "maxPercent"'
         " FROM scores",
         *_OVERLAP,
     ),
@@ -277,7 +283,9 @@ def list_overlap(spark, sf_dir):
 
 
 @query(
-    "WITH " + silhouette_sql(_EMBEDDED, 64) + f" SELECT {near_sql('silhouette')} AS silhouette FROM silhouettes"
+    "WITH "
+    + silhouette_sql(_EMBEDDED, 64)
+    + f" SELECT {near_sql('silhouette')} AS silhouette FROM silhouettes"
 )
 def silhouette_fixed(spark, sf_dir):
     return _one_value(spark, silhouette(vectors(spark, sf_dir)), "silhouette")
@@ -297,7 +305,8 @@ _STANDARD = ", ".join(
     + f' SELECT (SELECT {near_sql("avg(n)")} FROM (SELECT count(*) AS n FROM artists JOIN features'
     ' USING (artist_id) GROUP BY prediction)) AS "avgArtistsPerCluster",'
     f" (SELECT {near_sql('silhouette')} FROM silhouettes) AS silhouette,"
-    f' {near_sql("avg(percent)")} AS "avgPercent", {near_sql("max(percent)")} AS "maxPercent" FROM scores'
+    f' {near_sql("avg(percent)")} AS "avgPercent", {near_sql("max(percent)")} AS "maxPercent"'
+    " FROM scores"
 )
 def cluster_eval_fixed(spark, sf_dir):
     scaled = artist_vectors(catalogue(spark, sf_dir, *_ARTIST_COLUMNS)).drop("artist_name")
@@ -355,7 +364,8 @@ def kmeans_centers(spark, sf_dir):
 
 
 @query(
-    'SELECT count(*) AS points, CAST(0 AS BIGINT) AS misplaced, CAST(10 AS BIGINT) AS clusters FROM embeddings'
+    "SELECT count(*) AS points, CAST(0 AS BIGINT) AS misplaced, CAST(10 AS BIGINT) AS clusters"
+    " FROM embeddings"
 )
 def kmeans_nearest_center(spark, sf_dir):
     """Every point must lie in the cluster of its nearest centre, and all clusters be used."""

@@ -8,6 +8,7 @@ from songsift.operators.counts import (
     avg_metrics_by_token,
     count_entities_by,
     mean_by,
+    preview,
     token_count,
     top_k,
 )
@@ -103,7 +104,8 @@ def token_counts(spark, sf_dir):
 
 @query(over_catalogue("SELECT * FROM top", _TERMS, _TOP))
 def top_tokens(spark, sf_dir):
-    return top_k(token_count(catalogue(spark, sf_dir, "artist_terms"), "artist_terms"), 10, "count", "term")
+    counts = token_count(catalogue(spark, sf_dir, "artist_terms"), "artist_terms")
+    return top_k(counts, 10, "count", "term")
 
 
 @query(_averages("tempo"))
@@ -127,7 +129,9 @@ def sound_by_token(spark, sf_dir):
 @query(
     over_catalogue(
         "SELECT lower(p_type) AS term, count(*) AS songs, "
-        + near_sql("coalesce(avg(CASE WHEN NOT isnan(gappy_loudness) THEN gappy_loudness END), 0.0)")
+        + near_sql(
+            "coalesce(avg(CASE WHEN NOT isnan(gappy_loudness) THEN gappy_loudness END), 0.0)"
+        )
         + " AS avg_gappy_loudness FROM (SELECT DISTINCT p_type FROM part) JOIN catalogue "
         "ON list_contains(list_transform("
         + tokens_sql("artist_terms")
@@ -152,6 +156,16 @@ def mean_by_key(spark, sf_dir):
     return _rounded(means, "mean").orderBy(F.desc("mean"), "year")
 
 
+@query(
+    over_catalogue(
+        "SELECT song_id, title, tempo FROM catalogue ORDER BY song_id, title, tempo LIMIT 10"
+    )
+)
+def first_songs(spark, sf_dir):
+    songs = catalogue(spark, sf_dir, "song_id", "title", "tempo")
+    return preview(songs, 10, "song_id", "title", "tempo")
+
+
 @query(over_catalogue("SELECT DISTINCT time_signature FROM catalogue"))
 def distinct_time_signature(spark, sf_dir):
     return distinct_values(catalogue(spark, sf_dir, "time_signature"), "time_signature")

@@ -118,7 +118,9 @@ def assembled_features(spark, sf_dir):
 
 
 @query(
-    over_catalogue("SELECT * FROM labelled", labelled("(SELECT song_id, artist_terms FROM catalogue)")),
+    over_catalogue(
+        "SELECT * FROM labelled", labelled("(SELECT song_id, artist_terms FROM catalogue)")
+    ),
     "derive_label",
 )
 def label_of_song(spark, sf_dir):

@@ -50,6 +50,8 @@ def test_missing_coordinates_and_ties(spark, songs):
     assert len(got) == 12 and got["S09"] is None and got["S10"] is None
     assert got["S01"] in ("West", "East")
     assert enrich_country(songs, places).columns == [*songs.columns, "artist_country"]
+    again = enrich_country(enrich_country(songs.withColumn("lat", F.lit(0)), places), places)
+    assert again.columns == [*songs.columns, "lat", "artist_country"]
     same = places.withColumn("lon", F.lit(20.0))
     assert dict(rows(enrich_country(songs, same), "song_id", "artist_country"))["S01"] == "West"
 
@@ -59,7 +61,7 @@ def test_tags_keep_order_and_rows(spark, songs):
         [("Ann", ["rock", "a"]), ("Cy", []), ("Ann", ["rock", "b"])],
         "artist_name string, tags array<string>",
     )
-    got = enrich_tags(songs.drop("artist_genre"), tags, rows_per_task=2)
+    got = enrich_tags(songs, tags, rows_per_task=2)
     by_song = dict(rows(got, "song_id", "artist_genre"))
     assert len(by_song) == got.count() == 12
     assert by_song["S01"] == ["rock", "a"] and by_song["S09"] == [] and by_song["S11"] is None
