@@ -22,7 +22,7 @@ coalesce(
 _PARSE_FLOATS = r"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS ARRAY<DOUBLE> RETURN
 filter(
-  transform(split(trim(regexp_replace(text, r'[\[\],\s]+', ' ')), ' '),
+  transform(split(trim(translate(replace(text, '...', ' '), '[],', '   ')), r'\s+'),
     item -> try_cast(item AS DOUBLE)),
   item -> item IS NOT NULL)
 """

@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,30 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return counts.unpivot([], columns, "column", "missing")
 
 
+def _measure(wide: DataFrame) -> dict[str, Row]:
+    """Count, mean, deviation, minimum and maximum of every column, in one pass."""
+    measures = (
+        ("count", F.count),
+        ("mean", F.avg),
+        ("std", F.stddev_samp),
+        ("min", F.min),
+        ("max", F.max),
+    )
+    row = wide.agg(
+        *[
+            F.struct(
+                *[f(F.when(~is_missing(wide, c), F.col(c))).alias(name) for name, f in measures]
+            ).alias(c)
+            for c in wide.columns
+        ]
+    ).first()
+    return {c: row[c] for c in wide.columns}
+
+
+def _as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
@@ -58,25 +82,25 @@ def exact_quantiles(
     the brackets are counted and the ranks are read off a running total.  The
     driver sees histograms and single values only, never the rows.
     """
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    present = {c: ~is_missing(wide, c) for c in columns}
-    stats = wide.agg(
-        *[
-            f(F.when(present[c], F.col(c))).alias(f"{name}_{i}")
-            for i, c in enumerate(columns)
-            for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
-        ]
-    ).first()
+    wide = _as_doubles(df, columns)
+    return _quantiles(wide, _measure(wide), probabilities, rows_per_task, bins)
 
+
+def _quantiles(
+    wide: DataFrame,
+    measured: dict[str, Row],
+    probabilities: list[float],
+    rows_per_task: int = 5_000_000,
+    bins: int = 4096,
+) -> dict[tuple[str, float], float]:
     brackets = {}  # (column, rank) -> (lowest, highest, rows below, rows inside)
     positions = {}
-    for i, c in enumerate(columns):
-        n = stats[f"n_{i}"]
-        for p in probabilities if n else []:
-            position = p * (n - 1)
+    for c, m in measured.items():
+        for p in probabilities if m["count"] else []:
+            position = p * (m["count"] - 1)
             positions[c, p] = position
             for rank in (math.floor(position), math.ceil(position)):
-                brackets[c, rank] = (stats[f"lo_{i}"], stats[f"hi_{i}"], 0, n)
+                brackets[c, rank] = (m["min"], m["max"], 0, m["count"])
 
     stuck = set()
     while True:
@@ -101,27 +125,30 @@ def exact_quantiles(
 
 
 def _in_brackets(wide: DataFrame, brackets: dict) -> tuple[list, DataFrame]:
-    """The values that lie in each different (column, lowest, highest), tagged with its number."""
+    """Rows of ``slot, value``: the values in each different (column, lowest, highest)."""
     ranges = sorted({(c, b[0], b[1]) for (c, _), b in brackets.items()})
-    tags = [
-        F.when(
-            F.col(c).between(lo, hi),
-            F.struct(
-                F.lit(i).alias("slot"),
-                F.col(c).alias("value"),
-                F.lit(lo).alias("lo"),
-                F.lit(hi).alias("hi"),
-            ),
-        )
-        for i, (c, lo, hi) in enumerate(ranges)
+    slots = [
+        F.when(F.col(c).between(lo, hi), F.col(c)).alias(str(slot))
+        for slot, (c, lo, hi) in enumerate(ranges)
     ]
-    return ranges, wide.select(F.inline(F.filter(F.array(*tags), lambda tag: tag.isNotNull())))
+    narrow = wide.select(*slots)
+    return ranges, narrow.unpivot([], narrow.columns, "slot", "value").filter("value IS NOT NULL")
+
+
+def _per_slot(ranges: list, choose) -> Column:
+    """The number that ``choose`` takes from the range of the row's slot."""
+    cases = F.when(F.col("slot") == "0", F.lit(choose(ranges[0])))
+    for slot, bounds in enumerate(ranges[1:], 1):
+        cases = cases.when(F.col("slot") == str(slot), F.lit(choose(bounds)))
+    return cases
 
 
 def _narrow(wide: DataFrame, brackets: dict, bins: int) -> dict:
     ranges, tagged = _in_brackets(wide, brackets)
+    lowest = _per_slot(ranges, lambda bounds: bounds[1])
     # Halved first, so that the width of the widest bracket does not overflow.
-    share = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    half_width = _per_slot(ranges, lambda bounds: bounds[2] / 2 - bounds[1] / 2)
+    share = (F.col("value") / 2 - lowest / 2) / half_width
     step = F.least(F.floor(share * bins), F.lit(bins - 1))
     histogram = (
         tagged.groupBy("slot", step.alias("step"))
@@ -131,7 +158,7 @@ def _narrow(wide: DataFrame, brackets: dict, bins: int) -> dict:
     )
     narrowed = {}
     for (c, rank), (lo, hi, below, _) in brackets.items():
-        slot = ranges.index((c, lo, hi))
+        slot = str(ranges.index((c, lo, hi)))
         for row in histogram:
             if row["slot"] != slot:
                 continue
@@ -148,7 +175,8 @@ def _values_at(wide: DataFrame, brackets: dict) -> dict:
     ranges, tagged = _in_brackets(wide, brackets)
     wanted = {}
     for (c, rank), (lo, hi, below, _) in brackets.items():
-        wanted.setdefault(ranges.index((c, lo, hi)), []).append((rank - below, c, rank))
+        slot = str(ranges.index((c, lo, hi)))
+        wanted.setdefault(slot, []).append((rank - below, c, rank))
     running = W.partitionBy("slot").orderBy("value")
     totals = (
         tagged.groupBy("slot", "value")
@@ -176,31 +204,18 @@ def _values_at(wide: DataFrame, brackets: dict) -> dict:
 
 def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum; one row per column."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    measures = (
-        ("count", F.count),
-        ("mean", F.avg),
-        ("std", F.stddev_samp),
-        ("min", F.min),
-        ("max", F.max),
-    )
-    row = wide.agg(
-        *[
-            f(F.when(~is_missing(wide, c), F.col(c))).alias(f"{name}_{i}")
-            for i, c in enumerate(columns)
-            for name, f in measures
-        ]
-    ).first()
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    wide = _as_doubles(df, columns)
+    measured = _measure(wide)
+    quartiles = _quantiles(wide, measured, [0.25, 0.5, 0.75])
     return df.sparkSession.createDataFrame(
         [
             (
                 c,
-                *[row[f"{name}_{i}"] for name in ("count", "mean", "std", "min")],
+                *[measured[c][name] for name in ("count", "mean", "std", "min")],
                 *[quartiles.get((c, p)) for p in (0.25, 0.5, 0.75)],
-                row[f"max_{i}"],
+                measured[c]["max"],
             )
-            for i, c in enumerate(columns)
+            for c in columns
         ],
         "column string, count bigint, mean double, std double, min double, "
         "p25 double, p50 double, p75 double, max double",
