@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from songsift.functions.numeric import is_missing
@@ -14,6 +14,11 @@ from songsift.session import settle
 
 EARTH_RADIUS_KM = 6371.0088
 
+_CUBE = ["cx", "cy", "cz"]
+_MAX_LEVEL = 30
+# Far more than rounding can move a cube's wall, and less than a hundredth of a millimetre.
+_SLACK = 1e-12
+
 
 def _chord(km: float) -> float:
     """Straight-line length, on the unit sphere, of an arc of ``km``."""
@@ -25,69 +30,129 @@ def _on_sphere(lat: str, lon: str) -> list[Column]:
     return [F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)]
 
 
-def _add_sphere(df: DataFrame, prefix: str, lat: str, lon: str) -> DataFrame:
+def _add_sphere(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns(
-        {f"{prefix}{axis}": value for axis, value in zip("xyz", _on_sphere(lat, lon))}
+        {f"{prefix}{axis}": value for axis, value in zip("xyz", _on_sphere("lat", "lon"))}
     )
 
 
-def _cube(prefix: str, edge: float) -> list[Column]:
-    return [F.floor(F.col(f"{prefix}{axis}") / edge) for axis in "xyz"]
+def _cube_of(prefix: str, level: int | Column, radius: float) -> list[Column]:
+    """The cube of a point; its edge is ``radius``, halved ``level`` times."""
+    scale = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level) / radius
+    return [F.floor(F.col(f"{prefix}{axis}") * scale) for axis in "xyz"]
+
+
+def _length(steps: list[Column]) -> Column:
+    return F.sqrt(steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2])
+
+
+def _levels_needed(sites: DataFrame, radius: float, per_cube: int) -> int:
+    """How often cubes must be halved until none holds more than ``per_cube`` places."""
+    level = F.col("level")
+    fullest = (
+        sites.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_MAX_LEVEL))))
+        .select("level", *[c.alias(n) for c, n in zip(_cube_of("p", level, radius), _CUBE)])
+        .groupBy("level", *_CUBE)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("level")
+        .agg(F.max("n").alias("n"))
+    )
+    fits = fullest.filter(F.col("n") <= per_cube).agg(F.min("level")).first()[0]
+    return _MAX_LEVEL if fits is None else fits
 
 
 def nearest_country(
-    points: DataFrame, places: DataFrame, max_km: float, rows_per_task: int = 1_000_000
+    points: DataFrame,
+    places: DataFrame,
+    max_km: float,
+    rows_per_task: int = 1_000_000,
+    per_cube: int = 64,
 ) -> DataFrame:
     """``lat, lon, artist_country``: the country of the place nearest to each point.
 
-    Points and places sit on the unit sphere, cut into cubes.  A place within
-    one cube edge of a point lies in one of the 27 cubes around it.  Small cubes
-    come first, so that most points are settled among few places; the others go
-    on to larger cubes, up to an edge of ``max_km``.  A point with no place that
-    near gets null.  Equal distances go to the smaller ``place_id``.  Each round
-    is written out, so that the next one does not run it again.
+    Points and places sit on the unit sphere, cut into cubes with an edge of
+    ``max_km``.  A place within that distance lies in one of the 27 cubes around
+    a point.  These cubes are halved until none holds more than ``per_cube``
+    places.  At each step a point keeps only the halves that may hold its
+    nearest place: those not farther away than a place already known.  So the
+    work for a point depends on the places at about the nearest distance, not on
+    how many a region holds.  A point with no place that near has no row.  Equal
+    distances go to the smaller ``place_id``.
     """
-    sites = _add_sphere(
-        places.groupBy("lat", "lon").agg(F.min(F.struct("place_id", "country")).alias("place")),
-        "p",
-        "lat",
-        "lon",
-    ).select("px", "py", "pz", "place")
-    open_points = settle(_add_sphere(points, "q", "lat", "lon"), "points")
-    done = []
-    for km in (max_km / 64, max_km / 8, max_km):
-        found = settle(_nearest_within(open_points, sites, km, rows_per_task), "nearest")
-        done.append(found.filter("best IS NOT NULL"))
-        open_points = found.filter("best IS NULL").drop("best")
-    unmatched = open_points.withColumn("best", F.lit(None).cast(found.schema["best"].dataType))
-    return reduce(DataFrame.unionByName, [*done, unmatched]).select(
-        "lat", "lon", F.col("best.country").alias("artist_country")
+    radius = _chord(max_km)
+    known = ~is_missing(places, "lat") & ~is_missing(places, "lon")
+    sites = settle(
+        _add_sphere(
+            places.filter(known)
+            .groupBy("lat", "lon")
+            .agg(F.min(F.struct("place_id", "country")).alias("place")),
+            "p",
+        ).drop("lat", "lon"),
+        "places",
+    )
+    placed = settle(_add_sphere(points, "q"), "points")
+    candidates = settle(_cubes_around(placed, sites, radius, rows_per_task), "candidates")
+    depth = _levels_needed(sites, radius, per_cube)
+    for level in range(1, depth + 1):
+        halves = _halves(candidates, sites, level, radius, rows_per_task)
+        candidates = settle(halves, "candidates")
+    homes = sites.withColumns(dict(zip(_CUBE, _cube_of("p", depth, radius))))
+    distance = _length([F.col(f"q{axis}") - F.col(f"p{axis}") for axis in "xyz"])
+    found = F.struct(
+        distance.alias("d"),
+        F.col("place.place_id").alias("place_id"),
+        F.col("place.country").alias("country"),
+    )
+    return (
+        lookup(candidates, homes, _CUBE, "inner", ["lat", "lon"], rows_per_task)
+        .groupBy("lat", "lon")
+        .agg(F.min(F.when(distance <= radius, found)).alias("best"))
+        .filter("best IS NOT NULL")
+        .select("lat", "lon", F.col("best.country").alias("artist_country"))
     )
 
 
-def _nearest_within(
-    points: DataFrame, sites: DataFrame, km: float, rows_per_task: int
+def _cubes_around(
+    points: DataFrame, sites: DataFrame, radius: float, rows_per_task: int
 ) -> DataFrame:
-    """Every point with its nearest place within ``km`` as ``best``, null if there is none."""
-    edge = _chord(km)
-    around = sites
-    for axis in "xyz":
-        around = around.withColumn(f"d{axis}", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    neighbour = [cell + F.col(f"d{axis}") for axis, cell in zip("xyz", _cube("p", edge))]
-    # Two cubes with the same hash only add places that the distance rules out.
-    around = around.select("px", "py", "pz", "place", F.xxhash64(*neighbour).alias("cube"))
-    cubed = points.withColumn("cube", F.xxhash64(*_cube("q", edge)))
-    steps = [F.col(f"q{axis}") - F.col(f"p{axis}") for axis in "xyz"]
-    squared = steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
-    candidate = F.struct(
-        squared.alias("d"),
-        F.col("place.place_id").alias("place_id"),
-        F.col("place.country").alias("country"),
+    """Each point with the cubes around it, of edge ``radius``, that hold a place."""
+    own = [f"own_{axis}" for axis in "xyz"]
+    around = sites.select(
+        *[c.alias(n) for c, n in zip(_cube_of("p", 0, radius), _CUBE)]
+    ).distinct()
+    for name, cube in zip(own, _CUBE):
+        around = around.withColumn(name, F.explode(F.sequence(F.col(cube) - 1, F.col(cube) + 1)))
+    placed = points.withColumns(dict(zip(own, _cube_of("q", 0, radius))))
+    return lookup(placed, around, own, "inner", ["lat", "lon"], rows_per_task).drop(*own)
+
+
+def _halves(
+    candidates: DataFrame, sites: DataFrame, level: int, radius: float, rows_per_task: int
+) -> DataFrame:
+    """The candidate cubes of each point at the next level, as far as they can still win."""
+    small = [f"s{axis}" for axis in "xyz"]
+    halves = (
+        sites.withColumns(dict(zip(_CUBE, _cube_of("p", level - 1, radius))))
+        .withColumns(dict(zip(small, _cube_of("p", level, radius))))
+        .groupBy(*_CUBE, *small)
+        .agg(F.min(F.struct("px", "py", "pz")).alias("known"))
     )
+    edge = radius / 2**level
+    outside = [
+        F.greatest(
+            F.col(s) * edge - F.col(f"q{axis}"),
+            F.col(f"q{axis}") - (F.col(s) + 1) * edge,
+            F.lit(0.0),
+        )
+        for axis, s in zip("xyz", small)
+    ]
+    to_known = _length([F.col(f"q{axis}") - F.col(f"known.p{axis}") for axis in "xyz"])
+    reach = F.least(F.min(to_known).over(W.partitionBy("lat", "lon")), F.lit(radius))
     return (
-        lookup(cubed, around, "cube", "left", ["lat", "lon"], rows_per_task)
-        .groupBy("lat", "lon", "qx", "qy", "qz")
-        .agg(F.min(F.when(squared <= edge * edge, candidate)).alias("best"))
+        lookup(candidates, halves, _CUBE, "inner", ["lat", "lon"], rows_per_task)
+        .withColumn("reach", reach)
+        .filter(_length(outside) <= F.col("reach") + _SLACK)
+        .select("lat", "lon", "qx", "qy", "qz", *[F.col(s).alias(c) for s, c in zip(small, _CUBE)])
     )
 
 
@@ -98,6 +163,7 @@ def enrich_country(
     lat: str = "artist_latitude",
     lon: str = "artist_longitude",
     rows_per_task: int = 1_000_000,
+    per_cube: int = 64,
 ) -> DataFrame:
     """Add ``artist_country``; null where a coordinate is missing or nothing is near.
 
@@ -108,7 +174,7 @@ def enrich_country(
     known = ~is_missing(df, lat) & ~is_missing(df, lon)
     keyed = df.withColumns({"_lat": F.when(known, F.col(lat)), "_lon": F.when(known, F.col(lon))})
     points = keyed.filter("_lat IS NOT NULL").selectExpr("_lat AS lat", "_lon AS lon").distinct()
-    countries = nearest_country(points, places, max_km, rows_per_task).withColumnsRenamed(
+    countries = nearest_country(points, places, max_km, rows_per_task, per_cube).withColumnsRenamed(
         {"lat": "_lat", "lon": "_lon"}
     )
     return lookup(keyed, countries, ["_lat", "_lon"], "left", rows_per_task=rows_per_task).drop(

@@ -35,8 +35,8 @@ def test_nearest_place_equals_brute_force(spark):
         [(i, float(a), float(b), f"C{i}") for i, (a, b) in enumerate(places)],
         "place_id int, lat double, lon double, country string",
     )
-    for max_km, rows_per_task in ((300.0, 1_000_000), (2500.0, 5)):
-        got = enrich_country(songs, where, max_km, rows_per_task=rows_per_task)
+    for max_km, rows_per_task, per_cube in ((300.0, 1_000_000, 64), (2500.0, 5, 3)):
+        got = enrich_country(songs, where, max_km, "artist_latitude", "artist_longitude", rows_per_task, per_cube)
         want = brute_force(points, places, max_km)
         assert [r[0] for r in got.orderBy("i").select("artist_country").collect()] == want
 

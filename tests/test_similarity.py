@@ -2,7 +2,6 @@ import random
 
 import pytest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
 
 from songsift.operators.similarity import (
     artist_features,
