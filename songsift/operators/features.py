@@ -145,5 +145,11 @@ def hash_split(
     df: DataFrame, key: list[str], share: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test rows, the same ones in every run and on every cluster."""
-    bucket, limit = split_bucket(key), round(share * 100)
-    return df.filter(bucket < limit), df.filter(bucket >= limit)
+    return split_at(df.withColumn("_bucket", split_bucket(key)), "_bucket", share)
+
+
+def split_at(df: DataFrame, bucket: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The two sides by a stored ``split_bucket``, whose column is dropped."""
+    limit = round(share * 100)
+    train, test = df.filter(F.col(bucket) < limit), df.filter(F.col(bucket) >= limit)
+    return train.drop(bucket), test.drop(bucket)

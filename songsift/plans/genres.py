@@ -11,7 +11,7 @@ from songsift.operators.classify import (
     fit_mlp,
     random_forest,
 )
-from songsift.operators.features import hash_split, prepare_classification
+from songsift.operators.features import prepare_classification, split_at, split_bucket
 from songsift.schemas import GENRES
 from songsift.session import settle
 
@@ -21,9 +21,14 @@ SPLIT_KEY = ["loudness", "tempo", "duration", "time_signature", "filtered_genre"
 def training_split(
     songs: DataFrame, vocabulary: list[str] = GENRES, share: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
-    """The prepared songs as settled training and test rows."""
-    frame = settle(prepare_classification(songs, vocabulary), "classification", spread=True)
-    return hash_split(frame, SPLIT_KEY, share)
+    """The prepared songs as training and test rows of one settled table.
+
+    The side is stored with the row, since a fit reads its input many times.
+    """
+    frame = prepare_classification(songs, vocabulary).withColumn(
+        "_bucket", split_bucket(SPLIT_KEY)
+    )
+    return split_at(settle(frame, "classification", spread=True), "_bucket", share)
 
 
 def compare_classifiers(
