@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from songsift.llm.byte_gru import Settings, predict_language, train, training_sample
+from songsift.llm.covering_simhash import near_duplicates
 from songsift.llm.license_scan import scan_licenses
 from songsift.llm.repetition_rules import check_quality
 from songsift.llm.secret_scan import scan_secrets
@@ -21,11 +24,23 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return encode_texts(_documents(spark, sf_dir), ["doc_id"], path, digests=True)
 
 
+def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    documents = _documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    learn = documents.filter(fold != 2)
+    network = train(training_sample(learn, "text", "lang", ["doc_id"], Settings()))
+    return predict_language(documents, network, ["doc_id", "held_out"])
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir), ["doc_id"])
 
@@ -41,7 +56,9 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op4_covering_simhash,
         op5_word_bpe,
+        op6_byte_gru,
         op7_secret_scan,
         op8_license_scan,
         op9_repetition_rules,
