@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT = "_text"
 PIECE = 4 << 20
@@ -47,7 +48,7 @@ def per_text(
     """
     types = dict(df.dtypes)
     kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    names = T.StructType.fromDDL(fields).names
     clash = set(names) & set(keep)
     if clash:
         raise ValueError(f"rename {sorted(clash)} before keeping them")

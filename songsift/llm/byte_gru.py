@@ -38,7 +38,7 @@ class Settings:
     segment: int = 64
     documents: int = 1500
     samples: int = 3
-    epochs: int = 4
+    updates: int = 420
     batch: int = 128
     rate: float = 0.01
     seed: int = 7
@@ -201,21 +201,19 @@ class Network:
         """Adam on shuffled batches, with a falling rate."""
         cfg, random = self.settings, np.random.default_rng(self.settings.seed)
         mean, square = ([np.zeros_like(w) for w in self.parameters] for _ in range(2))
-        steps = cfg.epochs * max(1, -(-len(segments) // cfg.batch))
-        count = 0
-        for _ in range(cfg.epochs):
-            order = random.permutation(len(segments))
-            for at in range(0, len(order), cfg.batch):
-                some = order[at : at + cfg.batch]
-                count += 1
-                rate = cfg.rate * (1 - 0.9 * count / steps)
-                _, gradients = self.gradients(segments[some].T, targets[some])
-                for w, d, m, v in zip(self.parameters, gradients, mean, square):
-                    m += 0.1 * (d - m)
-                    v += 0.01 * (d * d - v)
-                    w -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.99**count)) + 1e-8)
-                self.ahead.hold()
-                self.behind.hold()
+        order = np.zeros(0, np.int64)
+        for count in range(1, cfg.updates + 1):
+            if len(order) < min(cfg.batch, len(segments)):
+                order = random.permutation(len(segments))
+            some, order = order[: cfg.batch], order[cfg.batch :]
+            rate = cfg.rate * (1 - 0.9 * count / cfg.updates)
+            _, gradients = self.gradients(segments[some].T, targets[some])
+            for w, d, m, v in zip(self.parameters, gradients, mean, square):
+                m += 0.1 * (d - m)
+                v += 0.01 * (d * d - v)
+                w -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.99**count)) + 1e-8)
+            self.ahead.hold()
+            self.behind.hold()
 
 
 def in_segments(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
