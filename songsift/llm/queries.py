@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from songsift.llm.byte_gru import Settings, predict_language, train, training_sample
 from songsift.llm.covering_simhash import near_duplicates
+from songsift.llm.decontaminate import find_leaks, leak_rows
 from songsift.llm.license_scan import scan_licenses
 from songsift.llm.repetition_rules import check_quality
 from songsift.llm.secret_scan import scan_secrets
@@ -24,6 +25,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return leak_rows(find_leaks(_documents(spark, sf_dir), items, ["doc_id"]), ["doc_id"])
+
+
 def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -56,6 +62,7 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_decontaminate,
         op4_covering_simhash,
         op5_word_bpe,
         op6_byte_gru,
