@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from songsift.llm.arc_convert import convert_pages
 from songsift.llm.byte_gru import Settings, predict_language, train, training_sample
 from songsift.llm.covering_simhash import near_duplicates
 from songsift.llm.decontaminate import find_leaks, leak_rows
@@ -25,6 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return leak_rows(find_leaks(_documents(spark, sf_dir), items, ["doc_id"]), ["doc_id"])
@@ -62,6 +67,7 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_arc_convert,
         op3_decontaminate,
         op4_covering_simhash,
         op5_word_bpe,
