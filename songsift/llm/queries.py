@@ -19,6 +19,7 @@ from songsift.llm.decontaminate import find_leaks, leak_rows
 from songsift.llm.license_scan import scan_licenses
 from songsift.llm.repetition_rules import check_quality
 from songsift.llm.secret_scan import scan_secrets
+from songsift.llm.toxicity_chain import predict_toxicity, train_chain
 from songsift.llm.word_bpe import encode_texts
 
 
@@ -30,6 +31,12 @@ def op1_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload")
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    chain = train_chain(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return predict_toxicity(documents, chain, ["doc_id"])
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return leak_rows(find_leaks(_documents(spark, sf_dir), items, ["doc_id"]), ["doc_id"])
@@ -68,6 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_arc_convert,
+        op2_toxicity_chain,
         op3_decontaminate,
         op4_covering_simhash,
         op5_word_bpe,
