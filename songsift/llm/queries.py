@@ -19,6 +19,7 @@ from songsift.llm.decontaminate import find_leaks, leak_rows
 from songsift.llm.license_scan import scan_licenses
 from songsift.llm.repetition_rules import check_quality
 from songsift.llm.secret_scan import scan_secrets
+from songsift.llm.suffix_dedup import remove_repeats
 from songsift.llm.toxicity_chain import predict_toxicity, train_chain
 from songsift.llm.word_bpe import encode_texts
 
@@ -71,6 +72,10 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_quality(_documents(spark, sf_dir), ["doc_id"])
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), ["doc_id"], digests=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +88,7 @@ QUERIES = {
         op7_secret_scan,
         op8_license_scan,
         op9_repetition_rules,
+        op10_suffix_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
