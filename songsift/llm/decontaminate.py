@@ -260,15 +260,12 @@ def find_leaks(
     shard: int = 20_000,
 ) -> DataFrame:
     """Each row with ``leaks``, the items that its text holds, best passage of each."""
-    found = None
+    carried = [*keep, *({text} - set(keep))]
+    found = df.select(*carried).withColumn("leaks", F.array().cast(_LEAKS))
     for rows in item_shards(items, item_id, item_text, shard):
-        finder = _finder(Index(rows), limits)
-        if found is None:
-            found = per_text(df, finder, f"leaks {_LEAKS}", keep, text, size=2 << 20)
-        else:
-            more = per_text(found, finder, f"_more {_LEAKS}", [*keep, "leaks", text], text, size=2 << 20)
-            found = more.select(*keep, F.concat("leaks", "_more").alias("leaks"), text)
-    return found
+        more = per_text(found, _finder(Index(rows), limits), f"_more {_LEAKS}", [*carried, "leaks"], text, 2 << 20)
+        found = more.select(*carried, F.concat("leaks", "_more").alias("leaks"))
+    return found.select(*keep, "leaks")
 
 
 def leak_rows(found: DataFrame, keep: list[str]) -> DataFrame:

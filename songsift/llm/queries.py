@@ -8,6 +8,7 @@ accuracy.
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), ["doc_id"], digests=True)
 
 
-QUERIES = {
+QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
         op1_arc_convert,
@@ -91,4 +92,4 @@ QUERIES = {
         op10_suffix_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
