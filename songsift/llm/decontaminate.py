@@ -199,6 +199,7 @@ def _finder(index: Index, limits: Thresholds) -> Callable[[], Callable[[list[byt
         cells = int(cells_of.sum())
         bounds = live_blocks(index, term, cell, before < cell, before < cell - 1, cells)
         alive = bounds >= limits.score - slack
+        alive[first_cell + cells_of - 1] = False
         out: list[dict[int, tuple]] = [{} for _ in texts]
         cell_owner = np.repeat(np.arange(len(texts)), cells_of)
         for c in np.flatnonzero(alive.any(axis=1)).tolist():
