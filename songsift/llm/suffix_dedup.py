@@ -38,14 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songsift.llm.batches import TEXT, pieces, texts_of
-from songsift.llm.difference_cover import LONGEST, suffix_array
+from songsift.llm.difference_cover import suffix_array
 from songsift.session import settle
 
 # Fixed value of the query.
 LENGTH = 400
 GRAM = 128
 #: Different contexts of an anchor that are sorted in one go.
-GROUP = 1500
+GROUP = 600
+#: Bytes that are sorted in one go, and texts whose anchors are sought in one go.
+SORTED, SCANNED = 1 << 19, 1 << 20
 _PLACE_BITS = np.uint64(31)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
@@ -55,7 +57,7 @@ _powers: dict[int, np.ndarray] = {}
 def _powers_of(base: int, n: int) -> np.ndarray:
     found = _powers.get(base)
     if found is None or len(found) < n:
-        every = np.full(max(n, 1 << 20) + 1, base, np.uint64)
+        every = np.full(max(n, 2 * SCANNED) + 1, base, np.uint64)
         every[0] = 1
         found = _powers[base] = np.cumprod(every, dtype=np.uint64)
     return found[:n]
@@ -116,7 +118,7 @@ def anchored_runs(df: DataFrame, text: str, length: int, gram: int) -> DataFrame
     """``of`` (the text's key), ``anchor``, ``first`` and ``end`` of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, size=SCANNED):
             texts = texts_of(piece)
             who, anchor, first, end, place = runs_of(texts, length, gram)
             if len(who):
@@ -236,12 +238,9 @@ def _sorter(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sizes = rows["data"].map(len).to_numpy()
         groups = np.flatnonzero(np.append(True, np.diff(rows["anchor"].to_numpy()) != 0))
         ends, out, at = np.append(groups[1:], len(rows)), [], 0
+        totals = np.add.reduceat(sizes, groups)
         while at < len(groups):
-            last, total = at, 0
-            while last < len(groups) and total + (more := int(sizes[groups[last] : ends[last]].sum())) < LONGEST:
-                total, last = total + more, last + 1
-            if last == at:
-                raise ValueError(f"a group of {more} bytes was not split")
+            last = at + max(1, int(np.searchsorted(np.cumsum(totals[at:]), SORTED, side="right")))
             some = rows.iloc[groups[at] : ends[last - 1]]
             starts = repeated_starts(
                 some["data"].tolist(), some["low"].to_numpy(), some["high"].to_numpy(), length
