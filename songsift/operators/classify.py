@@ -19,6 +19,8 @@ from songsift.schemas import CLASSIFIER_FEATURES
 
 LABEL = "filtered_genre_index"
 
+# The default settings of the three models, the folds and the grid below.
+
 
 def mlp(
     classes: int,

@@ -7,7 +7,8 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,15 +31,22 @@ def fit_many(
     features: str = "scaledFeatures",
     seed: int = 1,
     parallelism: int = 1,
-) -> dict[int, tuple[KMeansModel, float]]:
-    """Model and silhouette per k; ``df`` should be settled, since every fit reads it."""
+) -> tuple[DataFrame, dict[int, KMeansModel], dict[int, float]]:
+    """``df`` with the cluster ``k<k>`` for each k, the models, and the silhouettes.
 
-    def fit(k: int) -> tuple[KMeansModel, float]:
-        model = fit_kmeans(df, k, features, seed)
-        return model, float(silhouette(model.transform(df), features))
+    ``df`` should be settled, since every fit reads it.
+    """
+
+    def fit(k: int) -> KMeansModel:
+        return fit_kmeans(df, k, features, seed, f"k{k}")
 
     with ThreadPool(min(parallelism, len(ks))) as pool:
-        return dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)))
+        models = dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)))
+    assigned = df
+    for model in models.values():
+        assigned = model.transform(assigned)
+    scores = silhouettes(assigned, [f"k{k}" for k in ks], features)
+    return assigned, models, {k: scores[f"k{k}"] for k in ks}
 
 
 def silhouette(
@@ -50,6 +58,68 @@ def silhouette(
     ).evaluate(df)
 
 
+def silhouettes(
+    df: DataFrame, predictions: list[str], features: str = "scaledFeatures"
+) -> dict[str, float]:
+    """The same for several clusterings of the rows at once, in two passes.
+
+    The mean squared distance from a point to the points of a cluster follows
+    from their number, their sum and their sum of squares.  So one pass adds
+    these up for all clusters of all clusterings, a row for each, and the other
+    scores every point by all of them.
+    """
+    points = df.select(vector_to_array(features).alias("_x"), *predictions).withColumn(
+        "_xx", F.aggregate("_x", F.lit(0.0), lambda total, v: total + v * v)
+    )
+    which = F.explode(
+        F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("c")) for p in predictions])
+    )
+    width = len(df.select(features).first()[0]) if not df.isEmpty() else 0
+    sums = (
+        points.select("_x", "_xx", which.alias("_w"))
+        .groupBy("_w.name", "_w.c")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("_xx").alias("q"),
+            F.array(*[F.sum(F.get("_x", i)) for i in range(width)]).alias("s"),
+        )
+        .collect()  # a row for each cluster
+    )
+
+    def score(name: str) -> Column:
+        clusters = [r for r in sums if r["name"] == name]
+        if len(clusters) < 2:
+            return F.lit(0.0)
+        known = F.array(
+            *[
+                F.struct(
+                    F.lit(float(r["n"])).alias("n"),
+                    F.lit(r["q"]).alias("q"),
+                    F.array(*map(F.lit, r["s"])).alias("s"),
+                )
+                for r in clusters
+            ]
+        )
+
+        def total(cluster: Column) -> Column:
+            products = F.zip_with("_x", cluster["s"], lambda x, s: x * s)
+            dot = F.aggregate(products, F.lit(0.0), lambda sum_, v: sum_ + v)
+            return F.col("_xx") * cluster["n"] + cluster["q"] - 2 * dot
+
+        own = (F.array_position(F.array(*[F.lit(r["c"]) for r in clusters]), F.col(name)) - 1).cast("int")
+        totals = F.transform(known, total)
+        size = F.get(known, own)["n"]
+        a = F.get(totals, own) / F.greatest(size - 1, F.lit(1.0))
+        b = F.array_min(
+            F.transform(totals, lambda d, i: F.when(i != own, d / F.get(known, i)["n"]))
+        )
+        # A point alone in its cluster scores 0.
+        return F.when((size == 1) | (a == b), 0.0).when(a < b, 1 - a / b).otherwise(b / a - 1)
+
+    row = points.agg(*[F.avg(score(p)).alias(p) for p in predictions]).first()
+    return {p: row[p] for p in predictions}
+
+
 def sweep_k(
     df: DataFrame,
     ks: list[int],
@@ -58,10 +128,10 @@ def sweep_k(
     parallelism: int = 1,
 ) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """``k, silhouette`` for each k, and the fitted models for later use."""
-    fitted = fit_many(df, ks, features, seed, parallelism)
-    rows = [(k, score) for k, (_, score) in fitted.items()]
-    models = {k: model for k, (model, _) in fitted.items()}
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double"), models
+    _, models, scores = fit_many(df, ks, features, seed, parallelism)
+    for model in models.values():
+        model.setPredictionCol("prediction")
+    return df.sparkSession.createDataFrame(list(scores.items()), "k int, silhouette double"), models
 
 
 def best_k(sweep: DataFrame) -> DataFrame:
@@ -113,13 +183,22 @@ def first_members(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def cluster_names(df: DataFrame, n: int = 10, name: str = "artist_name") -> DataFrame:
-    """The first ``n`` names of every cluster as one array."""
-    named = df.select("prediction", name).distinct()
+def cluster_names(
+    df: DataFrame, n: int | None = None, name: str = "artist_name", per_list: int = 10_000
+) -> DataFrame:
+    """The different names of every cluster: ``prediction, list, names``.
+
+    All of them, dealt over lists like ``cluster_members``; with ``n`` the first
+    ``n`` in one list.
+    """
+    named = df.select("prediction", name).filter(F.col(name).isNotNull()).distinct()
+    if n is None:
+        return cluster_members(named, name, per_list).withColumnRenamed("members", "names")
     return (
         first_members(named, n, name)
         .groupBy("prediction")
         .agg(F.array_sort(F.collect_list(name)).alias("names"))
+        .select("prediction", F.lit(0).alias("list"), "names")
     )
 
 

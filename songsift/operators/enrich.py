@@ -57,15 +57,18 @@ def _levels_needed(sites: DataFrame, radius: float, per_cube: int) -> int:
         .groupBy("level")
         .agg(F.max("n").alias("n"))
     )
-    fits = fullest.filter(F.col("n") <= per_cube).agg(F.min("level")).first()[0]
-    return _MAX_LEVEL if fits is None else fits
+    found = fullest.agg(
+        F.count(F.lit(1)).alias("levels"), F.min(F.when(F.col("n") <= per_cube, level)).alias("fits")
+    ).first()
+    if not found["levels"]:
+        return 0
+    return _MAX_LEVEL if found["fits"] is None else found["fits"]
 
 
 def nearest_country(
     points: DataFrame,
     places: DataFrame,
     max_km: float,
-    rows_per_task: int = 1_000_000,
     per_cube: int = 64,
 ) -> DataFrame:
     """``lat, lon, artist_country``: the country of the place nearest to each point.
@@ -91,10 +94,10 @@ def nearest_country(
         "places",
     )
     placed = settle(_add_sphere(points, "q"), "points")
-    candidates = settle(_cubes_around(placed, sites, radius, rows_per_task), "candidates")
+    candidates = settle(_cubes_around(placed, sites, radius), "candidates")
     depth = _levels_needed(sites, radius, per_cube)
     for level in range(1, depth + 1):
-        halves = _halves(candidates, sites, level, radius, rows_per_task)
+        halves = _halves(candidates, sites, level, radius)
         candidates = settle(halves, "candidates")
     homes = sites.withColumns(dict(zip(_CUBE, _cube_of("p", depth, radius))))
     distance = _length([F.col(f"q{axis}") - F.col(f"p{axis}") for axis in "xyz"])
@@ -104,7 +107,7 @@ def nearest_country(
         F.col("place.country").alias("country"),
     )
     return (
-        lookup(candidates, homes, _CUBE, "inner", ["lat", "lon"], rows_per_task)
+        lookup(candidates, homes, _CUBE, "inner")
         .groupBy("lat", "lon")
         .agg(F.min(F.when(distance <= radius, found)).alias("best"))
         .filter("best IS NOT NULL")
@@ -113,7 +116,7 @@ def nearest_country(
 
 
 def _cubes_around(
-    points: DataFrame, sites: DataFrame, radius: float, rows_per_task: int
+    points: DataFrame, sites: DataFrame, radius: float
 ) -> DataFrame:
     """Each point with the cubes around it, of edge ``radius``, that hold a place."""
     own = [f"own_{axis}" for axis in "xyz"]
@@ -123,11 +126,11 @@ def _cubes_around(
     for name, cube in zip(own, _CUBE):
         around = around.withColumn(name, F.explode(F.sequence(F.col(cube) - 1, F.col(cube) + 1)))
     placed = points.withColumns(dict(zip(own, _cube_of("q", 0, radius))))
-    return lookup(placed, around, own, "inner", ["lat", "lon"], rows_per_task).drop(*own)
+    return lookup(placed, around, own, "inner").drop(*own)
 
 
 def _halves(
-    candidates: DataFrame, sites: DataFrame, level: int, radius: float, rows_per_task: int
+    candidates: DataFrame, sites: DataFrame, level: int, radius: float
 ) -> DataFrame:
     """The candidate cubes of each point at the next level, as far as they can still win."""
     small = [f"s{axis}" for axis in "xyz"]
@@ -149,7 +152,7 @@ def _halves(
     to_known = _length([F.col(f"q{axis}") - F.col(f"known.p{axis}") for axis in "xyz"])
     reach = F.least(F.min(to_known).over(W.partitionBy("lat", "lon")), F.lit(radius))
     return (
-        lookup(candidates, halves, _CUBE, "inner", ["lat", "lon"], rows_per_task)
+        lookup(candidates, halves, _CUBE, "inner")
         .withColumn("reach", reach)
         .filter(_length(outside) <= F.col("reach") + _SLACK)
         .select("lat", "lon", "qx", "qy", "qz", *[F.col(s).alias(c) for s, c in zip(small, _CUBE)])
@@ -162,7 +165,6 @@ def enrich_country(
     max_km: float = 500.0,
     lat: str = "artist_latitude",
     lon: str = "artist_longitude",
-    rows_per_task: int = 1_000_000,
     per_cube: int = 64,
 ) -> DataFrame:
     """Add ``artist_country``; null where a coordinate is missing or nothing is near.
@@ -174,28 +176,24 @@ def enrich_country(
     known = ~is_missing(df, lat) & ~is_missing(df, lon)
     keyed = df.withColumns({"_lat": F.when(known, F.col(lat)), "_lon": F.when(known, F.col(lon))})
     points = keyed.filter("_lat IS NOT NULL").selectExpr("_lat AS lat", "_lon AS lon").distinct()
-    countries = nearest_country(points, places, max_km, rows_per_task, per_cube).withColumnsRenamed(
+    countries = nearest_country(points, places, max_km, per_cube).withColumnsRenamed(
         {"lat": "_lat", "lon": "_lon"}
     )
-    return lookup(keyed, countries, ["_lat", "_lon"], "left", rows_per_task=rows_per_task).drop(
-        "_lat", "_lon"
-    )
+    return lookup(keyed, countries, ["_lat", "_lon"]).drop("_lat", "_lon")
 
 
 def enrich_tags(
-    df: DataFrame,
-    artist_tags: DataFrame,
-    name: str = "artist_name",
-    rows_per_task: int = 1_000_000,
+    df: DataFrame, artist_tags: DataFrame, name: str = "artist_name"
 ) -> DataFrame:
     """Set ``artist_genre``, the ordered tags of the artist; null where none are known.
 
-    ``artist_tags`` has ``artist_name, tags``; a name listed twice counts once.
+    ``artist_tags`` has ``artist_name, tags``.  Empty lists say nothing; of
+    several others for a name the smallest is taken.
     """
-    tags = artist_tags.groupBy(F.col("artist_name").alias(name)).agg(
-        F.min("tags").alias("artist_genre")
+    tags = (
+        artist_tags.filter(F.size("tags") > 0)
+        .groupBy(F.col("artist_name").alias(name))
+        .agg(F.min("tags").alias("artist_genre"))
     )
     df = df.drop("artist_genre")
-    return lookup(df, tags, name, "left", rows_per_task=rows_per_task).select(
-        *df.columns, "artist_genre"
-    )
+    return lookup(df, tags, name).select(*df.columns, "artist_genre")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from songsift.functions.lists import first_listed, parse_list
 from songsift.functions.numeric import round_int, shift_round
-from songsift.operators.quality import drop_missing, drop_zero
+from songsift.operators.quality import clip_outliers, drop_missing, drop_zero
 from songsift.schemas import GENRES
 from songsift.session import settle
 
@@ -107,9 +107,15 @@ def index_vector(max_categories: int = 20) -> VectorIndexer:
     )
 
 
-def prepare_classification(df: DataFrame, vocabulary: list[str] = GENRES) -> DataFrame:
+def prepare_classification(
+    df: DataFrame,
+    vocabulary: list[str] = GENRES,
+    durations: tuple[float, float] | None = None,
+) -> DataFrame:
     """The classification frame: clean, round, scale, label and index the songs.
 
+    Songs shorter or longer than ``durations`` are outliers and go first.
+
     The scaling range is taken over all clean songs, before unlabelled ones go.
     The catalogue is read and its terms are parsed once: the rounded and
     labelled songs are settled, and both fits run on that narrow table.
@@ -123,6 +129,8 @@ def prepare_classification(df: DataFrame, vocabulary: list[str] = GENRES) -> Dat
         "time_signature",
         "tempo",
     )
+    if durations:
+        clean = clip_outliers(clean, "duration", *durations)
     rounded = round_features(clean).select(
         "loudness",
         "tempo",
@@ -130,7 +138,7 @@ def prepare_classification(df: DataFrame, vocabulary: list[str] = GENRES) -> Dat
         "time_signature",
         song_label(clean, vocabulary).alias("filtered_genre"),
     )
-    settled = settle(rounded, "rounded", spread=True)
+    settled = settle(rounded, "rounded")
     scaled = minmax_scale(settled, ["loudness", "tempo", "duration"])
     return index_label(keep_labelled(scaled, "filtered_genre"))
 

@@ -2,73 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_HOT_KEYS = 1000
-
 
-def hot_keys(facts: DataFrame, on: list[str], rows_per_task: int) -> DataFrame:
-    """The keys with more than ``rows_per_task`` rows and the tasks each is worth.
-
-    Counts are combined before the shuffle.  Only the 1,000 largest are listed:
-    any other key then holds less than a thousandth of the rows, which is no
-    more than an ordinary task gets.
-    """
-    return (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_fan"))
-    )
+from songsift.session import settle
 
 
-def lookup(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: str | list[str],
-    how: str = "left",
-    salt_by: list[str] | None = None,
-    rows_per_task: int = 1_000_000,
-) -> DataFrame:
-    """Join the large ``facts`` to ``dim``, spreading the hot keys of ``facts``.
+def lookup(facts: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Join the large ``facts`` to ``dim``, whatever share of ``facts`` a key has.
 
-    One count per key comes first, so ``facts`` should be cheap to read twice.
-    Without hot keys this is a plain join, for which Spark picks the strategy.
-    Otherwise the rows of a hot key are dealt over as many salts as the key
-    needs, and only the ``dim`` rows of those keys are repeated per salt.  The
-    salt is a hash of the row, so a task that runs again sends its rows the same
-    way.  Rows with a null key match nothing; if they are many, they are dealt
-    out as well.
+    Adaptive execution cuts the rows of an overfull partition by the tasks that
+    wrote them, so any number of hot keys is split, rows that are equal in all
+    columns too, and a repeated task sends its rows the same way.  It does so
+    only where both sides come straight from a shuffle.  A ``dim`` that is the
+    result of an aggregate on the key does not, so ``dim`` is written to the
+    shared folder first.  Its written size also lets Spark broadcast it if small.
     """
-    on = [on] if isinstance(on, str) else list(on)
-    found = hot_keys(facts, on, rows_per_task).collect()  # at most MAX_HOT_KEYS rows
-    if not found:
-        return facts.join(dim, on, how)
-    types = [facts.schema[c].dataType.simpleString() for c in on]
-    schema = ", ".join([f"`{c}` {t}" for c, t in zip(on, types)] + ["_fan int"])
-    hot = F.broadcast(facts.sparkSession.createDataFrame(found, schema))
-    salt = F.xxhash64(*(salt_by or facts.columns))
-    no_key = reduce(or_, [F.col(c).isNull() for c in on])
-    salted_facts = (
-        facts.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_fan").isNotNull(), F.pmod(salt, F.col("_fan")))
-            .when(no_key, F.pmod(salt, F.lit(MAX_HOT_KEYS)))
-            .otherwise(F.lit(0))
-            .cast("int"),
-        )
-        .drop("_fan")
-    )
-    salted_dim = (
-        dim.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)))
-        .drop("_fan")
-    )
-    return salted_facts.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return facts.join(settle(dim, "lookup"), on, how)

@@ -64,7 +64,9 @@ def _measure(wide: DataFrame) -> dict[str, Row]:
 
 
 def _as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    """The columns as doubles, with null for NaN."""
+    values = {c: F.col(c).cast("double") for c in columns}
+    return df.select(*[F.when(~F.isnan(v), v).alias(c) for c, v in values.items()])
 
 
 def exact_quantiles(
@@ -72,18 +74,20 @@ def exact_quantiles(
     columns: list[str],
     probabilities: list[float],
     rows_per_task: int = 5_000_000,
-    bins: int = 4096,
+    accuracy: int = 10_000,
 ) -> dict[tuple[str, float], float]:
     """Linear-interpolated quantiles, exact at any size, keyed by (column, probability).
 
-    Each wanted rank starts with the whole value range as its bracket.  While a
-    bracket holds more than ``rows_per_task`` rows, a histogram of ``bins`` equal
-    steps narrows it to the step that holds the rank.  Then the values left in
-    the brackets are counted and the ranks are read off a running total.  The
-    driver sees histograms and single values only, never the rows.
+    Approximate percentiles a little below and above each wanted rank bracket
+    it, whatever the values are, infinities included.  One pass counts the rows
+    below and inside each bracket.  A bracket that misses its rank starts again
+    with all values, and one with more than ``rows_per_task`` rows is narrowed
+    in the same way.  Then the values left are counted and the ranks are read
+    off a running total: three passes, unless a bracket has to be narrowed.  The
+    driver sees single values only, never the rows.
     """
     wide = _as_doubles(df, columns)
-    return _quantiles(wide, _measure(wide), probabilities, rows_per_task, bins)
+    return _quantiles(wide, _measure(wide), probabilities, rows_per_task, accuracy)
 
 
 def _quantiles(
@@ -91,7 +95,7 @@ def _quantiles(
     measured: dict[str, Row],
     probabilities: list[float],
     rows_per_task: int = 5_000_000,
-    bins: int = 4096,
+    accuracy: int = 10_000,
 ) -> dict[tuple[str, float], float]:
     brackets = {}  # (column, rank) -> (lowest, highest, rows below, rows inside)
     positions = {}
@@ -102,16 +106,17 @@ def _quantiles(
             for rank in (math.floor(position), math.ceil(position)):
                 brackets[c, rank] = (m["min"], m["max"], 0, m["count"])
 
-    stuck = set()
+    first, stuck = True, set()
     while True:
         wanted = {
             key: b
             for key, b in brackets.items()
-            if b[3] > rows_per_task and b[0] < b[1] and key not in stuck
+            if b[0] < b[1] and (first or b[3] > rows_per_task) and key not in stuck
         }
+        first = False
         if not wanted:
             break
-        for key, narrowed in _narrow(wide, wanted, bins).items():
+        for key, narrowed in _narrow(wide, wanted, accuracy).items():
             if narrowed == brackets[key]:
                 stuck.add(key)
             brackets[key] = narrowed
@@ -120,7 +125,7 @@ def _quantiles(
     result = {}
     for (c, p), position in positions.items():
         low, high = ranked[c, math.floor(position)], ranked[c, math.ceil(position)]
-        result[c, p] = low + (high - low) * (position - math.floor(position))
+        result[c, p] = _between(low, high, position - math.floor(position))
     return result
 
 
@@ -135,37 +140,38 @@ def _in_brackets(wide: DataFrame, brackets: dict) -> tuple[list, DataFrame]:
     return ranges, narrow.unpivot([], narrow.columns, "slot", "value").filter("value IS NOT NULL")
 
 
-def _per_slot(ranges: list, choose) -> Column:
-    """The number that ``choose`` takes from the range of the row's slot."""
-    cases = F.when(F.col("slot") == "0", F.lit(choose(ranges[0])))
-    for slot, bounds in enumerate(ranges[1:], 1):
-        cases = cases.when(F.col("slot") == str(slot), F.lit(choose(bounds)))
-    return cases
-
-
-def _narrow(wide: DataFrame, brackets: dict, bins: int) -> dict:
-    ranges, tagged = _in_brackets(wide, brackets)
-    lowest = _per_slot(ranges, lambda bounds: bounds[1])
-    # Halved first, so that the width of the widest bracket does not overflow.
-    half_width = _per_slot(ranges, lambda bounds: bounds[2] / 2 - bounds[1] / 2)
-    share = (F.col("value") / 2 - lowest / 2) / half_width
-    step = F.least(F.floor(share * bins), F.lit(bins - 1))
-    histogram = (
-        tagged.groupBy("slot", step.alias("step"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .orderBy("slot", "step")
-        .collect()  # at most bins rows per bracket
-    )
+def _between(low: float, high: float, share: float) -> float:
+    """The value ``share`` of the way from ``low`` to ``high``; an infinite end wins."""
+    if low == high or not share:
+        return low
+    if math.isinf(low) or math.isinf(high):
+        return low * (1 - share) + high * share
+    return low + (high - low) * share
+
+
+def _narrow(wide: DataFrame, brackets: dict, accuracy: int) -> dict:
+    """Each bracket with ends close to its rank; as it was if these miss the rank."""
+    ends, margin = [], 2 / accuracy
+    for (c, rank), (lo, hi, below, inside) in brackets.items():
+        share = (rank - below) / max(1, inside - 1)
+        shares = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
+        kept = F.when(F.col(c).between(lo, hi), F.col(c))
+        ends.append(F.percentile_approx(kept, shares, accuracy))
+    found = wide.agg(*[e.alias(str(i)) for i, e in enumerate(ends)]).first()
+    counts = wide.agg(
+        *[
+            F.struct(
+                F.count_if(F.col(c) < found[i][0]).alias("below"),
+                F.count_if(F.col(c).between(*found[i])).alias("inside"),
+            ).alias(str(i))
+            for i, (c, _) in enumerate(brackets)
+        ]
+    ).first()
     narrowed = {}
-    for (c, rank), (lo, hi, below, _) in brackets.items():
-        slot = str(ranges.index((c, lo, hi)))
-        for row in histogram:
-            if row["slot"] != slot:
-                continue
-            if rank < below + row["n"]:
-                narrowed[c, rank] = (row["lo"], row["hi"], below, row["n"])
-                break
-            below += row["n"]
+    for i, ((c, rank), bracket) in enumerate(brackets.items()):
+        below, inside = counts[i]
+        holds = below <= rank < below + inside
+        narrowed[c, rank] = (*found[i], below, inside) if holds else bracket
     return narrowed
 
 

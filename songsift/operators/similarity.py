@@ -56,23 +56,28 @@ def artist_features(
 def ground_truth(df: DataFrame) -> DataFrame:
     """``artist_id, similar_artists``: the artist's known similar artists as an array.
 
-    All songs of an artist carry the same long list, so equal lists are merged
-    by hash first.  Should an artist have several, the smallest one is taken.
+    The songs of an artist mostly carry the same long list, so equal lists are
+    merged by hash first, and each is parsed once.  Empty lists say nothing; of
+    several others the one of the song with the smallest ``song_id`` is taken,
+    and the smaller list if one song has two.
     """
     lists = (
         df.filter(F.col("similar_artists").isNotNull())
-        .select("artist_id", "similar_artists")
-        .distinct()
-        .groupBy("artist_id")
-        .agg(F.min("similar_artists").alias("similar_artists"))
+        .groupBy("artist_id", "similar_artists")
+        .agg(F.min("song_id").alias("song_id"))
     )
     if isinstance(df.schema["similar_artists"].dataType, T.StringType):
-        return lists.withColumn("similar_artists", parse_list(F.col("similar_artists")))
-    return lists
+        lists = lists.withColumn("similar_artists", parse_list(F.col("similar_artists")))
+    chosen = F.min_by("similar_artists", F.struct("song_id", "similar_artists"))
+    return (
+        lists.filter(F.size("similar_artists") > 0)
+        .groupBy("artist_id")
+        .agg(chosen.alias("similar_artists"))
+    )
 
 
 def truth_edges(
-    truth: DataFrame, assignments: DataFrame, predictions: list[str], rows_per_task: int
+    truth: DataFrame, assignments: DataFrame, predictions: list[str]
 ) -> DataFrame:
     """Each known pair (artist, similar artist) with a flag per prediction column.
 
@@ -91,7 +96,7 @@ def truth_edges(
         F.col("artist_id").alias("similar_id"),
         *[F.col(p).alias(f"other_{p}") for p in predictions],
     )
-    joined = lookup(edges, others, "similar_id", "left", ["artist_id"], rows_per_task)
+    joined = lookup(edges, others, "similar_id")
 
     def same(prediction: str) -> Column:
         return F.coalesce(
@@ -106,14 +111,14 @@ def truth_edges(
 
 
 def cluster_peers(
-    truth: DataFrame, assignments: DataFrame, rows_per_task: int = 1_000_000
+    truth: DataFrame, assignments: DataFrame
 ) -> DataFrame:
     """The known similar artists that share the artist's cluster, the artist itself left out.
 
     The full peer list of every artist would be quadratic in the cluster size;
     ``peers_of`` gives it for one artist.
     """
-    edges = truth_edges(truth, assignments, ["prediction"], rows_per_task)
+    edges = truth_edges(truth, assignments, ["prediction"])
     return edges.filter("same_prediction").select("artist_id", "similar_id")
 
 
@@ -126,9 +131,9 @@ def peers_of(assignments: DataFrame, artist_id: str) -> DataFrame:
 
 
 def _scores(
-    truth: DataFrame, assignments: DataFrame, predictions: list[str], rows_per_task: int
+    truth: DataFrame, assignments: DataFrame, predictions: list[str]
 ) -> DataFrame:
-    edges = truth_edges(truth, assignments, predictions, rows_per_task)
+    edges = truth_edges(truth, assignments, predictions)
     return edges.groupBy("artist_id", "listed").agg(
         *[
             (100.0 * F.count_if(f"same_{p}") / F.col("listed")).alias(f"pct_{p}")
@@ -138,10 +143,10 @@ def _scores(
 
 
 def score_overlap(
-    truth: DataFrame, assignments: DataFrame, rows_per_task: int = 1_000_000
+    truth: DataFrame, assignments: DataFrame
 ) -> DataFrame:
     """Per artist, the percentage of its known similar artists found in its cluster."""
-    return _scores(truth, assignments, ["prediction"], rows_per_task).select(
+    return _scores(truth, assignments, ["prediction"]).select(
         "artist_id", F.col("pct_prediction").alias("percent")
     )
 
@@ -151,7 +156,7 @@ def overlap_summary(scores: DataFrame) -> DataFrame:
 
 
 def _evaluate(
-    df: DataFrame, truth: DataFrame, predictions: list[str], rows_per_task: int
+    df: DataFrame, truth: DataFrame, predictions: list[str]
 ) -> list[tuple[float, float, float]]:
     """Average cluster size, average and maximum overlap for each prediction column."""
     sizes = df.agg(
@@ -161,7 +166,7 @@ def _evaluate(
             for p in predictions
         ]
     ).first()
-    scores = _scores(truth, df.select("artist_id", *predictions), predictions, rows_per_task)
+    scores = _scores(truth, df.select("artist_id", *predictions), predictions)
     overlap = scores.agg(
         *[F.avg(f"pct_{p}").alias(f"avg_{p}") for p in predictions],
         *[F.max(f"pct_{p}").alias(f"max_{p}") for p in predictions],
@@ -173,10 +178,9 @@ def evaluate_clusters(
     df: DataFrame,
     truth: DataFrame,
     features: str = "scaledFeatures",
-    rows_per_task: int = 1_000_000,
 ) -> DataFrame:
     """One row: average artists per cluster, silhouette, average and maximum overlap."""
-    size, average, largest = _evaluate(df, truth, ["prediction"], rows_per_task)[0]
+    size, average, largest = _evaluate(df, truth, ["prediction"])[0]
     return df.sparkSession.createDataFrame(
         [(size, float(silhouette(df, features)), average, largest)],
         "avgArtistsPerCluster double, silhouette double, avgPercent double, maxPercent double",
@@ -190,21 +194,19 @@ def artist_sweep(
     features: str = "scaledFeatures",
     seed: int = 1,
     parallelism: int = 1,
-    rows_per_task: int = 1_000_000,
 ) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """The scores of ``evaluate_clusters`` for several k, and the models.
 
-    All k are scored in one pass over the known pairs.  ``artists`` should be
+    All k are scored in one pass over the known pairs, and their silhouettes are
+    taken together.  ``artists`` should be
     settled, since every fit reads it.
     """
-    fitted = fit_many(artists, ks, features, seed, parallelism)
-    models = {k: model for k, (model, _) in fitted.items()}
-    assigned = artists.select("artist_id", features)
-    for k, model in models.items():
-        assigned = model.copy({model.predictionCol: f"k{k}"}).transform(assigned)
-    scores = _evaluate(assigned, truth, [f"k{k}" for k in ks], rows_per_task)
+    assigned, models, silhouettes = fit_many(
+        artists.select("artist_id", features), ks, features, seed, parallelism
+    )
+    scores = _evaluate(assigned, truth, [f"k{k}" for k in ks])
     rows = [
-        (k, size, fitted[k][1], average, largest)
+        (k, size, silhouettes[k], average, largest)
         for k, (size, average, largest) in zip(ks, scores)
     ]
     table = artists.sparkSession.createDataFrame(

@@ -19,13 +19,16 @@ SPLIT_KEY = ["loudness", "tempo", "duration", "time_signature", "filtered_genre"
 
 
 def training_split(
-    songs: DataFrame, vocabulary: list[str] = GENRES, share: float = 0.8
+    songs: DataFrame,
+    vocabulary: list[str] = GENRES,
+    share: float = 0.8,
+    durations: tuple[float, float] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The prepared songs as training and test rows of one settled table.
 
     The side is stored with the row, since a fit reads its input many times.
     """
-    frame = prepare_classification(songs, vocabulary).withColumn(
+    frame = prepare_classification(songs, vocabulary, durations).withColumn(
         "_bucket", split_bucket(SPLIT_KEY)
     )
     return split_at(settle(frame, "classification", spread=True), "_bucket", share)

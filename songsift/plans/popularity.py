@@ -24,12 +24,22 @@ def songs_per_year(songs: DataFrame) -> DataFrame:
     return order_desc(count_by(drop_zero(songs, "year"), "year"), "count", "year")
 
 
-def songs_per_country(songs: DataFrame, country: str = "artist_location") -> DataFrame:
+def country_column(songs: DataFrame, country: str | None) -> str:
+    """``country``, or else ``artist_country``, which the ingest adds."""
+    if country is None and "artist_country" not in songs.columns:
+        raise ValueError("no artist_country: enrich the songs first, or name the column")
+    return country or "artist_country"
+
+
+def songs_per_country(songs: DataFrame, country: str | None = None) -> DataFrame:
+    """Songs per country, largest first."""
+    country = country_column(songs, country)
     return order_desc(count_by(songs, country), "count", country)
 
 
-def artists_per_country(songs: DataFrame, country: str = "artist_location") -> DataFrame:
+def artists_per_country(songs: DataFrame, country: str | None = None) -> DataFrame:
     """Different artists per country, largest first."""
+    country = country_column(songs, country)
     return order_desc(count_entities_by(songs, country, "artist_id"), "count", country)
 
 

@@ -8,6 +8,7 @@ from songsift.operators.classify import (
     best_params,
     cross_validate,
     fold_metrics,
+    forest_grid,
     random_forest,
 )
 from songsift.operators.clusters import cluster_profile, playlist
@@ -23,11 +24,15 @@ from songsift.plans.popularity import (
 )
 from songsift.schemas import ARTIST_KS, GENRES, SONG_CLUSTER_FEATURES
 
+# What a playlist shows, and below the clusters and songs listed.
 _SHOWN = ["artist_name", "title", "duration", "tempo", "artist_genre"]
 
 
-def counts_report(songs: DataFrame, country: str = "artist_location") -> dict[str, DataFrame]:
-    """Songs per year and country, artists per country, terms, and how the top terms sound."""
+def counts_report(songs: DataFrame, country: str | None = None) -> dict[str, DataFrame]:
+    """Songs per year and country, artists per country, terms, and how the top terms sound.
+
+    ``country`` names the column with countries, ``artist_country`` by default.
+    """
     return {
         "songs_per_year": songs_per_year(songs),
         "songs_per_country": songs_per_country(songs, country),
@@ -44,13 +49,19 @@ def genres_report(
     max_iter: int = 50,
     folds: int = 5,
     parallelism: int = 1,
+    grid: bool = False,
+    durations: tuple[float, float] | None = None,
 ) -> dict[str, DataFrame]:
-    """Accuracy of the classifiers, and of the forest over the folds."""
-    train, test = training_split(songs, vocabulary)
+    """Accuracy of the classifiers, and of the forest over the folds.
+
+    With ``grid`` the folds are run for all 27 settings of ``forest_grid``;
+    ``durations`` are the bounds beyond which a song is an outlier.
+    """
+    train, test = training_split(songs, vocabulary, durations=durations)
     comparison, _ = compare_classifiers(train, test, trees, max_iter)
-    validated = cross_validate(
-        train, random_forest(trees=trees), folds=folds, parallelism=parallelism
-    )
+    forest = random_forest(trees=trees)
+    settings = forest_grid(forest.getStages()[-1]) if grid else None
+    validated = cross_validate(train, forest, settings, folds=folds, parallelism=parallelism)
     return {
         "classifiers": comparison,
         "forest_folds": fold_metrics(train, validated),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -49,10 +52,21 @@ from songsift.session import settle
 
 _ARTIST_COLUMNS = "artist_id artist_name duration energy loudness tempo year".split()
 
-TRUTH = (
-    f"truth AS (SELECT artist_id, {tokens_sql('named')} AS similar_artists FROM"
-    " (SELECT artist_id, min(similar_artists) AS named"
-    " FROM catalogue GROUP BY artist_id))"
+
+
+def _truth_sql(source: str) -> str:
+    return (
+        f"truth AS (SELECT artist_id, {tokens_sql('named')} AS similar_artists FROM"
+        " (SELECT artist_id, min_by(similar_artists, song_id) AS named"
+        f" FROM {source} WHERE len({tokens_sql('similar_artists')}) > 0 GROUP BY artist_id))"
+    )
+
+
+TRUTH = _truth_sql("catalogue")
+# Some songs with an empty list, some with another one than the artist's other songs.
+_UNEVEN = (
+    "CASE WHEN time_signature IN (1, 2) THEN '[]' WHEN time_signature = 3"
+    " THEN '[''AR9'', ''' || artist_id || ''']' ELSE similar_artists END"
 )
 FEATURES = (
     "features AS (SELECT artist_id, min(artist_name) AS artist_name, count(*) AS nbSong,"
@@ -103,7 +117,8 @@ _EMBEDDED = (
 
 
 def _truth(spark, sf_dir):
-    return settle(ground_truth(catalogue(spark, sf_dir, "artist_id", "similar_artists")), "truth")
+    songs = catalogue(spark, sf_dir, "artist_id", "song_id", "similar_artists")
+    return settle(ground_truth(songs), "truth")
 
 
 def _one_value(spark, value, name):
@@ -137,6 +152,20 @@ def known_similar_artists(spark, sf_dir):
     return _truth(spark, sf_dir).withColumn("similar_artists", F.array_join("similar_artists", "|"))
 
 
+@query(
+    over_catalogue(
+        "SELECT artist_id, array_to_string(similar_artists, '|') AS similar_artists FROM truth",
+        f"uneven AS (SELECT artist_id, song_id, {_UNEVEN} AS similar_artists FROM catalogue)",
+        _truth_sql("uneven"),
+    )
+)
+def ground_truth_typed(spark, sf_dir):
+    """From arrays, with empty and several lists for an artist."""
+    songs = catalogue(spark, sf_dir, "artist_id", "song_id", "similar_artists", "time_signature")
+    typed = songs.withColumn("similar_artists", parse_list(F.expr(_UNEVEN)))
+    return ground_truth(typed).withColumn("similar_artists", F.array_join("similar_artists", "|"))
+
+
 @query(
     f'WITH {ARTISTS_SQL} SELECT prediction, count(*) AS "count" FROM artists GROUP BY prediction',
     "cluster_sizes",
@@ -189,13 +218,16 @@ def members_of_clusters(spark, sf_dir):
 
 
 @query(
-    f"WITH {ARTISTS_SQL} SELECT prediction, string_agg(artist_name, '|' ORDER BY artist_name)"
-    " AS names FROM (SELECT prediction, artist_name, row_number() OVER (PARTITION BY prediction"
-    " ORDER BY artist_name) AS rn FROM artists) WHERE rn <= 10 GROUP BY prediction",
+    f"WITH {ARTISTS_SQL}, named AS (SELECT DISTINCT prediction, artist_name FROM artists), lists AS"
+    " (SELECT prediction, CAST(ceil(count(*) / 10000.0) AS BIGINT) AS n FROM named GROUP BY 1)"
+    " SELECT prediction, list, string_agg(artist_name, '|' ORDER BY artist_name) AS names"
+    " FROM (SELECT prediction, artist_name, CAST(CAST('0x' || substr(md5(artist_name), 1, 8)"
+    " AS BIGINT) % 2147483648 % n AS INTEGER) AS list FROM named JOIN lists USING (prediction))"
+    " GROUP BY prediction, list",
     "cluster_names",
 )
 def names_of_clusters(spark, sf_dir):
-    return cluster_names(artists(spark, sf_dir), 10).withColumn("names", F.array_join("names", "|"))
+    return cluster_names(artists(spark, sf_dir)).withColumn("names", F.array_join("names", "|"))
 
 
 @query(
@@ -351,16 +383,31 @@ def _embedding_model(spark, sf_dir, k=10):
     return points, fit_kmeans(points, k)
 
 
-@query()
+@query("SELECT CAST(10 AS BIGINT) AS clusters, count(*) AS points FROM embeddings")
 def kmeans_embeddings(spark, sf_dir):
+    """All clusters have points, and every point has a cluster."""
     points, model = _embedding_model(spark, sf_dir)
-    return cluster_sizes(attach_predictions(points, model))
+    sizes = cluster_sizes(attach_predictions(points, model)).filter(
+        F.col("prediction").between(0, 9) & (F.col("count") > 0)
+    )
+    return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("points"))
 
 
-@query()
+@query(
+    "SELECT CAST(c AS INTEGER) AS cluster, 'x' || i AS feature, true AS inside"
+    " FROM range(10) t(c), range(64) u(i) WHERE (SELECT count(*) FROM embeddings) > 0"
+)
 def kmeans_centers(spark, sf_dir):
+    """A centre is a mean, so it lies between the least and the largest value of each feature."""
     points, model = _embedding_model(spark, sf_dir)
-    return cluster_centers(points, model, [f"x{i}" for i in range(64)])
+    names = [f"x{i}" for i in range(64)]
+    values = points.select(F.posexplode(vector_to_array("scaledFeatures")).alias("i", "v"))
+    ranges = values.groupBy(F.concat(F.lit("x"), F.col("i")).alias("feature")).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    inside = F.col("value").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
+    centers = cluster_centers(points, model, names).join(ranges, "feature")
+    return centers.select("cluster", "feature", inside.alias("inside"))
 
 
 @query(
@@ -392,19 +439,31 @@ def kmeans_nearest_center(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    "SELECT CAST(k AS INTEGER) AS k, true AS in_range, true AS agrees FROM range(2, 13) t(k)"
+    " WHERE (SELECT count(*) FROM lineitem) > 0"
+)
 def k_sweep(spark, sf_dir):
+    """The silhouettes lie in [-1, 1]; the best one is that of the library's own evaluator."""
     points = song_vectors(catalogue(spark, sf_dir, *SONG_CLUSTER_FEATURES))
-    return cluster_songs(points, parallelism=4)[0]
+    sweep, assigned = cluster_songs(points, parallelism=4)
+    largest = best_k(sweep).first()["silhouette"]
+    agrees = abs(silhouette(assigned) - largest) < 1e-9
+    in_range = F.col("silhouette").between(-1, 1)
+    return sweep.select("k", in_range.alias("in_range"), F.lit(agrees).alias("agrees"))
 
 
-@query()
+@query("SELECT CAST(20 AS BIGINT) AS songs, CAST(20 AS BIGINT) AS known FROM lineitem LIMIT 1")
 def playlist_kmeans(spark, sf_dir):
+    """Twenty songs of one cluster, all of them in the catalogue."""
     columns = ["artist_name", "title", "duration", "tempo"]
     keep = ("song_id", "artist_name", "title")
-    points = song_vectors(catalogue(spark, sf_dir, *keep, *SONG_CLUSTER_FEATURES), keep=keep)
-    _, songs = cluster_songs(points, range(2, 5), parallelism=3)
-    return playlist(songs, 0, 20, columns, "song_id", "artist_name", "title", "duration")
+    songs = catalogue(spark, sf_dir, *keep, *SONG_CLUSTER_FEATURES)
+    _, clustered = cluster_songs(song_vectors(songs, keep=keep), parallelism=4)
+    listed = playlist(clustered, 0, 20, columns, "song_id", "artist_name", "title", "duration")
+    listed = settle(listed, "playlist")
+    known = listed.join(songs, columns, "left_semi")
+    return listed.agg(F.count(F.lit(1)).alias("songs")).withColumn("known", F.lit(known.count()).cast("bigint"))
 
 
 def _song_profile(spark, sf_dir):
@@ -413,9 +472,18 @@ def _song_profile(spark, sf_dir):
     return cluster_profile(songs, SONG_CLUSTER_FEATURES)
 
 
-@query()
+@query(
+    "SELECT CAST(c AS INTEGER) AS prediction, true AS inside FROM range(4) t(c)"
+    " WHERE (SELECT count(*) FROM lineitem) > 0"
+)
 def kmeans_song_profile(spark, sf_dir):
-    return _song_profile(spark, sf_dir)
+    """Every cluster's means lie between the least and the largest values of all songs."""
+    ends = catalogue(spark, sf_dir, *SONG_CLUSTER_FEATURES).agg(
+        *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in SONG_CLUSTER_FEATURES]
+    )
+    ends = ends.first()
+    inside = [F.col(f"avg_{c}").between(ends[c]["lo"], ends[c]["hi"]) for c in SONG_CLUSTER_FEATURES]
+    return _song_profile(spark, sf_dir).select("prediction", reduce(and_, inside).alias("inside"))
 
 
 @query(
@@ -438,7 +506,24 @@ def kmeans_profile_total(spark, sf_dir):
     )
 
 
-@query(name="artist_sweep")
+@query(
+    "SELECT CAST(k AS INTEGER) AS k, true AS silhouette_in_range, true AS overlap_in_range,"
+    " true AS size_fits FROM (SELECT unnest([5, 10, 20, 50, 100]) AS k)"
+    " WHERE (SELECT count(*) FROM lineitem) > 0",
+    "artist_sweep",
+)
 def artist_cluster_sweep(spark, sf_dir):
-    songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "similar_artists")
-    return compare_artist_clusterings(songs, parallelism=4)
+    """What must hold for each k, whatever the fit."""
+    songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "song_id", "similar_artists")
+    sweep = compare_artist_clusterings(songs, parallelism=4)
+    total = artist_features(catalogue(spark, sf_dir, *_ARTIST_COLUMNS)).count()
+    size, average, largest = (
+        F.col(c) for c in ("avgArtistsPerCluster", "avgPercent", "maxPercent")
+    )
+    return sweep.select(
+        "k",
+        F.col("silhouette").between(-1, 1).alias("silhouette_in_range"),
+        (average.between(0, largest) & largest.between(0, 100)).alias("overlap_in_range"),
+        # A fit may leave some of the k clusters empty, never make more.
+        size.between(total / F.col("k") - 1e-9, total).alias("size_fits"),
+    )

@@ -78,7 +78,7 @@ def top_year(spark, sf_dir):
     )
 )
 def count_by_location(spark, sf_dir):
-    return songs_per_country(catalogue(spark, sf_dir, "artist_location"))
+    return songs_per_country(catalogue(spark, sf_dir, "artist_location"), "artist_location")
 
 
 @query(
@@ -88,13 +88,24 @@ def count_by_location(spark, sf_dir):
     )
 )
 def artists_per_location(spark, sf_dir):
-    return artists_per_country(catalogue(spark, sf_dir, "artist_location", "artist_id"))
+    songs = catalogue(spark, sf_dir, "artist_location", "artist_id")
+    return artists_per_country(songs, "artist_location")
 
 
-@query()
+@query(
+    over_catalogue(
+        "SELECT DISTINCT artist_location, true AS near FROM catalogue"
+        " WHERE artist_location IS NOT NULL"
+    )
+)
 def artists_per_location_approx(spark, sf_dir):
+    """Within three standard errors of the exact count."""
     songs = catalogue(spark, sf_dir, "artist_location", "artist_id")
-    return count_entities_by(songs, "artist_location", "artist_id", approx=True)
+    exact = count_entities_by(songs, "artist_location", "artist_id")
+    about = count_entities_by(songs, "artist_location", "artist_id", approx=True)
+    both = about.join(exact.withColumnRenamed("count", "exact"), "artist_location")
+    off = F.abs(F.col("count") - F.col("exact"))
+    return both.select("artist_location", (off <= 0.15 * F.col("exact")).alias("near"))
 
 
 @query(over_catalogue("SELECT * FROM terms", _TERMS), "token_count")

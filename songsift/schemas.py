@@ -4,46 +4,74 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_STRINGS = T.ArrayType(T.StringType())
-_DOUBLES = T.ArrayType(T.DoubleType())
-
-
-def _struct(*groups: tuple[T.DataType, str]) -> T.StructType:
-    fields = [T.StructField(name, dtype) for dtype, names in groups for name in names.split()]
-    return T.StructType(fields)
-
+_STRING, _DOUBLE, _INT = T.StringType(), T.DoubleType(), T.IntegerType()
+_STRINGS, _DOUBLES = T.ArrayType(_STRING), T.ArrayType(_DOUBLE)
 
 # The 26 catalogue columns and their logical types.
-CATALOGUE = _struct(
-    (T.StringType(), "artist_id artist_name artist_location"),
-    (T.DoubleType(), "artist_latitude artist_longitude"),
-    (T.StringType(), "song_id title"),
-    (T.DoubleType(), "song_hotttnesss"),
-    (_STRINGS, "similar_artists artist_terms"),
-    (_DOUBLES, "artist_terms_freq artist_terms_weight"),
-    (T.DoubleType(), "duration"),
-    (T.IntegerType(), "time_signature"),
-    (T.DoubleType(), "time_signature_confidence"),
-    (_DOUBLES, "beats_start beats_confidence"),
-    (T.IntegerType(), "key"),
-    (T.DoubleType(), "key_confidence loudness energy"),
-    (T.IntegerType(), "mode"),
-    (T.DoubleType(), "mode_confidence tempo"),
-    (T.IntegerType(), "year"),
-    (_STRINGS, "artist_genre"),
+CATALOGUE = T.StructType(
+    [
+        T.StructField("artist_id", _STRING),
+        T.StructField("artist_name", _STRING),
+        T.StructField("artist_location", _STRING),
+        T.StructField("artist_latitude", _DOUBLE),
+        T.StructField("artist_longitude", _DOUBLE),
+        T.StructField("song_id", _STRING),
+        T.StructField("title", _STRING),
+        T.StructField("song_hotttnesss", _DOUBLE),
+        T.StructField("similar_artists", _STRINGS),
+        T.StructField("artist_terms", _STRINGS),
+        T.StructField("artist_terms_freq", _DOUBLES),
+        T.StructField("artist_terms_weight", _DOUBLES),
+        T.StructField("duration", _DOUBLE),
+        T.StructField("time_signature", _INT),
+        T.StructField("time_signature_confidence", _DOUBLE),
+        T.StructField("beats_start", _DOUBLES),
+        T.StructField("beats_confidence", _DOUBLES),
+        T.StructField("key", _INT),
+        T.StructField("key_confidence", _DOUBLE),
+        T.StructField("loudness", _DOUBLE),
+        T.StructField("energy", _DOUBLE),
+        T.StructField("mode", _INT),
+        T.StructField("mode_confidence", _DOUBLE),
+        T.StructField("tempo", _DOUBLE),
+        T.StructField("year", _INT),
+        T.StructField("artist_genre", _STRINGS),
+    ]
 )
 
 # Where each catalogue column sits in a nested song record.
 SONG_GROUPS = {
-    "metadata": (
-        "artist_id artist_name artist_location artist_latitude artist_longitude song_id title "
-        "song_hotttnesss similar_artists artist_terms artist_terms_freq artist_terms_weight"
-    ).split(),
-    "analysis": (
-        "duration time_signature time_signature_confidence beats_start beats_confidence key "
-        "key_confidence loudness energy mode mode_confidence tempo"
-    ).split(),
-    "musicbrainz": ["year"],
+    "metadata": [
+        "artist_id",
+        "artist_name",
+        "artist_location",
+        "artist_latitude",
+        "artist_longitude",
+        "song_id",
+        "title",
+        "song_hotttnesss",
+        "similar_artists",
+        "artist_terms",
+        "artist_terms_freq",
+        "artist_terms_weight",
+    ],
+    "analysis": [
+        "duration",
+        "time_signature",
+        "time_signature_confidence",
+        "beats_start",
+        "beats_confidence",
+        "key",
+        "key_confidence",
+        "loudness",
+        "energy",
+        "mode",
+        "mode_confidence",
+        "tempo",
+    ],
+    "musicbrainz": [
+        "year",
+    ],
 }
 
 # Feature columns used by the classifiers and the two clusterings.

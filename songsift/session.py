@@ -4,29 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a settled table that a fit should get in one file.
+ROWS_PER_FILE = 25_000
+
+_local_folders: dict[str, str] = {}
+_open: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
     Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder.
+    back to a temporary folder, one for each application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="songsift-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="songsift-")
+    return _local_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/songsift-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/songsift-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end whatever was written to the shared folder within.
+
+    Frames that read such a table must be used up or stored before the end.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settle(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
@@ -34,15 +63,13 @@ def settle(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
 
     Iterative fits read their input many times.  A written table cuts the
     lineage, stays columnar and outlives any executor that is lost on the way.
-    With ``spread``, a table of fewer files than the cluster has cores is
-    written once more with a file per core, so that a fit, which is heavy for
-    each row, keeps all of them busy.  A larger table is left as it is.
+    With ``spread`` the rows are counted first and dealt over files of about
+    ``ROWS_PER_FILE``, so that a fit, which is heavy for each row, has work for
+    many tasks.  The number of files follows the rows, not the machine.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if spread:
+        df = df.repartition(-(-df.count() // ROWS_PER_FILE) or 1)
     df.write.parquet(path)
-    settled = spark.read.schema(df.schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and len(settled.inputFiles()) < cores:
-        return settle(settled.repartition(cores), name)
-    return settled
+    return spark.read.schema(df.schema).parquet(path)

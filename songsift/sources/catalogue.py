@@ -10,19 +10,27 @@ from songsift.functions.lists import parse_floats, parse_list
 from songsift.schemas import CATALOGUE, SONG_GROUPS
 
 
-def read_catalogue(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+def read_catalogue(
+    spark: SparkSession, path: str, typed: bool = True, lists: bool = True
+) -> DataFrame:
     """Scan a catalogue table; ``typed`` turns list text into arrays on the way.
 
     Columns are only renamed or parsed, never moved behind an opaque step, so
-    column pruning and filters still reach the Parquet scan.
+    column pruning and filters still reach the Parquet scan.  Without ``lists``
+    list text stays as stored: the operators take either form, and count or
+    compare the text before they parse what is left of it.
     """
     stored = spark.read.parquet(path)
-    return typed_catalogue(stored) if typed else stored
+    return typed_catalogue(stored, lists) if typed else stored
 
 
-def typed_catalogue(df: DataFrame) -> DataFrame:
+def typed_catalogue(df: DataFrame, lists: bool = True) -> DataFrame:
     """Bring every known catalogue column that ``df`` has to its logical type."""
-    known = {field.name: field.dataType for field in CATALOGUE}
+    known = {
+        field.name: field.dataType
+        for field in CATALOGUE
+        if lists or not isinstance(field.dataType, T.ArrayType)
+    }
     return df.select(
         *[
             _typed(field, known[field.name]) if field.name in known else F.col(field.name)

@@ -6,27 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Files are read whole, one task each, since a value may span lines; Spark writes
-# one file per task, so their size follows the partitions of the written frame.
+# A record is a line, as line breaks are written as marks; so one large file is
+# read by several tasks.
 _CSV = {
     "header": True,
     "quote": '"',
     "escape": '"',
-    "multiLine": True,
     "nullValue": "\\N",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
 
 
+#: What stands for a backslash and for line breaks.  The backslash goes first and
+#: comes back last, so no text looks like a mark, nor like the one for null.
+_MARKS = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+
+
 def _escaped(column: Column) -> Column:
-    """A leading backslash is doubled, so that no text looks like the mark for null."""
-    return F.when(column.startswith("\\"), F.concat(F.lit("\\"), column)).otherwise(column)
+    for text, mark in _MARKS:
+        column = F.replace(column, F.lit(text), F.lit(mark))
+    return column
 
 
 def _unescaped(column: Column) -> Column:
-    doubled = column.startswith("\\\\")
-    return F.when(doubled, F.substring(column, F.lit(2), F.length(column))).otherwise(column)
+    for text, mark in reversed(_MARKS):
+        column = F.replace(column, F.lit(mark), F.lit(text))
+    return column
 
 
 def write_staging_csv(df: DataFrame, path: str) -> None:

@@ -97,8 +97,12 @@ def test_first_members_and_names(fixed):
     assert rows(first, "prediction", "artist_id") == [
         (0, "A01"), (0, "A02"), (1, "A21"), (1, "A22"), (9, "A00"),
     ]
-    names = dict(rows(cluster_names(fixed, 3)))
+    names = dict(rows(cluster_names(fixed, 3), "prediction", "names"))
     assert names[9] == ["name 00"] and names[1] == ["name 01", "name 02", "name 03"]
+    every = cluster_names(fixed, per_list=5).collect()
+    listed = sorted((r["prediction"], n) for r in every for n in r["names"])
+    assert listed == sorted(set(rows(fixed, "prediction", "artist_name")))
+    assert len(every) > 3
 
 
 def test_playlist(fixed):

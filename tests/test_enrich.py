@@ -1,7 +1,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from songsift import session
 from songsift.operators.enrich import EARTH_RADIUS_KM, enrich_country, enrich_tags
+from songsift.session import temporary
 from tests.conftest import rows
 
 
@@ -35,8 +37,8 @@ def test_nearest_place_equals_brute_force(spark):
         [(i, float(a), float(b), f"C{i}") for i, (a, b) in enumerate(places)],
         "place_id int, lat double, lon double, country string",
     )
-    for max_km, rows_per_task, per_cube in ((300.0, 1_000_000, 64), (2500.0, 5, 3)):
-        got = enrich_country(songs, where, max_km, "artist_latitude", "artist_longitude", rows_per_task, per_cube)
+    for max_km, per_cube in ((300.0, 64), (2500.0, 3)):
+        got = enrich_country(songs, where, max_km, "artist_latitude", "artist_longitude", per_cube)
         want = brute_force(points, places, max_km)
         assert [r[0] for r in got.orderBy("i").select("artist_country").collect()] == want
 
@@ -58,10 +60,18 @@ def test_missing_coordinates_and_ties(spark, songs):
 
 def test_tags_keep_order_and_rows(spark, songs):
     tags = spark.createDataFrame(
-        [("Ann", ["rock", "a"]), ("Cy", []), ("Ann", ["rock", "b"])],
+        [("Ann", ["rock", "a"]), ("Cy", []), ("Ann", ["rock", "b"]), ("Ann", [])],
         "artist_name string, tags array<string>",
     )
-    got = enrich_tags(songs, tags, rows_per_task=2)
+    got = enrich_tags(songs, tags)
     by_song = dict(rows(got, "song_id", "artist_genre"))
     assert len(by_song) == got.count() == 12
-    assert by_song["S01"] == ["rock", "a"] and by_song["S09"] == [] and by_song["S11"] is None
+    assert by_song["S01"] == ["rock", "a"] and by_song["S09"] is None and by_song["S11"] is None
+
+
+def test_no_places_need_no_rounds(spark, songs):
+    none = spark.createDataFrame([], "place_id int, lat double, lon double, country string")
+    with temporary(spark):
+        got = enrich_country(songs, none)
+        assert got.filter("artist_country is not null").count() == 0 and got.count() == songs.count()
+        assert len(session._open[-1]) <= 6

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from songsift.operators.joins import hot_keys, lookup
-from tests.conftest import rows
+from songsift.operators.joins import lookup
+from tests.conftest import plan_of, rows
 
 
 def facts(spark):
@@ -15,18 +16,12 @@ def facts(spark):
     )
 
 
-def test_hot_keys_get_tasks_by_size(spark):
-    hot = {r["k"]: r["_fan"] for r in hot_keys(facts(spark), ["k"], 100).collect()}
-    assert hot == {7: 10, None: 3}
-
-
 def test_lookup_equals_a_plain_join(spark):
     big = facts(spark)
     dim = spark.range(0, 100, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     dim = dim.unionByName(spark.createDataFrame([(7, 70)], "k bigint, v bigint"))
     for how in ("left", "inner"):
         plain = rows(big.join(dim, "k", how), "k", "row", "v")
-        assert rows(lookup(big, dim, "k", how, rows_per_task=50), "k", "row", "v") == plain
         assert rows(lookup(big, dim, "k", how), "k", "row", "v") == plain
 
 
@@ -34,19 +29,36 @@ def test_lookup_on_two_columns(spark):
     big = facts(spark).withColumn("j", (F.col("row") % 2).cast("int"))
     dim = spark.createDataFrame([(7, 0, "a"), (7, 1, "b"), (8, 0, "c")], "k bigint, j int, v string")
     plain = rows(big.join(dim, ["k", "j"], "left"), "row", "v")
-    assert rows(lookup(big, dim, ["k", "j"], rows_per_task=20), "row", "v") == plain
+    assert rows(lookup(big, dim, ["k", "j"]), "row", "v") == plain
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
 
 
-def test_hot_key_is_spread_over_tasks(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_are_split_even_if_their_rows_are_equal(spark, how):
+    """Two thousand keys with a hundred rows each, and one with rows that are all the same."""
+    before = {name: spark.conf.get(name) for name in SKEW}
+    for name, value in SKEW.items():
+        spark.conf.set(name, value)
     try:
-        dim = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("v"))
-        joined = lookup(facts(spark), dim, "k", rows_per_task=50)
-        sizes = joined.groupBy(F.spark_partition_id()).count().select("count").collect()
-        assert max(r[0] for r in sizes) < 1000 and len(sizes) > 4
+        many = spark.range(0, 200_000, 1, 16).select((F.col("id") % 2000).alias("k"), "id")
+        same = spark.range(0, 300_000, 1, 16).select(F.lit(7).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("id"))
+        # The result of an aggregate on the key, which alone would keep Spark from splitting.
+        dim = spark.range(4000).groupBy((F.col("id") % 2000).alias("k")).agg(F.max("id").alias("v"))
+        joined = lookup(many.union(same), dim, "k", how)
+        hot = joined.filter("k = 7").groupBy(F.spark_partition_id().alias("p")).count()
+        sizes = [r["count"] for r in hot.collect()]
+        # Equal rows take few bytes, by which Spark goes, so they make two parts here and not ten.
+        assert len(sizes) > 1 and max(sizes) < 0.8 * sum(sizes)
+        assert joined.count() == 500_000 and joined.filter("v is null").count() == 0
+        # Only the columns asked for are read.
+        assert "id#" not in plan_of(joined.select("v")).split("Exchange")[-1]
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for name, value in before.items():
+            spark.conf.set(name, value)

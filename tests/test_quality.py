@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from songsift.operators import quality
 from songsift.operators.quality import (
     clip_outliers,
     describe_columns,
@@ -43,12 +44,31 @@ def test_exact_quantiles_match_numpy(spark, rows_per_task):
     )
     df = spark.createDataFrame(frame).repartition(5)
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, list(frame), probabilities, rows_per_task, bins=16)
+    got = exact_quantiles(df, list(frame), probabilities, rows_per_task, accuracy=100)
     for column in frame:
         for p in probabilities:
             assert got[column, p] == pytest.approx(np.quantile(frame[column], p), rel=1e-12)
 
 
+def test_three_passes_whatever_the_values(spark, monkeypatch):
+    """Values over many magnitudes, and infinities."""
+    rng = np.random.default_rng(2)
+    wide = np.exp(rng.uniform(-300, 300, 20_000))
+    ends = np.concatenate([np.full(5100, -np.inf), np.full(3000, np.inf), wide[8100:]])
+    df = spark.createDataFrame(pd.DataFrame({"wide": wide, "ends": ends})).repartition(4)
+    narrowed, seen = [], []
+    monkeypatch.setattr(quality, "_narrow", lambda *a, f=quality._narrow: narrowed.append(1) or f(*a))
+    monkeypatch.setattr(quality, "_in_brackets", lambda *a, f=quality._in_brackets: seen.append(f(*a)) or seen[-1])
+    got = exact_quantiles(df, ["wide", "ends"], [0.25, 0.5, 0.75, 0.9], rows_per_task=100)
+    for p in (0.25, 0.5, 0.75, 0.9):
+        assert got["wide", p] == pytest.approx(np.quantile(wide, p), rel=1e-12)
+    assert got["ends", 0.25] == -np.inf and got["ends", 0.9] == np.inf
+    assert got["ends", 0.5] == pytest.approx(np.quantile(ends, 0.5), rel=1e-12)
+    # The measure, one pair of percentiles and counts, and the values left.
+    assert len(narrowed) == 1
+    assert seen[0][1].groupBy("slot", "value").count().groupBy("slot").count().agg({"count": "max"}).first()[0] <= 100
+
+
 def test_quantiles_leave_missing_out(spark):
     df = spark.createDataFrame([(1.0,), (None,), (NAN,), (3.0,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {("x", 0.5): 2.0}

@@ -2,6 +2,10 @@ import os
 import subprocess
 import sys
 
+import pytest
+from pyspark.sql import functions as F
+
+from songsift.plans.popularity import songs_per_country
 from songsift.plans.report import artists_report, counts_report, genres_report, playlists_report
 from songsift.schemas import CATALOGUE
 from tests.conftest import song
@@ -33,7 +37,7 @@ def catalogue_of(spark, n):
 def test_reports_answer_every_question(spark):
     songs = catalogue_of(spark, 600)
     answers = {
-        **counts_report(songs),
+        **counts_report(songs, "artist_location"),
         **genres_report(songs, trees=3, max_iter=5, folds=2, parallelism=2),
         **playlists_report(songs, range(3, 5), parallelism=2),
         **artists_report(songs, [3, 5], parallelism=2),
@@ -58,6 +62,14 @@ def test_reports_answer_every_question(spark):
     assert answers["artists_per_country"].first()["count"] == 120
 
 
+def test_countries_are_those_of_the_ingest(spark):
+    songs = catalogue_of(spark, 10)
+    with pytest.raises(ValueError, match="artist_country"):
+        songs_per_country(songs)
+    with_country = songs.withColumn("artist_country", F.lit("X"))
+    assert songs_per_country(with_country).columns == ["artist_country", "count"]
+
+
 def test_command_needs_two_arguments():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run(

@@ -5,8 +5,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from songsift.operators.counts import token_count
+from songsift.operators.quality import drop_missing
 from songsift.schemas import CATALOGUE, SONG_GROUPS
-from songsift.session import scratch_path, settle, shared_folder
+from songsift.session import ROWS_PER_FILE, scratch_path, settle, shared_folder, temporary
 from songsift.sources.catalogue import (
     decode_text_columns,
     read_catalogue,
@@ -16,7 +18,7 @@ from songsift.sources.catalogue import (
 from songsift.sources.files import list_files
 from songsift.sources.ragged import assemble_ragged, assign_values, song_spans
 from songsift.sources.staging import read_staging_csv, write_staging_csv
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 
 
 def test_catalogue_round_trip(spark, songs, tmp_path):
@@ -143,7 +145,52 @@ def test_settle_writes_to_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     df = spark.range(100).selectExpr("id", "id % 3 as k").coalesce(1)
     assert rows(settle(df, "t")) == rows(df)
-    wide = settle(df, "t", spread=True)
-    assert rows(wide) == rows(df)
-    assert len(wide.inputFiles()) == spark.sparkContext.defaultParallelism
+    many = spark.range(3 * ROWS_PER_FILE).coalesce(1)
+    wide = settle(many, "t", spread=True)
+    assert wide.count() == many.count()
+    assert len(wide.inputFiles()) == 3  # by the rows, not by the cores
     assert all(folder.rstrip("/") in file for file in wide.inputFiles())
+
+
+def test_temporary_tables_go(spark):
+    with temporary(spark):
+        kept = [settle(spark.range(5), "a"), settle(spark.range(5), "b", spread=True)]
+        paths = [f.rsplit("/", 1)[0].removeprefix("file:") for k in kept for f in k.inputFiles()]
+        assert all(os.path.isdir(p) for p in paths)
+        assert kept[0].count() == 5
+    assert not any(os.path.exists(p) for p in paths)
+    assert os.path.isdir(shared_folder(spark).removeprefix("file:"))
+
+
+def test_the_session_keeps_its_settings(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    shared_folder(spark)
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
+def test_one_large_staging_file_is_read_by_several_tasks(spark, tmp_path):
+    text = "line one\nline two\r\n\\N \"quoted\", and \\s \\n more"
+    df = spark.range(20_000).select("id", F.lit(text).alias("text"), F.array(F.lit("a\nb")).alias("many"))
+    path = str(tmp_path / "csv")
+    write_staging_csv(df.coalesce(1), path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        back = read_staging_csv(spark, path, df.schema)
+        assert back.rdd.getNumPartitions() > 4
+        assert back.count() == back.select("id").distinct().count() == 20_000
+        assert back.filter((F.col("text") == text) & (F.col("many")[0] == "a\nb")).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_stored_lists_are_parsed_late(spark, songs, tmp_path):
+    stored = songs.withColumn("artist_terms", F.concat(F.lit("['"), F.array_join("artist_terms", "', '"), F.lit("']")))
+    stored = stored.withColumn("beats_start", F.lit("[0.1 0.2 ... 9.]"))
+    write_catalogue(stored, str(tmp_path / "c"))
+    late = read_catalogue(spark, str(tmp_path / "c"), lists=False)
+    plan = plan_of(token_count(late, "artist_terms"))
+    assert plan.index("from_json") < plan.rindex("HashAggregate")
+    assert "try_cast" not in plan_of(drop_missing(late.select("loudness", "beats_start")))
+    early = read_catalogue(spark, str(tmp_path / "c"))
+    assert rows(token_count(late, "artist_terms")) == rows(token_count(early, "artist_terms"))
