@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from songsift.operators.enrich import enrich_country, enrich_tags
+from songsift.schemas import CATALOGUE, SONG_GROUPS
 from songsift.session import scratch_path
 from songsift.sources.catalogue import (
     decode_text_columns,
@@ -12,9 +14,37 @@ from songsift.sources.catalogue import (
     select_song_fields,
     write_catalogue,
 )
+from songsift.sources.ragged import assemble_ragged, whole_arrays
 from songsift.sources.staging import read_staging_csv, write_staging_csv
 
 
+def nest_records(
+    scalars: DataFrame,
+    arrays: dict[str, tuple[DataFrame, DataFrame]],
+    part_size: int = 100_000,
+) -> DataFrame:
+    """Song records from the tables of a flat source.
+
+    ``scalars`` has ``file, songidx`` and any of the catalogue's plain fields.
+    ``arrays`` gives for each array field its own offsets ``file, songidx, idx``
+    and values ``file, pos, v``, as fields may lie in different tables of a
+    file.  Fields that are not given are null.
+    """
+    songs = scalars
+    for name, (offsets, values) in arrays.items():
+        whole = whole_arrays(assemble_ragged(offsets, values, part_size))
+        songs = songs.join(whole.withColumnRenamed("values", name), ["file", "songidx"], "left")
+    types = {field.name: field.dataType for field in CATALOGUE}
+
+    def field(name: str) -> Column:
+        value = F.col(name) if name in songs.columns else F.lit(None)
+        return value.cast(types[name]).alias(name)
+
+    return songs.select(
+        *[F.struct(*map(field, names)).alias(group) for group, names in SONG_GROUPS.items()]
+    )
+
+
 def stage(records: DataFrame, path: str) -> DataFrame:
     """Write the catalogue fields of the records as a staging CSV and read them back."""
     songs = decode_text_columns(select_song_fields(records))

@@ -22,6 +22,8 @@ from songsift.plans.popularity import (
 )
 from songsift.registry import query
 from songsift.registry.data import catalogue, near, near_sql, over_catalogue, tokens_sql
+from songsift.session import scratch_path
+from songsift.sources.catalogue import read_catalogue, write_catalogue
 
 _TERMS = (
     f"terms AS (SELECT trim(term) AS term, count(*) AS \"count\" FROM "
@@ -113,6 +115,14 @@ def token_counts(spark, sf_dir):
     return popular_terms(catalogue(spark, sf_dir, "artist_terms"))
 
 
+@query(over_catalogue("SELECT * FROM terms", _TERMS))
+def token_count_stored(spark, sf_dir):
+    """From a stored catalogue, whose list text is counted before it is parsed."""
+    path = scratch_path(spark, "catalogue")
+    write_catalogue(catalogue(spark, sf_dir, "artist_terms", "year"), path)
+    return popular_terms(read_catalogue(spark, path, lists=False))
+
+
 @query(over_catalogue("SELECT * FROM top", _TERMS, _TOP))
 def top_tokens(spark, sf_dir):
     counts = token_count(catalogue(spark, sf_dir, "artist_terms"), "artist_terms")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from songsift.functions.lists import parse_list
 from songsift.operators.enrich import enrich_country, enrich_tags
-from songsift.plans.ingest import build_catalogue
+from songsift.plans.ingest import build_catalogue, nest_records
+from songsift.plans.popularity import artists_per_country, songs_per_country
 from songsift.registry import query
 from songsift.registry.data import catalogue, over_catalogue, table, tokens_sql
 from songsift.schemas import CATALOGUE, SONG_GROUPS
@@ -255,3 +256,104 @@ def ingested_catalogue(spark, sf_dir):
         "tempo",
         F.array_join("artist_terms", "|").alias("artist_terms"),
     )
+
+
+_COUNTRIES = (
+    "enriched AS (SELECT artist_id, artist_country FROM catalogue JOIN nearest"
+    " ON artist_latitude = lat AND artist_longitude = lon)"
+)
+
+
+def _with_country(spark, sf_dir):
+    songs = catalogue(spark, sf_dir, "artist_id", "artist_latitude", "artist_longitude")
+    return enrich_country(songs, _places(spark, sf_dir), _MAX_KM)
+
+
+@query(
+    over_catalogue(
+        'SELECT artist_country, count(*) AS "count" FROM enriched GROUP BY artist_country',
+        *_NEAREST,
+        _COUNTRIES,
+    ),
+    "songs_per_country",
+)
+def songs_of_countries(spark, sf_dir):
+    return songs_per_country(_with_country(spark, sf_dir))
+
+
+@query(
+    over_catalogue(
+        'SELECT artist_country, count(DISTINCT artist_id) AS "count" FROM enriched'
+        " GROUP BY artist_country",
+        *_NEAREST,
+        _COUNTRIES,
+    ),
+    "artists_per_country",
+)
+def artists_of_countries(spark, sf_dir):
+    return artists_per_country(_with_country(spark, sf_dir))
+
+
+@query(
+    over_catalogue(
+        "SELECT song_id, artist_name, CASE WHEN c_custkey % 5 <> 0 THEN lower(c_mktsegment)"
+        " || '|nation ' || c_nationkey WHEN c_custkey % 2 = 0 THEN 'zz|z' END AS artist_genre"
+        " FROM catalogue JOIN customer ON artist_name = c_name"
+    )
+)
+def enrich_tags_typed(spark, sf_dir):
+    """From arrays, with empty and several lists for a name."""
+    customers = table(spark, sf_dir, "customer")
+    more = customers.selectExpr("c_name AS artist_name", "CAST(array() AS array<string>) AS tags")
+    other = customers.filter("c_custkey % 2 = 0").selectExpr("c_name", "array('zz', 'z')")
+    tags = _tags(spark, sf_dir).union(more).union(other)
+    songs = enrich_tags(catalogue(spark, sf_dir, "song_id", "artist_name"), tags)
+    return songs.withColumn("artist_genre", F.array_join("artist_genre", "|"))
+
+
+_BEATS = "CASE WHEN o_orderkey % 1000 = 1 THEN 250 ELSE 1 END"
+_FIRST_BEAT = "o_orderkey % 1000 + CASE WHEN o_orderkey % 1000 > 1 THEN 249 ELSE 0 END"
+
+
+@query(
+    f"SELECT 'SO' || o_orderkey AS song_id, 'AR' || o_custkey AS artist_id,"
+    " array_to_string(list_transform(range(0, o_orderkey % 4), lambda j: 'v' || (o_custkey + j)),"
+    f" '|') AS similar_artists, CAST({_BEATS} AS INTEGER) AS beats,"
+    f" CAST(({_FIRST_BEAT}) * {_BEATS} + ({_BEATS} - 1) * ({_BEATS}) / 2 AS DOUBLE) AS total"
+    " FROM orders"
+)
+def ingested_from_flat(spark, sf_dir):
+    """Flat tables to stored catalogue; the second song of a file has more beats than a part."""
+    orders = table(spark, sf_dir, "orders").withColumns(
+        {
+            "file": F.expr("'file' || (o_orderkey - o_orderkey % 1000)"),
+            "songidx": F.expr("o_orderkey % 1000"),
+            "idx": F.expr(_FIRST_BEAT),
+            "n": F.expr(_BEATS),
+        }
+    )
+    scalars = orders.selectExpr(
+        "file", "songidx", "'SO' || o_orderkey AS song_id", "'AR' || o_custkey AS artist_id"
+    )
+    beats = orders.select("file", F.explode(F.expr("sequence(idx, idx + n - 1)")).alias("pos"))
+    arrays = {
+        "similar_artists": _ragged(spark, sf_dir),
+        "beats_start": (
+            orders.select("file", "songidx", "idx"),
+            beats.withColumn("v", F.col("pos").cast("double")),
+        ),
+    }
+    built = build_catalogue(
+        nest_records(scalars, arrays, part_size=100),
+        _places(spark, sf_dir),
+        _tags(spark, sf_dir),
+        scratch_path(spark, "catalogue"),
+        _MAX_KM,
+    )
+    return built.select(
+        "song_id",
+        "artist_id",
+        F.array_join("similar_artists", "|").alias("similar_artists"),
+        F.size("beats_start").alias("beats"),
+        F.aggregate("beats_start", F.lit(0.0), lambda a, v: a + v).alias("total"),
+    )

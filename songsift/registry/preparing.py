@@ -21,6 +21,8 @@ from songsift.plans.genres import SPLIT_KEY
 from songsift.registry import query
 from songsift.registry.data import VOCABULARY, catalogue, over_catalogue, tokens_sql
 from songsift.schemas import SONG_CLUSTER_FEATURES
+from songsift.session import scratch_path
+from songsift.sources.catalogue import read_catalogue, write_catalogue
 
 _NEEDED = ["loudness", "tempo", "time_signature", "beats_start", "duration", "artist_terms"]
 
@@ -177,3 +179,23 @@ def hash_split_sides(spark, sf_dir):
     return both.groupBy("side", "filtered_genre").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("duration").alias("total_duration")
     )
+
+
+_BOUNDED = ROUNDED.replace("tempo <> 0", "tempo <> 0 AND duration BETWEEN 207 AND 613")
+
+
+@query(
+    over_catalogue("SELECT * FROM indexed", _BOUNDED, SCALED, labelled("scaled"), INDEXED)
+)
+def classification_frame_in_bounds(spark, sf_dir):
+    """Without the songs of unusual duration."""
+    songs = catalogue(spark, sf_dir, *_NEEDED)
+    return prepare_classification(songs, VOCABULARY, durations=(207.0, 613.0))
+
+
+@query(over_catalogue("SELECT * FROM indexed", *FRAME))
+def classification_frame_stored(spark, sf_dir):
+    """From a stored catalogue, whose list text is parsed by the operators."""
+    path = scratch_path(spark, "catalogue")
+    write_catalogue(catalogue(spark, sf_dir, *_NEEDED), path)
+    return prepare_classification(read_catalogue(spark, path, lists=False), VOCABULARY)

@@ -79,6 +79,14 @@ def _assign(spans: DataFrame, values: DataFrame, span: int) -> DataFrame:
     )
 
 
+def whole_arrays(parts: DataFrame) -> DataFrame:
+    """One array per song, ``file, songidx, values``, from the parts of ``assemble_ragged``."""
+    listed = F.array_sort(F.collect_list(F.struct("part", "values")))
+    return parts.groupBy("file", "songidx").agg(
+        F.flatten(F.transform(listed, lambda part: part["values"])).alias("values")
+    )
+
+
 def assemble_ragged(
     offsets: DataFrame, values: DataFrame, part_size: int = 100_000, span: int = 65_536
 ) -> DataFrame:
