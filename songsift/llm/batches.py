@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,3 +61,21 @@ def per_text(
 
     slim = df.select(*keep, F.col(text).cast("binary").alias(TEXT))
     return slim.mapInArrow(run, f"{kept}, {fields}" if kept else fields)
+
+
+def first_of_each(df: DataFrame, group: str, order: list[str | Column], n: int) -> DataFrame:
+    """About ``n`` rows of each ``group``, those that come first by a hash of ``order``.
+
+    Each group is dealt over parts by the hash, and each part gives its first few
+    rows.  So few are wanted of a part that Spark keeps no more than these of any
+    task before the shuffle, and a group with most of the rows sends no more than
+    the others.
+    """
+    parts = -(-n // 500)
+    first = Window.partitionBy(group, "_part").orderBy("_hash", *order)
+    ranked = (
+        df.withColumn("_hash", F.xxhash64(*order))
+        .withColumn("_part", F.pmod(F.hash("_hash"), F.lit(parts)))
+        .withColumn("_rank", F.row_number().over(first))
+    )
+    return ranked.filter(F.col("_rank") <= -(-n // parts)).drop("_part", "_rank")

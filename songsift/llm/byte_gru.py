@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songsift.llm.batches import per_text
+from songsift.llm.batches import first_of_each, per_text
 
 UNKNOWN = "und"
 PAD = 256
@@ -235,30 +235,31 @@ def has_letter(text: bytes) -> bool:
 
 
 def training_sample(df: DataFrame, text: str, label: str, order: list[str], settings: Settings) -> DataFrame:
-    """``label`` and segments from the whole length of the first texts of each language.
+    """``_label`` and ``_segments`` from the whole length of some texts of each language.
 
-    The order is a hash of ``order``.  The group limit is applied before the
-    shuffle, so a language with most of the rows sends no more than the others.
+    The texts are chosen by a hash of ``order``.
     """
     size = settings.segment
     spread = [
-        F.expr(f"substring(_bytes, cast(1 + greatest(octet_length(_bytes) - {size}, 0) * {i / max(1, settings.samples - 1)} as int), {size})")
+        F.expr(
+            "substring(_bytes, cast(1 + greatest(octet_length(_bytes) - "
+            f"{size}, 0) * {i / max(1, settings.samples - 1)} as int), {size})"
+        )
         for i in range(settings.samples)
     ]
     rows = (
         df.select(
-            F.col(label).alias("_label"), F.col(text).cast("binary").alias("_bytes"), F.xxhash64(*order).alias("_order")
+            F.col(label).alias("_label"), F.col(text).cast("binary").alias("_bytes"), F.struct(*order).alias("_order")
         )
         .filter("_label is not null and octet_length(_bytes) > 0")
         .select("_label", "_order", F.array_distinct(F.array(*spread)).alias("_segments"))
     )
-    first = Window.partitionBy("_label").orderBy("_order", "_segments")
-    return rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= settings.documents)
+    return first_of_each(rows, "_label", ["_order"], settings.documents)
 
 
 def train(sample: DataFrame, settings: Settings = Settings()) -> Network | None:
     """A network for the languages of the sample, none if it is empty."""
-    rows = sample.orderBy("_label", "_rank").collect()
+    rows = sample.orderBy("_label", "_hash", "_order").collect()
     languages = sorted({r["_label"] for r in rows})
     if not languages:
         return None
