@@ -194,7 +194,7 @@ def split_blocks(df: DataFrame, keep: list[str], text: str, path: str, buckets:
             out = [("places", number, None, len(every), pack_places(rank[every]), None)]
             for bucket, members in by_bucket.items():
                 at = rank[[places[w] for w in members]]
-                out.append(("list", number, bucket, len(members), _pack(at), "\n".join(members).encode()))
+                out.append(("list", number, bucket, len(members), _pack(at), zstandard.compress("\n".join(members).encode(), 3)))
             return rows(list(zip(*out)))
 
         kept_types: list[pa.DataType] = []
@@ -232,7 +232,7 @@ def encode_words(blocks: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for words, data, block in zip(*(batch.column(c).to_pylist() for c in ("words", "data", "block"))):
-                found = words.decode().split("\n")
+                found = zstandard.decompress(words).decode().split("\n")
                 new = [w for w in found if w not in known]
                 known.update(zip(new, encoder.ids(new)))
                 ids = [known[w] for w in found]
