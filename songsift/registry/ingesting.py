@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songsift.functions.lists import parse_list
@@ -143,13 +146,29 @@ def ragged_values(spark, sf_dir):
     return assign_values(*_ragged(spark, sf_dir), span=256)
 
 
+_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+
+
 @query(
-    "SELECT regexp_extract(file, '[^/]+$') AS name FROM glob('/root/testdata/sf0.01/*.parquet')"
+    " UNION ALL ".join(
+        f"SELECT '{name}.parquet' AS name, count(*) AS \"rows\" FROM {name}" for name in _TABLES
+    )
 )
 def file_listing(spark, sf_dir):
-    return list_files(spark, sf_dir, ".parquet").select(
+    """The files found, each with the rows it holds."""
+    files = list_files(spark, sf_dir, ".parquet").select(
         F.regexp_extract("path", "[^/]+$", 0).alias("name")
     )
+    counts = [
+        table(spark, sf_dir, name)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(f"{name}.parquet").alias("name"), "rows")
+        for name in _TABLES
+    ]
+    return files.join(reduce(DataFrame.union, counts), "name")
 
 
 _TRIP = ["song_id", "artist_name", "title", "year", "gappy_title", "gappy_tempo", "artist_terms"]
