@@ -24,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from songsift.llm.batches import per_text
+from songsift.llm.batches import first_of_each, per_text
 from songsift.llm.decontaminate import terms_of
 from songsift.session import settle
 
@@ -181,15 +181,14 @@ def one_of_each_group(found: DataFrame) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, id_column: str, label: str, settings: Settings) -> DataFrame:
-    """``settings.rows`` ids of each label, the first by a hash of the id."""
+    """``settings.rows`` ids of each label, chosen by a hash of the id."""
     one = (
         labels.select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_label"))
         .filter("_id is not null and _label is not null")
         .groupBy("_id")
         .agg(F.max("_label").alias("_label"))
     )
-    first = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    return one.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= settings.rows).drop("_n")
+    return first_of_each(one, "_label", ["_id"], settings.rows).drop("_hash")
 
 
 def telling_words(sample: DataFrame, settings: Settings) -> list[str]:
@@ -268,7 +267,10 @@ def train_chain(
     targets = np.array([[bool(r["_label"] and r[k]) for k in kinds] + [bool(r["_label"])] for r in picked])
     ids = [np.array([number[w] for w in r["_seen"]], np.int64) for r in picked]
     models, threshold = fit_chain(ids, len(words), targets.reshape(len(picked), len(kinds) + 1), settings)
-    return Chain([*kinds, label], words, models, threshold)
+    chain = Chain([*kinds, label], words, models, threshold)
+    # No text is toxic without evidence.
+    chain.threshold = max(threshold, float(chain.probabilities([b""])[0, -1]))
+    return chain
 
 
 def _scorer(chain: Chain) -> Callable[[], Callable[[list[bytes]], list]]:
