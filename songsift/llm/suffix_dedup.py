@@ -105,6 +105,29 @@ def runs_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     return who, hashes[anchor[new]].view(np.int64), first, end, anchor[new] - begin[who]
 
 
+def sliced_runs(texts: list[bytes], length: int, gram: int, size: int = SCANNED) -> list[tuple[np.ndarray, ...]]:
+    """The runs of all texts; the starts of a long text are taken ``size`` at a time.
+
+    The anchor of a string depends on nothing but the string, so cuts change no anchor.
+    """
+    slices = [
+        (i, at, text[at : at + size + length - 1])
+        for i, text in enumerate(texts)
+        for at in range(0, max(0, len(text) - length + 1), size)
+    ]
+    out, at = [], 0
+    while at < len(slices):
+        last, total = at, 0
+        while last < len(slices) and (last == at or total + len(slices[last][2]) <= 2 * size):
+            total, last = total + len(slices[last][2]), last + 1
+        some = slices[at:last]
+        who, anchor, first, end, place = runs_of([s[2] for s in some], length, gram)
+        owner, offset = (np.array([s[k] for s in some], np.int64)[who] for k in (0, 1))
+        out.append((owner, anchor, first + offset, end + offset, place + offset))
+        at = last
+    return out
+
+
 def text_key(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
@@ -120,12 +143,10 @@ def anchored_runs(df: DataFrame, text: str, length: int, gram: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, size=SCANNED):
             texts = texts_of(piece)
-            who, anchor, first, end, place = runs_of(texts, length, gram)
-            if len(who):
-                keys = pa.array([text_key(t) if len(t) >= length else b"" for t in texts])
+            keys = pa.array([text_key(t) if len(t) >= length else b"" for t in texts])
+            for who, *columns in sliced_runs(texts, length, gram):
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(who)), *map(pa.array, (anchor, first, end, place))],
-                    ["of", "anchor", "first", "end", "place"],
+                    [keys.take(pa.array(who)), *map(pa.array, columns)], ["of", "anchor", "first", "end", "place"]
                 )
 
     schema = "of binary, anchor bigint, first bigint, end bigint, place bigint"
@@ -347,7 +368,9 @@ def remove_repeats(
         ),
         "known",
     )
-    unlike = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    unlike = settle(
+        known.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "unlike"
+    )
     chosen = known.join(unlike, "anchor").select("anchor", "context", "at.*")
     some = settle(context_texts(work, chosen, length), "texts")
     apart = known.filter("n < 2").select("context")

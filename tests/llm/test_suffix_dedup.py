@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from songsift.llm.difference_cover import LONGEST, suffix_array
-from songsift.llm.suffix_dedup import remove_repeats, runs_of
+from songsift.llm.suffix_dedup import remove_repeats, runs_of, sliced_runs
 
 
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
@@ -63,6 +63,12 @@ def test_equal_strings_have_equal_anchors(texts):
             assert seen.setdefault(data[who][i : i + 40], filed) == filed
             starts += 1
     assert starts == sum(max(0, len(t) - 39) for t in data)
+    cut = {}
+    for runs in sliced_runs(data, 40, 13, size=50):
+        for who, anchor, first, end, place in zip(*(x.tolist() for x in runs)):
+            cut |= {(who, i): (anchor, place - i) for i in range(first, end)}
+    assert len(cut) == starts
+    assert all(seen[data[who][i : i + 40]] == filed for (who, i), filed in cut.items())
 
 
 @pytest.mark.parametrize("group", [1000, 3])
