@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songsift.session import scratch_path
+from songsift.session import scratch_path, settle
 
 # Fixed values of the two ARC versions.
 FIELDS = {
@@ -209,6 +209,8 @@ def convert(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         .filter("n > 1")
         .select("digest", F.col("to.record_id").alias("to_record"), F.col("to.page_id").alias("to_page"))
     )
+    # Written, so that Spark knows its size, and can split a digest that very many records share.
+    latest = settle(latest, "latest")
     revisit = F.col("to_record").isNotNull() & (F.col("to_record") != F.col("record_id"))
     return known.join(latest, "digest", "left").select(
         *known.columns,
@@ -223,7 +225,10 @@ def write_warc(records: DataFrame, path: str) -> None:
     line = "\r\n"
     payload = F.when(F.col("type") == "response", F.col("payload").cast("string")).otherwise("")
     page = F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-Id: "), F.col("page_id"), F.lit(line)))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: "), "mime", F.lit(line), F.coalesce(page, F.lit("")), F.lit(line))
+    http = F.concat(
+        F.lit(f"HTTP/1.1 200 OK{line}Content-Type: "), "mime", F.lit(line),
+        F.coalesce(page, F.lit("")), F.lit(line),
+    )
     refers = F.concat(
         F.lit("WARC-Refers-To: <"), "refers_to_record", F.lit(f">{line}WARC-Profile: {REVISIT_PROFILE}{line}"),
         F.coalesce(F.concat(F.lit("X-Refers-To-Page: "), "refers_to_page", F.lit(line)), F.lit("")),
