@@ -31,8 +31,8 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,7 +44,7 @@ from songsift.llm.batches import TEXT, pieces, texts_of
 from songsift.session import settle
 
 #: Bytes of text in a block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 _LAST_LATIN = "ſ"
 
 
@@ -151,7 +151,7 @@ def unpack_places(data: bytes) -> np.ndarray:
         size = int.from_bytes(data[at : at + 8], "little")
         parts.append(data[at + 8 : at + 8 + size])
         at += 8 + size
-    first, second = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in parts[:2])
+    first, second = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int32) for x in parts[:2])
     places, two = first.copy(), (first >= _ONE) & (first < 255)
     places[two] = _ONE + ((first[two] - _ONE) << 8) + second
     places[first == 255] = _unpack(parts[2])
@@ -186,7 +186,7 @@ def split_blocks(df: DataFrame, keep: list[str], text: str, path: str, buckets:
         def close() -> pa.RecordBatch:
             every = np.concatenate(found)
             common = np.argsort(-np.bincount(every, minlength=len(places)), kind="stable")
-            rank = np.empty(len(places), np.int64)
+            rank = np.empty(len(places), np.int32)
             rank[common] = np.arange(len(places))
             by_bucket: dict[int, list[str]] = {}
             for word in sorted(places):
@@ -194,7 +194,8 @@ def split_blocks(df: DataFrame, keep: list[str], text: str, path: str, buckets:
             out = [("places", number, None, len(every), pack_places(rank[every]), None)]
             for bucket, members in by_bucket.items():
                 at = rank[[places[w] for w in members]]
-                out.append(("list", number, bucket, len(members), _pack(at), zstandard.compress("\n".join(members).encode(), 3)))
+                spelled = zstandard.compress("\n".join(members).encode(), 3)
+                out.append(("list", number, bucket, len(members), _pack(at), spelled))
             return rows(list(zip(*out)))
 
         kept_types: list[pa.DataType] = []
@@ -248,45 +249,66 @@ def encode_words(blocks: DataFrame, path: str) -> DataFrame:
 
 
 def assemble(
-    blocks: DataFrame, encoded: DataFrame, keep: list[str], path: str, out: str, finish: Callable
+    blocks: DataFrame, encoded: DataFrame, keep: list[str], path: str, out: dict[str, tuple], finish: Callable
 ) -> DataFrame:
     """Each text's ids and decoded text through ``finish(ids, decoded)``, which gives the fields of ``out``.
 
     Ids come to a block's list by place, pieces to the ids by id, and both to the
-    texts by position.
+    texts by position.  Texts go out a few at a time.  ``out`` has the Spark and
+    the Arrow type of each field.
     """
     types = dict(blocks.dtypes)
-    names = [f.strip().split(" ")[0] for f in out.split(",")]
-
-    def run(own: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        pieces_by_id = encoder_of(path)
-        places = [_unpack(x) for x in lists["places"]]
-        size = sum(map(len, places))
-        counts, start = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        decoded = np.empty(size, object)
-        all_ids, before = [], 0
-        for at, row in zip(places, lists.itertuples()):
-            each, ids = _unpack(row.counts), _unpack(row.ids)
-            counts[at], start[at] = each, before + np.cumsum(each) - each
-            decoded[at] = pieces_by_id.decoded(ids, each)
-            all_ids.append(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = encoder_of(path)
+        texts, lists, every = [], [], np.zeros(0, np.int32)
+        for batch in batches:
+            is_text = pc.equal(batch.column("kind"), "text")
+            texts.append(batch.filter(is_text))
+            for row in batch.filter(pc.invert(is_text)).select(["kind", "data", "counts", "ids"]).to_pylist():
+                if row["kind"] == "places":
+                    every = unpack_places(row["data"])
+                else:
+                    lists.append((_unpack(row["data"]), _unpack(row["counts"]), _unpack(row["ids"])))
+        size = sum(len(places) for places, *_ in lists)
+        counts, start, decoded = np.zeros(size, np.int64), np.zeros(size, np.int64), np.empty(size, object)
+        before = 0
+        for places, each, ids in lists:
+            counts[places], start[places] = each, before + np.cumsum(each) - each
+            decoded[places] = vocabulary.decoded(ids, each)
             before += len(ids)
-        ids = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int64)
-        texts = own[own["kind"] == "text"].sort_values("at")
-        every = unpack_places(own.loc[own["kind"] == "places", "data"].iloc[0])
-        rows, behind = [], 0
-        for n in texts["n"].tolist():
-            at = every[behind : behind + n]
-            behind += n
-            each = counts[at]
-            steps = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-            rows.append(finish(ids[np.repeat(start[at], each) + steps], " ".join(decoded[at])))
-        found = pd.DataFrame(rows, columns=names, index=texts.index)
-        return pd.concat([texts[keep], found], axis=1)
-
-    kept = "".join(f"`{c}` {types[c]}, " for c in keep)
-    own = blocks.filter("kind != 'list'").select("kind", "block", "at", "n", "data", *keep)
-    return own.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(run, kept + out)
+        ids = np.concatenate([x for *_, x in lists]) if lists else np.zeros(0, np.int64)
+        number, words = (np.concatenate([t.column(c).to_numpy() for t in texts]) for c in ("at", "n"))
+        order = np.argsort(number)
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(words[order]) - words[order]
+        row = 0
+        for batch in texts:
+            for few in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                found = []
+                for _ in range(few.num_rows):
+                    at = every[begin[row] : begin[row] + words[row]]
+                    row += 1
+                    each = counts[at]
+                    steps = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                    found.append(finish(ids[np.repeat(start[at], each) + steps], " ".join(decoded[at])))
+                fields = [pa.array(list(c), kind) for c, (_, kind) in zip(zip(*found), out.values())]
+                yield pa.RecordBatch.from_arrays([*map(few.column, keep), *fields], [*keep, *out])
+
+    own = blocks.filter("kind != 'list'").select(
+        "kind", "block", "at", "n", "data", *[F.lit(None).cast("binary").alias(c) for c in ("counts", "ids")], *keep
+    )
+    lists = encoded.select(
+        F.lit("list").alias("kind"),
+        "block",
+        *[F.lit(None).cast("bigint").alias(c) for c in ("at", "n")],
+        F.col("places").alias("data"),
+        "counts",
+        "ids",
+        *[F.lit(None).cast(types[c]).alias(c) for c in keep],
+    )
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} {kind}" for c, (kind, _) in out.items()])
+    return own.union(lists).groupBy("block").applyInArrow(run, schema)
 
 
 def _whole(ids: np.ndarray, decoded: str) -> tuple:
@@ -301,6 +323,14 @@ def _digests(ids: np.ndarray, decoded: str) -> tuple:
     )
 
 
+_WHOLE = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+_DIGESTS = {
+    "n_tokens": ("bigint", pa.int64()),
+    "ids_sha256": ("string", pa.string()),
+    "decoded_sha256": ("string", pa.string()),
+}
+
+
 def encode_texts(
     df: DataFrame, keep: list[str], path: str, text: str = "text", digests: bool = False, block: int = BLOCK
 ) -> DataFrame:
@@ -314,7 +344,5 @@ def encode_texts(
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = settle(split_blocks(df, keep, text, path, buckets, block), "words")
     encoded = encode_words(blocks, path)
-    if digests:
-        out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-        return assemble(blocks, encoded, keep, path, out, _digests)
-    return assemble(blocks, encoded, keep, path, "ids array<int>, decoded string", _whole)
+    out, finish = (_DIGESTS, _digests) if digests else (_WHOLE, _whole)
+    return assemble(blocks, encoded, keep, path, out, finish)
