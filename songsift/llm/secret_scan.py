@@ -7,7 +7,9 @@ keyword is that letter sixteen times.
 
 Kinds ``assign``, ``access`` and ``hex`` are shapes.  The others carry a check
 that must hold: tokens that end in the CRC-32 of their body in base 62, and
-private key blocks whose decoded length is the one their own header declares.
+private key blocks whose decoded length is the one their own header declares: one
+DER sequence, an OPENSSH key with its inner lengths and check integers, or, where
+header lines say so, whole blocks of a cipher.
 
 A null or empty text has no spans.  Offsets count code points, the end is
 exclusive.  Equal rows give equal results; the length of a text has no limit.
@@ -36,7 +38,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 # Tokens of 30 letters and digits and a checksum of six.
 CHECKED = re.compile(rb"(?:ghp|gho|ghu|ghs|ghr|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Header lines, of which a long one may go on in indented lines, end with an empty line.
+PEM = re.compile(
+    rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
+    rb"(?:[\x20\t]*\r?\n(?P<head>(?:[A-Za-z0-9-]+:[^\r\n]*\r?\n(?:[\x20\t]+[^\x20\t\r\n][^\r\n]*\r?\n)*)+)[\x20\t]*\r?\n)?"
+    rb"(?P<body>[A-Za-z0-9+/=\s]+)-----END \1-----"
+)
+# The start value of an encrypted block, as long as a block of its cipher.
+DEK_INFO = re.compile(rb"^DEK-Info:[^,\r\n]+,\s*((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
+OPENSSH = b"openssh-key-v1\0"
 KEYWORDS = {
     "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
     "access": ["akia"],
@@ -60,12 +70,49 @@ def checksum(body: bytes) -> bytes:
     return digits.rjust(6, "0").encode()
 
 
-def whole_key(body: bytes) -> bool:
-    """Whether a key block decodes to one DER sequence of the length it declares."""
+def whole_openssh(data: bytes) -> bool:
+    """Whether the declared lengths fill an OPENSSH key, and the check integers of one in the clear are equal."""
+    at = len(OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        at += 4 + size
+        return data[at - size : at]
+
+    cipher, kdf, options = field(), field(), field()
+    number = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not cipher or not kdf or options is None or not number:
+        return False
+    for _ in range(number):
+        if not field():
+            return False
+    private = field()
+    if not private or len(private) < 8:
+        return False
+    # Some ciphers put a tag behind the private part.
+    if cipher != b"none":
+        return len(data) - at in (0, 16)
+    return at == len(data) and private[:4] == private[4:8]
+
+
+def whole_key(body: bytes, head: bytes | None = None) -> bool:
+    """Whether a key block decodes to one DER sequence of the length it declares, or to a whole OPENSSH key.
+
+    One whose header lines say that it is encrypted must consist of whole cipher blocks.
+    """
     try:
         der = base64.b64decode(b"".join(body.split()), validate=True)
     except binascii.Error:
         return False
+    if der.startswith(OPENSSH):
+        return whole_openssh(der)
+    start = DEK_INFO.search(head or b"")
+    if start:
+        return len(der) > 0 and len(der) % (len(start[1]) // 2) == 0
     if len(der) < 2 or der[0] != 0x30:
         return False
     size, start = der[1], 2
@@ -82,7 +129,7 @@ def _accept(kind: str, match: re.Match) -> bool:
         return len(match[0]) >= MIN_ACCESS
     if kind == "checked":
         return checksum(match[1]) == match[2]
-    return whole_key(match[2])
+    return whole_key(match["body"], match["head"])
 
 
 _PATTERNS = {"assign": ASSIGN, "access": ACCESS, "checked": CHECKED, "pem": PEM}

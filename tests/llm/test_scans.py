@@ -160,3 +160,35 @@ def test_quality_limits(spark):
 def test_scans_of_empty_tables(none):
     for scan in (scan_secrets, redact_secrets, scan_licenses, check_quality):
         assert scan(none, ["doc_id"]).count() == 0
+
+
+def openssh(cipher=b"none", checks=b"abcdabcd", tag=b""):
+    def field(value):
+        return len(value).to_bytes(4, "big") + value
+
+    head = b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big")
+    return head + field(b"public") + field(checks + b"private") + tag
+
+
+def pem_spans(label, body, head=b""):
+    text = b"x -----BEGIN %s-----\n%s%s-----END %s----- y" % (label, head, base64.encodebytes(body), label)
+    return [text[a:b] == text[2:-2] for a, b, kind in find_spans(text, keyword_automaton()) if kind == "pem"]
+
+
+def test_openssh_keys_by_their_own_lengths():
+    label = b"OPENSSH PRIVATE KEY"
+    assert pem_spans(label, openssh()) == [True]
+    assert pem_spans(label, openssh(b"aes256-ctr", b"anything")) == [True]
+    assert pem_spans(label, openssh(b"aes256-gcm@openssh.com", b"anything", bytes(16))) == [True]
+    for broken in (openssh()[:-1], openssh() + b"x", openssh(checks=b"abcdabce"), openssh()[:15], openssh()[:20]):
+        assert pem_spans(label, broken) == []
+
+
+def test_key_blocks_with_header_lines():
+    label, der = b"RSA PRIVATE KEY", b"\x30\x03\x02\x01\x05"
+    locked = b"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,%s\n\n" % (b"0A" * 16)
+    assert pem_spans(label, der, b"Comment: a key\n  and more\n\n") == [True]
+    assert pem_spans(label, bytes(64), locked) == [True]
+    assert pem_spans(label, bytes(64), locked.replace(b"\n", b"\r\n")) == [True]
+    assert pem_spans(label, bytes(63), locked) == []
+    assert pem_spans(label, bytes(64), b"Comment: a key\n\n") == []
