@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from songsift.session import scratch_path, settle
@@ -95,10 +95,14 @@ def parse_arc(data: bytes, name: str) -> Iterator[tuple[dict[str, str], int, byt
         if block:
             lines = content.decode("utf-8", "replace").split("\n")
             version = int(lines[0].split(" ")[0]) if lines[0].split(" ")[0].isdigit() else 0
-            if version not in FIELDS or len(lines) < 2 or lines[1].split(" ") != FIELDS[version]:
+            # Behind the first block a page may have such a url; its content tells.
+            if version in FIELDS and len(lines) > 1 and lines[1].split(" ") == FIELDS[version]:
+                fields = FIELDS[version]
+            elif at and names == fields:
+                block = False
+            else:
                 raise ValueError(f"{name} at {at}: unknown version block {lines[:2]}")
-            fields = FIELDS[version]
-        else:
+        if not block:
             yield dict(zip(names, values)), at, content
         at = end + 1 + length
 
@@ -169,8 +173,8 @@ def split_http(content: bytes) -> tuple[dict[str, str], bytes]:
     return {name.strip().lower(): value.strip() for name, _, value in pairs}, payload
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the ARC files below ``path``."""
+def read_arc(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """A row for each record of the ARC files below ``path``; if ``strict``, a broken file is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,6 +190,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                         number = int(page) if re.fullmatch(r"-?\d+", page) else None
                         rows.append((key.urn, number, fields["URL"], date, fields["Content-type"], payload, None))
                 except ValueError as error:
+                    if strict:
+                        raise
                     rows.append((None, None, None, None, None, None, str(error)))
                 for at in range(0, len(rows), 256):
                     columns = zip(*rows[at : at + 256])
@@ -310,10 +316,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def convert_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages through ARC files, converted to WARC files and read back.
 
-    Both sets of files stay below the shared folder.
+    Both sets of files stay below the shared folder.  A record that cannot be
+    read, or another number of records than pages, is an error.
     """
     spark = pages.sparkSession
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc, page_id, url, html)
-    write_warc(convert(read_arc(spark, arc)), warc)
+    n, given, made = F.count(F.lit(1)).alias("n"), Observation(), Observation()
+    write_arc(pages.observe(given, n), arc, page_id, url, html)
+    write_warc(convert(read_arc(spark, arc, strict=True)).observe(made, n), warc)
+    if given.get["n"] != made.get["n"]:
+        raise ValueError(f"{made.get['n']} records of {given.get['n']} pages")
     return read_warc(spark, warc)

@@ -91,3 +91,16 @@ def test_files_are_cut_and_both_versions_read(spark, tmp_path, pages):
 
 def test_empty_table(pages):
     assert convert_pages(pages.limit(0)).count() == 0
+
+
+def test_a_page_may_have_the_url_of_a_version_block(spark):
+    rows = [(1, "http://a.b/", "one"), (2, "filedesc://x.arc", "two"), (3, "http://a.c/", "three")]
+    found = convert_pages(spark.createDataFrame(rows * 2, "page_id bigint, url string, html string").coalesce(1))
+    assert sorted((r.page_id, r.url) for r in found.collect()) == sorted((i, u) for i, u, _ in rows * 2)
+
+
+def test_a_strict_read_does_not_lose_a_broken_file(spark, tmp_path):
+    (tmp_path / "part-0.arc").write_bytes(arc(1, [("http://a", b"one")])[:-2])
+    assert read_arc(spark, str(tmp_path)).filter("problem is not null").count() == 1
+    with pytest.raises(Exception, match="bytes"):
+        read_arc(spark, str(tmp_path), strict=True).collect()
