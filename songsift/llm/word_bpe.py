@@ -4,8 +4,9 @@
    one task; it has its own list of distinct words, and each text becomes the
    positions of its words in that list.  The list goes out in buckets by hash.
 2. ``encode_words`` brings equal words together by bucket and encodes each
-   distinct word once; the ids of a word are joined to their pieces there.
-3. ``assemble`` joins the ids back to the texts by block and position.
+   distinct word once.
+3. ``assemble`` brings the ids back to the texts by block and position, and looks
+   their pieces up in the vocabulary, which each worker loads; there is no join.
 
 So a word travels once per block and not once per occurrence, and a very common
 word is one entry of each block's list: no key is hot.
