@@ -32,6 +32,16 @@ def texts_of(batch: pa.RecordBatch, column: str = TEXT) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
+def slices(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in parts of about ``size`` bytes, cut at blanks only."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
+
+
 def per_text(
     df: DataFrame,
     work: Callable[[], Callable[[list[bytes]], list]],

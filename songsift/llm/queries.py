@@ -1,9 +1,9 @@
 """The registered queries of the operators in this subpackage.
 
-Each reads its whole table and returns the operator's full result.  None has
-SQL: hashes, vocabularies, models and suffix orders are beyond it, so the tests
-hold each query against a brute-force version, an exact round trip or held-out
-accuracy.
+Each reads its whole table and returns the operator's full result.  Counts and
+rankings have SQL; hashes, vocabularies, models and suffix orders are beyond it, so
+the tests hold the other queries against a brute-force version, an exact round
+trip or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from songsift.llm.byte_gru import Settings, predict_language, train, training_sa
 from songsift.llm.covering_simhash import near_duplicates
 from songsift.llm.decontaminate import find_leaks, leak_rows
 from songsift.llm.license_scan import scan_licenses
+from songsift.llm.norm_buckets import best_documents
 from songsift.llm.repetition_rules import check_quality
 from songsift.llm.secret_scan import scan_secrets
 from songsift.llm.suffix_dedup import remove_repeats
@@ -77,6 +78,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), ["doc_id"], digests=True)
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
@@ -90,6 +95,30 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op8_license_scan,
         op9_repetition_rules,
         op10_suffix_dedup,
+        op11_norm_buckets,
     )
 }
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLE_SQL["op11_norm_buckets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT row, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * texts + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term, texts),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * texts) // total.terms)))) AS BIGINT) AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN sized USING (row), total
+  GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
