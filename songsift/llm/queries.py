@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from songsift.llm.arc_convert import convert_pages
 from songsift.llm.byte_gru import Settings, predict_language, train, training_sample
+from songsift.llm.collocations import collocations
 from songsift.llm.covering_simhash import near_duplicates
 from songsift.llm.decontaminate import find_leaks, leak_rows
+from songsift.llm.gru_lm import score_documents
 from songsift.llm.license_scan import scan_licenses
 from songsift.llm.norm_buckets import best_documents
 from songsift.llm.repetition_rules import check_quality
@@ -82,6 +84,16 @@ def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+def op13_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    documents = _documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    return score_documents(documents, fold != 2, ["doc_id", "held_out"])
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {
     f.__name__: f
     for f in (
@@ -96,6 +108,8 @@ QUERIES = {"pipeline": corpus_pipeline.run} | {
         op9_repetition_rules,
         op10_suffix_dedup,
         op11_norm_buckets,
+        op12_collocations,
+        op13_gru_lm,
     )
 }
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,3 +136,36 @@ FROM (
   FROM scored WHERE score > 0)
 WHERE rank <= 10
 """
+ORACLE_SQL["op12_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) AS lengths(k)),
+f AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, words[i:i + k - 1] AS words, count(*) AS f
+  FROM starts GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k >= 2),
+cuts AS (
+  SELECT lang, phrase, words, k, f AS a, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, cut, x.f AS l, y.f AS r, n,
+    CAST((1000::HUGEINT * u.a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts u
+  JOIN f x ON x.lang = u.lang AND x.words = u.words[1:cut]
+  JOIN f y ON y.lang = u.lang AND y.words = u.words[cut + 1:u.k]
+  JOIN total ON total.lang = u.lang),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+spans AS (
+  SELECT lang, words, k, f, size, unnest(range(1, k - size + 2)) AS i FROM c, range(2, 5) AS sizes(size) WHERE size < k),
+held AS (
+  SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, max(f) AS longer FROM spans GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN held USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= 2000
+"""
