@@ -1,9 +1,11 @@
 """The corpus pipeline: documents through five stages, each written and read again.
 
 1. ``language``: documents whose language cannot be told go, that is those
-   without a letter and those of which the network is less than ``MIN_SCORE`` sure.
-2. ``near_duplicates``: of each group of texts that a Jaccard similarity of 0.8 or
-   more over five-word shingles links one document stays, the one with the smallest id.
+   without a letter and those of which the network is hardly surer than it would be
+   by chance, with ``MIN_LIFT`` divided by the number of languages as the limit.  If
+   no document has a language there is no network, and all documents stay.
+2. ``near_duplicates``: of each group of texts that SimHash links one document
+   stays, the one with the smallest id.
 3. ``benchmark``: documents that hold a test item go.
 4. ``secrets``: secrets are replaced by the name of their kind in brackets.
 5. ``tokens``: the ids of each text, with what they decode to.
@@ -23,25 +25,29 @@ from pyspark.sql import functions as F
 from songsift.llm.byte_gru import UNKNOWN, Settings, predict_language, train, training_sample
 from songsift.llm.covering_simhash import one_of_each
 from songsift.llm.decontaminate import find_leaks
-from songsift.llm.near_copies import near_copies
 from songsift.llm.secret_scan import redact_secrets
 from songsift.llm.word_bpe import encode_texts
 from songsift.session import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this the best language is hardly better than the others.
-MIN_SCORE = 0.3
+#: The least probability of the best language, as a multiple of the mean over all languages.
+MIN_LIFT = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     sample = training_sample(docs.filter(fold != 2), "text", "lang", ["doc_id"], Settings())
-    found = predict_language(docs, train(sample), COLUMNS)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    network = train(sample)
+    if network is None:
+        return docs.select(*COLUMNS)
+    # One language alone is always certain.
+    limit = min(1.0, MIN_LIFT / len(network.languages))
+    found = predict_language(docs, network, COLUMNS)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit * (1 - 1e-6))).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs.select(*COLUMNS), find=near_copies)
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
