@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ UNKNOWN = "und"
 _PLAIN = bytes(46 if c in SEPARATORS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of a chunk, and bytes of text for which there is a hash partition.
 CHUNK, PART = 2_000_000, 32 << 20
+#: Different phrases that a task adds up before it gives them out.
+HELD = 300_000
 #: Counters of a summary, as a multiple of its mass divided by the threshold.
 ROOM = 4
 #: Bits of a filter, whatever the input.
@@ -80,6 +83,7 @@ class Chunk:
     langs: list[str]
     carried: int
 
+    @cached_property
     def room(self) -> np.ndarray:
         """How many words from each place on belong to the same piece."""
         at = np.arange(len(self.ids))
@@ -88,7 +92,7 @@ class Chunk:
 
     def counted(self, length: int) -> np.ndarray:
         """The places at which an n-gram of ``length`` starts that this chunk counts."""
-        whole = self.room() >= length
+        whole = self.room >= length
         whole[: max(0, self.carried - length + 1)] = False
         return whole
 
@@ -281,7 +285,10 @@ def frequent_filter(texts: DataFrame, rules: Rules, lengths: range, pairs, parts
 
 
 def _count(rules: Rules, short, long, parts: int, size: int):
-    """Counts by the words themselves of all n-grams that pass, and of all words under an empty phrase."""
+    """Counts by the words themselves of all n-grams that pass, and of all words under an empty phrase.
+
+    They go out as lists, one for each hash partition and language.
+    """
 
     def rows(chunk: Chunk, pairs: Filter, more: Filter) -> Iterator[tuple[str, str, int]]:
         words = [w.decode("utf-8", "replace") for w in chunk.words]
@@ -292,7 +299,7 @@ def _count(rules: Rules, short, long, parts: int, size: int):
         name = chunk.lang.astype(np.int64)
         alive = np.ones(len(chunk.ids), bool)
         for length, keys in enumerate(chunk.keys(rules.longest, parts), 1):
-            passed = (pairs if length < 3 else more).has(keys) & (chunk.room()[: len(keys)] >= length)
+            passed = (pairs if length < 3 else more).has(keys) & (chunk.room[: len(keys)] >= length)
             # Each part of a frequent phrase is frequent.
             alive = passed & alive[: len(keys)] & (alive[1 : len(keys) + 1] if length > 1 else True)
             at = np.flatnonzero(alive)
@@ -312,10 +319,43 @@ def _count(rules: Rules, short, long, parts: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, more = _open(short), _open(long)
+        held: defaultdict[str, defaultdict[str, int]] = defaultdict(lambda: defaultdict(int))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                lists: defaultdict[int, list[str]] = defaultdict(list)
+                for phrase in own:
+                    lists[xxhash.xxh32_intdigest(phrase) % parts].append(phrase)
+                for part, phrases in lists.items():
+                    counts = [own[p] for p in phrases]
+                    columns = [[part], [lang], [phrases], [counts]]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["part", "lang", "phrases", "counts"])
+            held.clear()
+
         for chunk in chunks(batches, rules.longest, size):
-            found = list(rows(chunk, pairs, more))
-            for few in (found[i : i + 20_000] for i in range(0, len(found), 20_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*few)], ["lang", "phrase", "n"])
+            for lang, phrase, n in rows(chunk, pairs, more):
+                held[lang][phrase] += n
+            if sum(map(len, held.values())) >= HELD:
+                yield from out()
+        yield from out()
+
+    return run
+
+
+def _frequent(threshold: int):
+    """Adds up the lists of a partition and leaves the frequent phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: defaultdict[str, defaultdict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = totals[batch.column("lang")[i].as_py()]
+                for phrase, n in zip(*(batch.column(c)[i].as_py() for c in ("phrases", "counts"))):
+                    own[phrase] += n
+        for lang, own in totals.items():
+            kept = [(lang, p, n) for p, n in own.items() if n >= threshold or not p]
+            if kept:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, map(list, zip(*kept)))), ["lang", "phrase", "n"])
 
     return run
 
@@ -330,9 +370,11 @@ def frequent_phrases(
     parts = -(-total // part) or 1
     short = frequent_filter(texts, rules, range(1, 3), None, parts, size)
     long = frequent_filter(texts, rules, range(3, rules.longest + 1), short, parts, size) if rules.longest > 2 else short
-    counts = texts.mapInArrow(_count(rules, short, long, parts, size), "lang string, phrase string, n bigint")
-    counts = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return counts.filter((F.col("n") >= rules.threshold) | (F.col("phrase") == ""))
+    counts = texts.mapInArrow(
+        _count(rules, short, long, parts, size), "part bigint, lang string, phrases array<string>, counts array<bigint>"
+    )
+    by_part = counts.repartition(2 * parts, "part").groupBy("part")
+    return by_part.applyInArrow(_frequent(rules.threshold), "lang string, phrase string, n bigint")
 
 
 def score_cuts(counts: DataFrame) -> DataFrame:
