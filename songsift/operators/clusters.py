@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +61,68 @@ def silhouette(
     ).evaluate(df)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], predictions: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each batch the points as a matrix, their squared lengths, and their clusters by prediction."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            clusters = [batch.column(p).to_numpy() for p in predictions]
+            yield (x, np.einsum("ij,ij->i", x, x), *clusters)
+
+
+def _add_up(predictions: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Number, sum of squares and sum of the points of each cluster that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], list] = {}
+        for x, xx, *clusters in _blocks(batches, predictions):
+            for name, own in enumerate(clusters):
+                order = np.argsort(own, kind="stable")
+                found, first = np.unique(own[order], return_index=True)
+                counts = np.diff(np.append(first, len(own)))
+                squares, sums = np.add.reduceat(xx[order], first), np.add.reduceat(x[order], first, axis=0)
+                for c, *some in zip(found.tolist(), counts.tolist(), squares, sums):
+                    known = totals.get((name, c))
+                    totals[name, c] = [a + b for a, b in zip(known, some)] if known else some
+        if totals:
+            rows = [(predictions[name], c, n, q, s) for (name, c), (n, q, s) in totals.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v)) for v in zip(*rows)], ["name", "c", "n", "q", "s"])
+
+    return run
+
+
+def _score(predictions: list[str], clusters: dict[str, tuple[np.ndarray, ...]]):
+    """The sum of the silhouettes of a task's points, for each prediction.
+
+    Squared distances from all points of a block to all clusters are one matrix product.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, points = np.zeros(len(predictions)), 0
+        for x, xx, *owners in _blocks(batches, predictions):
+            points += len(x)
+            for i, (name, owner) in enumerate(zip(predictions, owners)):
+                numbers, n, q, s = clusters[name]
+                if len(numbers) < 2:
+                    continue
+                sums = xx[:, None] * n + q - 2 * (x @ s.T)
+                own, at = np.searchsorted(numbers, owner), np.arange(len(x))
+                size = n[own]
+                a = sums[at, own] / np.maximum(size - 1, 1)
+                sums /= n
+                sums[at, own] = np.inf
+                b = sums.min(axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.where(a < b, 1 - a / b, b / a - 1)
+                # A point alone in its cluster scores 0.
+                total[i] += np.where((size == 1) | (a == b), 0.0, score).sum()
+        if points:
+            counts = pa.array([points] * len(predictions))
+            yield pa.RecordBatch.from_arrays([pa.array(predictions), counts, pa.array(total)], ["name", "n", "s"])
+
+    return run
+
+
 def silhouettes(
     df: DataFrame, predictions: list[str], features: str = "scaledFeatures"
 ) -> dict[str, float]:
@@ -66,58 +131,31 @@ def silhouettes(
     The mean squared distance from a point to the points of a cluster follows
     from their number, their sum and their sum of squares.  So one pass adds
     these up for all clusters of all clusterings, a row for each, and the other
-    scores every point by all of them.
+    scores every point by all of them.  Both take the points a batch at a time,
+    as matrices.
     """
-    points = df.select(vector_to_array(features).alias("_x"), *predictions).withColumn(
-        "_xx", F.aggregate("_x", F.lit(0.0), lambda total, v: total + v * v)
-    )
-    which = F.explode(
-        F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("c")) for p in predictions])
+    points = df.select(
+        vector_to_array(features).alias("x"), *[F.col(p).cast("int").alias(p) for p in predictions]
     )
-    width = len(df.select(features).first()[0]) if not df.isEmpty() else 0
-    sums = (
-        points.select("_x", "_xx", which.alias("_w"))
-        .groupBy("_w.name", "_w.c")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("_xx").alias("q"),
-            F.array(*[F.sum(F.get("_x", i)) for i in range(width)]).alias("s"),
+    parts = points.mapInArrow(_add_up(predictions), "name string, c bigint, n bigint, q double, s array<double>")
+    at = F.posexplode("s").alias("i", "v")
+    by_place = parts.select("name", "c", at).groupBy("name", "c", "i").agg(F.sum("v").alias("v"))
+    sums = by_place.groupBy("name", "c").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+    sizes = parts.groupBy("name", "c").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    # A row for each cluster.
+    rows = sizes.join(sums, ["name", "c"]).orderBy("name", "c").collect()
+    clusters = {}
+    for p in predictions:
+        own = [r for r in rows if r["name"] == p]
+        clusters[p] = (
+            np.array([r["c"] for r in own]),
+            np.array([float(r["n"]) for r in own]),
+            np.array([r["q"] for r in own]),
+            np.array([[v["v"] for v in r["s"]] for r in own]),
         )
-        .collect()  # a row for each cluster
-    )
-
-    def score(name: str) -> Column:
-        clusters = [r for r in sums if r["name"] == name]
-        if len(clusters) < 2:
-            return F.lit(0.0)
-        known = F.array(
-            *[
-                F.struct(
-                    F.lit(float(r["n"])).alias("n"),
-                    F.lit(r["q"]).alias("q"),
-                    F.array(*map(F.lit, r["s"])).alias("s"),
-                )
-                for r in clusters
-            ]
-        )
-
-        def total(cluster: Column) -> Column:
-            products = F.zip_with("_x", cluster["s"], lambda x, s: x * s)
-            dot = F.aggregate(products, F.lit(0.0), lambda sum_, v: sum_ + v)
-            return F.col("_xx") * cluster["n"] + cluster["q"] - 2 * dot
-
-        own = (F.array_position(F.array(*[F.lit(r["c"]) for r in clusters]), F.col(name)) - 1).cast("int")
-        totals = F.transform(known, total)
-        size = F.get(known, own)["n"]
-        a = F.get(totals, own) / F.greatest(size - 1, F.lit(1.0))
-        b = F.array_min(
-            F.transform(totals, lambda d, i: F.when(i != own, d / F.get(known, i)["n"]))
-        )
-        # A point alone in its cluster scores 0.
-        return F.when((size == 1) | (a == b), 0.0).when(a < b, 1 - a / b).otherwise(b / a - 1)
-
-    row = points.agg(*[F.avg(score(p)).alias(p) for p in predictions]).first()
-    return {p: row[p] for p in predictions}
+    scored = points.mapInArrow(_score(predictions, clusters), "name string, n bigint, s double")
+    found = scored.groupBy("name").agg((F.sum("s") / F.sum("n")).alias("mean")).collect()
+    return {p: None for p in predictions} | {r["name"]: r["mean"] for r in found}
 
 
 def sweep_k(

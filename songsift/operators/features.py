@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from songsift.functions.lists import first_listed, parse_list
 from songsift.functions.numeric import round_int, shift_round
+from songsift.operators.joins import lookup
 from songsift.operators.quality import clip_outliers, drop_missing, drop_zero
+from songsift.operators.ranks import number_rows
 from songsift.schemas import GENRES
 from songsift.session import settle
 
@@ -81,14 +83,24 @@ def keep_labelled(df: DataFrame, label: str) -> DataFrame:
     return df.filter(F.col(label) != "")
 
 
-def index_label(df: DataFrame, label: str = "filtered_genre") -> DataFrame:
+def index_label(
+    df: DataFrame, label: str = "filtered_genre", vocabulary: list[str] | None = None
+) -> DataFrame:
     """Add ``<label>_index``: 0 for the most frequent label, equal counts by name.
 
-    Meant for labels out of a vocabulary, whose number is bounded.
+    Labels out of a ``vocabulary`` are few and may be held by the driver.  Without
+    one there may be any number of them: they are counted, numbered and joined
+    back by Spark, and a label with most of the rows does not matter.  A null
+    label then has no index.
     """
     index = f"{label}_index"
-    indexer = StringIndexer(inputCol=label, outputCol=index, stringOrderType="frequencyDesc")
-    return indexer.fit(df).transform(df).withColumn(index, F.col(index).cast("int"))
+    if vocabulary is not None:
+        indexer = StringIndexer(inputCol=label, outputCol=index, stringOrderType="frequencyDesc")
+        return indexer.fit(df).transform(df).withColumn(index, F.col(index).cast("int"))
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = number_rows(counts, [F.desc("_n"), F.asc(label)], output=index)
+    numbers = numbered.select(label, F.col(index).cast("int").alias(index))
+    return lookup(df, numbers, label).select(*df.columns, index)
 
 
 def one_hot(df: DataFrame, index: str, output: str, drop_last: bool = True) -> DataFrame:
@@ -140,7 +152,7 @@ def prepare_classification(
     )
     settled = settle(rounded, "rounded")
     scaled = minmax_scale(settled, ["loudness", "tempo", "duration"])
-    return index_label(keep_labelled(scaled, "filtered_genre"))
+    return index_label(keep_labelled(scaled, "filtered_genre"), vocabulary=vocabulary)
 
 
 def split_bucket(columns: list[str], buckets: int = 100) -> Column:

@@ -151,27 +151,36 @@ def _between(low: float, high: float, share: float) -> float:
 
 def _narrow(wide: DataFrame, brackets: dict, accuracy: int) -> dict:
     """Each bracket with ends close to its rank; as it was if these miss the rank."""
-    ends, margin = [], 2 / accuracy
+    margin = 2 / accuracy
+    # One sketch for all ranks within the same values of a column.
+    wanted: dict[tuple, list[float]] = {}
     for (c, rank), (lo, hi, below, inside) in brackets.items():
         share = (rank - below) / max(1, inside - 1)
-        shares = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
-        kept = F.when(F.col(c).between(lo, hi), F.col(c))
-        ends.append(F.percentile_approx(kept, shares, accuracy))
-    found = wide.agg(*[e.alias(str(i)) for i, e in enumerate(ends)]).first()
-    counts = wide.agg(
+        wanted.setdefault((c, lo, hi), []).extend([max(0.0, share - margin), min(1.0, share + margin)])
+    sketches = [
+        F.percentile_approx(F.when(F.col(c).between(lo, hi), F.col(c)), F.array(*map(F.lit, shares)), accuracy)
+        for (c, lo, hi), shares in wanted.items()
+    ]
+    row = wide.agg(*[e.alias(str(i)) for i, e in enumerate(sketches)]).first()
+    ends = {key: iter(zip(row[i][::2], row[i][1::2])) for i, key in enumerate(wanted)}
+    found = {key: next(ends[key[0], *b[:2]]) for key, b in brackets.items()}
+    # Floor and ceiling of a rank mostly have the same ends.
+    ranges = list(dict.fromkeys((c, *found[c, rank]) for c, rank in brackets))
+    row = wide.agg(
         *[
             F.struct(
-                F.count_if(F.col(c) < found[i][0]).alias("below"),
-                F.count_if(F.col(c).between(*found[i])).alias("inside"),
+                F.count_if(F.col(c) < lo).alias("below"),
+                F.count_if(F.col(c).between(lo, hi)).alias("inside"),
             ).alias(str(i))
-            for i, (c, _) in enumerate(brackets)
+            for i, (c, lo, hi) in enumerate(ranges)
         ]
     ).first()
+    counts = dict(zip(ranges, row))
     narrowed = {}
-    for i, ((c, rank), bracket) in enumerate(brackets.items()):
-        below, inside = counts[i]
+    for (c, rank), bracket in brackets.items():
+        below, inside = counts[c, *found[c, rank]]
         holds = below <= rank < below + inside
-        narrowed[c, rank] = (*found[i], below, inside) if holds else bracket
+        narrowed[c, rank] = (*found[c, rank], below, inside) if holds else bracket
     return narrowed
 
 

@@ -11,6 +11,7 @@ from songsift.functions.lists import parse_list
 from songsift.operators.clusters import fit_many, silhouette
 from songsift.operators.joins import lookup
 from songsift.operators.quality import drop_na
+from songsift.operators.ranks import number_rows
 from songsift.schemas import ARTIST_CLUSTER_FEATURES
 
 
@@ -130,6 +131,41 @@ def peers_of(assignments: DataFrame, artist_id: str) -> DataFrame:
     )
 
 
+def peer_index(assignments: DataFrame) -> DataFrame:
+    """``prediction``, ``artist_id`` and ``place``, the artist's number in its cluster, by id.
+
+    Settle it to take pages from it: it is stored in the order of cluster and id,
+    so a page is read without the others.
+    """
+    members = assignments.select("prediction", "artist_id").distinct()
+    return number_rows(members, [F.asc("artist_id")], ("prediction",), "place")
+
+
+def peer_pages(index: DataFrame, size: int = 1000) -> DataFrame:
+    """The pages of all clusters: ``prediction``, ``page``, its first and last artist and their number.
+
+    The peers of all artists are quadratic in the size of a cluster; these pages
+    hold them once for a whole cluster.  Every member is on exactly one page.
+    """
+    page = F.floor(F.col("place") / size).alias("page")
+    return index.groupBy("prediction", page).agg(
+        F.min("artist_id").alias("first"),
+        F.max("artist_id").alias("last"),
+        F.count(F.lit(1)).alias("artists"),
+    )
+
+
+def peers_on_page(index: DataFrame, artist_id: str, page: int, size: int = 1000) -> DataFrame:
+    """The peers of one artist that are on one page of its cluster, in order, without the artist."""
+    own = index.filter(F.col("artist_id") == artist_id).select("prediction").limit(1)
+    there = F.col("place").between(page * size, (page + 1) * size - 1)
+    return (
+        index.filter(there & (F.col("artist_id") != artist_id))
+        .join(F.broadcast(own), "prediction", "left_semi")
+        .orderBy("place")
+    )
+
+
 def _scores(
     truth: DataFrame, assignments: DataFrame, predictions: list[str]
 ) -> DataFrame:

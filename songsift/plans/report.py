@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from songsift.operators.classify import (
+    best_of_grid,
     best_params,
     cross_validate,
     fold_metrics,
-    forest_grid,
+    grid_search,
     random_forest,
 )
 from songsift.operators.clusters import cluster_profile, playlist
@@ -54,14 +55,19 @@ def genres_report(
 ) -> dict[str, DataFrame]:
     """Accuracy of the classifiers, and of the forest over the folds.
 
-    With ``grid`` the folds are run for all 27 settings of ``forest_grid``;
+    With ``grid`` the folds are run for all 27 settings of ``grid_search``;
     ``durations`` are the bounds beyond which a song is an outlier.
     """
     train, test = training_split(songs, vocabulary, durations=durations)
     comparison, _ = compare_classifiers(train, test, trees, max_iter)
-    forest = random_forest(trees=trees)
-    settings = forest_grid(forest.getStages()[-1]) if grid else None
-    validated = cross_validate(train, forest, settings, folds=folds, parallelism=parallelism)
+    if grid:
+        table = grid_search(train, folds=folds, parallelism=parallelism)
+        return {
+            "classifiers": comparison,
+            "forest_folds": table,
+            "forest_params": best_of_grid(table),
+        }
+    validated = cross_validate(train, random_forest(trees=trees), folds=folds, parallelism=parallelism)
     return {
         "classifiers": comparison,
         "forest_folds": fold_metrics(train, validated),

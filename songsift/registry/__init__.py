@@ -38,6 +38,7 @@ def load() -> dict[str, Entry]:
         cleaning,
         clustering,
         counting,
+        growing,
         ingesting,
         preparing,
     )

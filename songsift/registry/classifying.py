@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from songsift.operators.classify import (
     accuracy,
     accuracy_table,
+    best_of_grid,
     best_params,
     compare_models,
     cross_validate,
@@ -19,6 +20,7 @@ from songsift.operators.classify import (
     fit_mlp,
     fit_random_forest,
     fold_metrics,
+    grid_search,
     predict,
     random_forest,
 )
@@ -106,6 +108,50 @@ def trees_on_known_label(spark, sf_dir):
     return compare_models(models, test)
 
 
+_APART = "(tempo_sc < 0.45 OR tempo_sc > 0.55)"
+
+
+@query(
+    over_catalogue(
+        'SELECT model, count(*) AS "rows", CAST(1 AS DOUBLE) AS accuracy FROM indexed,'
+        " (SELECT unnest(['mlp', 'decision_tree', 'random_forest']) AS model)"
+        f" WHERE NOT ({IN_TRAIN}) AND {_APART} GROUP BY model",
+        *FRAME,
+    )
+)
+def models_on_separable_label(spark, sf_dir):
+    """Slow and fast songs with a gap between them: all three classifiers must tell them apart."""
+    train, test = (
+        side.filter(_APART).withColumn("filtered_genre_index", (F.col("tempo_sc") > 0.5).cast("int"))
+        for side in _split(spark, sf_dir)
+    )
+    return compare_classifiers(train, test, trees=20)[0]
+
+
+# A label that takes seven levels of splits, at values that only 48 bins tell apart.
+_DEEP = (
+    "CASE WHEN p < 12 THEN 0 WHEN s < 13 THEN 1 WHEN o < 14 THEN 2 WHEN p < 25 THEN 3 WHEN s < 26 THEN 4"
+    " WHEN o < 24 THEN 0 WHEN p < 35 THEN 1 ELSE 2 END"
+)
+
+
+@query(
+    'SELECT 10 AS max_depth, 48 AS max_bins, count(*) AS "rows", CAST(1 AS DOUBLE) AS accuracy FROM lineitem'
+)
+def grid_on_deep_label(spark, sf_dir):
+    """The grid must find the least depth and the bins that a known label needs."""
+    digits = "cast(conv(substring(md5(concat_ws('|', l_orderkey, l_linenumber)), {}, 4), 16, 10) as int) % 48 as {}"
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        digits.format(1, "p"), digits.format(5, "s"), digits.format(9, "o"), "l_orderkey as song"
+    )
+    rows = settle(rows.withColumn("label", F.expr(_DEEP)), "deep", spread=True)
+    grid = grid_search(
+        rows, ["p", "s", "o"], "label", trees=(2, 4), folds=2, parallelism=4, min_instances=1
+    )
+    # A few songs next to a split value may be missed where songs are few.
+    return best_of_grid(grid).select("max_depth", "max_bins", "rows", F.round("accuracy", 2).alias("accuracy"))
+
+
 @query(
     over_catalogue(
         'SELECT feature, n AS "values" FROM (UNPIVOT (SELECT'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from songsift.functions.lists import overlap_pct, parse_list, without
@@ -22,10 +22,12 @@ from songsift.operators.clusters import (
     fit_kmeans,
     playlist,
     silhouette,
+    sweep_k,
 )
 from songsift.operators.counts import count_by, top_k
 from songsift.operators.similarity import (
     artist_features,
+    artist_sweep,
     cluster_peers,
     evaluate_clusters,
     ground_truth,
@@ -44,6 +46,7 @@ from songsift.registry.data import (
     near,
     near_sql,
     over_catalogue,
+    table,
     tokens_sql,
     vectors,
 )
@@ -527,3 +530,80 @@ def artist_cluster_sweep(spark, sf_dir):
         # A fit may leave some of the k clusters empty, never make more.
         size.between(total / F.col("k") - 1e-9, total).alias("size_fits"),
     )
+
+
+# Five groups of points, far apart, and five of artists.
+_GROUPS, _GAP = 5, 40.0
+_PLANTED_SQL = (
+    f"planted AS (SELECT CAST(vec_id % {_GROUPS} AS INTEGER) AS prediction, list_transform(embedding, lambda v, i:"
+    f" CAST(v AS DOUBLE) + CASE WHEN i - 1 = vec_id % {_GROUPS} THEN {_GAP} ELSE 0 END) AS x FROM embeddings)"
+)
+
+
+def _planted(spark, sf_dir):
+    """Embeddings moved apart by group."""
+    moved = F.transform(
+        F.col("embedding").cast("array<double>"),
+        lambda v, i: v + F.when(i == F.col("vec_id") % _GROUPS, F.lit(_GAP)).otherwise(0.0),
+    )
+    points = table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") % _GROUPS).cast("int").alias("planted"), array_to_vector(moved).alias("scaledFeatures")
+    )
+    return settle(points, "planted", spread=True)
+
+
+@query(
+    f"WITH {_PLANTED_SQL} SELECT prediction AS planted, 'x' || (i - 1) AS feature,"
+    f" {near_sql('avg(x[i])')} AS value, count(*) AS points FROM planted, range(1, 65) t(i) GROUP BY prediction, i"
+)
+def planted_centers(spark, sf_dir):
+    """k-means must find planted groups: a row for each pair of cluster and group, with the cluster's centre."""
+    points = _planted(spark, sf_dir)
+    model = fit_kmeans(points, _GROUPS)
+    pairs = attach_predictions(points, model).groupBy("prediction", "planted").agg(F.count(F.lit(1)).alias("points"))
+    centers = cluster_centers(points, model, [f"x{i}" for i in range(64)])
+    return centers.join(pairs, F.col("cluster") == F.col("prediction")).select(
+        "planted", "feature", near("value").alias("value"), "points"
+    )
+
+
+@query(
+    f"WITH {_PLANTED_SQL}, "
+    + silhouette_sql("SELECT * FROM planted", 64)
+    + f" SELECT CAST({_GROUPS} AS INTEGER) AS k, {near_sql('silhouette')} AS silhouette FROM silhouettes"
+)
+def planted_sweep(spark, sf_dir):
+    """The best of 2 to 12 clusters are the planted ones, with their silhouette."""
+    sweep, _ = sweep_k(_planted(spark, sf_dir), list(range(2, 13)), parallelism=4)
+    return best_k(sweep).withColumn("silhouette", near("silhouette"))
+
+
+_GROUPED = (
+    "grouped AS (SELECT artist_id, CAST(c_custkey % 5 AS INTEGER) AS prediction,"
+    " list_transform(range(5), lambda g: CASE WHEN g = c_custkey % 5 THEN 40.0 ELSE 0.0 END"
+    " + ((c_custkey * (g + 3)) % 97) / 97.0) AS x FROM artists JOIN customer ON 'AR' || c_custkey = artist_id)"
+)
+
+
+@query(
+    f"WITH {CATALOGUE_SQL}, {TRUTH}, {EDGES}, artists AS (SELECT 'AR' || c_custkey AS artist_id,"
+    " CAST(c_custkey % 5 AS INTEGER) AS prediction FROM customer),"
+    f" {SCORES}, {_GROUPED}, "
+    + silhouette_sql("SELECT prediction, x FROM grouped", 5)
+    + ' SELECT CAST(5 AS INTEGER) AS k, (SELECT avg(n) FROM (SELECT count(*) AS n FROM artists GROUP BY prediction))'
+    f' AS "avgArtistsPerCluster", (SELECT {near_sql("silhouette")} FROM silhouettes) AS silhouette,'
+    f' {near_sql("avg(percent)")} AS "avgPercent", {near_sql("max(percent)")} AS "maxPercent" FROM scores'
+)
+def planted_artist_sweep(spark, sf_dir):
+    """Artists in planted groups, swept over several k: the scores at the planted one."""
+    group = F.col("c_custkey") % 5
+    x = [
+        F.when(group == g, 40.0).otherwise(0.0) + (F.col("c_custkey") * (g + 3)) % 97 / 97.0 for g in range(5)
+    ]
+    artists_ = table(spark, sf_dir, "customer").select(
+        F.expr("'AR' || c_custkey").alias("artist_id"), array_to_vector(F.array(*x)).alias("scaledFeatures")
+    )
+    truth = settle(_truth(spark, sf_dir), "truth")
+    scores, _ = artist_sweep(settle(artists_, "artists", spread=True), truth, [5, 10, 20], parallelism=3)
+    scores = scores.filter("k = 5")
+    return scores.withColumns({c: near(c) for c in ("silhouette", "avgPercent", "maxPercent")})

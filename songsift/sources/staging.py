@@ -48,6 +48,54 @@ def write_staging_csv(df: DataFrame, path: str) -> None:
     df.select(*map(flat, df.schema)).write.mode("overwrite").options(**_CSV).csv(path)
 
 
+def read_staging_lines(
+    spark: SparkSession, path: str, schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """The sound records in the types of ``schema``, and the others: ``file``, ``line`` and ``reason``.
+
+    A record is turned down if it has another number of fields, or a text that
+    is not of its column's type; the reason names all such columns.  Nothing is
+    lost: every line but the headers is in one of the two.  Both read the lines
+    once and in parallel, as a record is a line.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    with_bad = T.StructType([*text, T.StructField("_bad", T.StringType())])
+    options = {k: str(v) for k, v in _CSV.items() if k != "header"}
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    header = ",".join(f.name for f in schema)
+    lines = (
+        spark.read.text(path)
+        .select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_line"))
+        .filter((F.col("_line") != header) & (F.col("_line") != ""))
+    )
+    fields = lines.withColumn("_text", F.from_csv("_line", with_bad.simpleString(), options))
+
+    def typed(field: T.StructField) -> Column:
+        value = F.col(f"_text.`{field.name}`")
+        if isinstance(field.dataType, T.ArrayType):
+            return F.from_json(value, field.dataType)
+        if isinstance(field.dataType, T.StringType):
+            return _unescaped(value)
+        return value.try_cast(field.dataType)
+
+    wrong = [
+        F.when(F.col(f"_text.`{f.name}`").isNotNull() & typed(f).isNull(), F.lit(f.name))
+        for f in schema
+    ]
+    read = fields.select(
+        "_file",
+        "_line",
+        F.when(F.col("_text._bad").isNotNull(), F.lit(f"not {len(schema)} fields"))
+        .otherwise(F.nullif(F.concat(F.lit("wrong type: "), F.array_join(F.array(*wrong), ", ")), F.lit("wrong type: ")))
+        .alias("_reason"),
+        *[typed(f).alias(f.name) for f in schema],
+    )
+    rejects = read.filter("_reason IS NOT NULL").select(
+        F.col("_file").alias("file"), F.col("_line").alias("line"), F.col("_reason").alias("reason")
+    )
+    return read.filter("_reason IS NULL").select(*schema.names), rejects
+
+
 def read_staging_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a staging CSV back into the types of ``schema``."""
     text = T.StructType(

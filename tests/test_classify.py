@@ -11,12 +11,14 @@ from songsift.operators.classify import (
     fit_decision_tree,
     fit_mlp,
     fit_random_forest,
+    best_of_grid,
     fold_metrics,
     forest_grid,
+    grid_search,
     predict,
     random_forest,
 )
-from songsift.operators.features import hash_split
+from songsift.operators.features import hash_split, split_bucket
 from songsift.plans.genres import compare_classifiers, training_split
 from tests.conftest import rows, song
 from songsift.schemas import CATALOGUE
@@ -84,6 +86,23 @@ def test_cross_validation_reports_every_candidate(separable):
     assert params["maxDepth"] == "4" and params["numTrees"] == "3" and params["impurity"] == "gini"
 
 
+def test_grid_scores_every_number_of_trees_from_the_same_forest(separable):
+    options = dict(depths=(1, 4), bins=(8, 16), folds=3, min_instances=1, parallelism=4)
+    table = grid_search(separable, FEATURES["features"], "label", trees=(2, 5), **options)
+    assert table.count() == 8 and {r["rows"] for r in table.collect()} == {separable.count()}
+    best = best_of_grid(table).first()
+    assert best["max_depth"] == 4 and best["accuracy"] > 0.9
+    alone = grid_search(separable, FEATURES["features"], "label", trees=(2,), **options)
+    of_two = rows(table.filter("trees = 2"))
+    assert rows(alone) == of_two
+    shares = []
+    for fold in range(3):
+        in_fold = split_bucket(separable.columns, 3) == fold
+        forest = random_forest(trees=2, max_depth=4, max_bins=16, min_instances=1, **FEATURES)
+        shares.append(accuracy(forest.fit(separable.filter(~in_fold)).transform(separable.filter(in_fold)), "label"))
+    assert [r[-1] for r in of_two if r[:2] == (4, 16)] == [pytest.approx(sum(shares) / 3)]
+
+
 def test_published_settings_are_the_defaults():
     forest = random_forest().getStages()[-1]
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMaxBins()) == (200, 5, 50)

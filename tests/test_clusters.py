@@ -15,6 +15,7 @@ from songsift.operators.clusters import (
     fit_kmeans,
     playlist,
     silhouette,
+    silhouettes,
     sweep_k,
 )
 from songsift.operators.features import assemble
@@ -55,6 +56,22 @@ def test_sweep_finds_the_groups(blobs):
     assert silhouette(songs) == pytest.approx(scores[4])
 
 
+def test_silhouettes_equal_those_of_the_library(blobs):
+    """Also for a point alone in its cluster, points on the same place, and a single cluster."""
+    clustered = blobs.select(
+        "scaledFeatures",
+        F.when(F.col("id") == 3, 9).otherwise(F.col("group")).alias("lonely"),
+        (F.col("id") % 11).cast("int").alias("mixed"),
+        F.lit(4).alias("one"),
+    )
+    names = ["lonely", "mixed"]
+    found = silhouettes(clustered, [*names, "one"])
+    for name in names:
+        assert found[name] == pytest.approx(silhouette(clustered, prediction=name), abs=1e-12)
+    assert found["one"] == 0
+    assert silhouettes(clustered.limit(0), names) == {"lonely": None, "mixed": None}
+
+
 def test_points_lie_with_their_nearest_center(blobs):
     model = fit_kmeans(blobs, 7)
     centers = cluster_centers(blobs, model, ["x", "y"])
