@@ -171,17 +171,18 @@ def vector_categories(spark, sf_dir):
 
 
 def _validated(spark, sf_dir):
-    """Five folds of the forest with the settings it has, as no grid is active."""
+    """Five folds of the forest with the settings it has, as no grid is active, on a label that follows from a feature."""
     train, _ = _split(spark, sf_dir)
+    train = train.withColumn("filtered_genre_index", (F.col("time_signature") % 3).cast("int"))
     return train, cross_validate(train, random_forest(), parallelism=2)
 
 
 @query(
-    "SELECT CAST(0 AS INTEGER) AS candidate, '' AS params, true AS in_range FROM lineitem LIMIT 1"
+    "SELECT CAST(0 AS INTEGER) AS candidate, '' AS params, CAST(1 AS DOUBLE) AS accuracy FROM lineitem LIMIT 1"
 )
 def forest_cv(spark, sf_dir):
-    table = fold_metrics(*_validated(spark, sf_dir))
-    return table.select("candidate", "params", F.col("accuracy").between(0, 1).alias("in_range"))
+    """Every fold must find the label."""
+    return fold_metrics(*_validated(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(

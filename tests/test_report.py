@@ -5,7 +5,9 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from songsift.plans.popularity import songs_per_country
+from songsift.operators.quality import describe_columns
+from songsift.plans.growth import add_part, report_of_parts
+from songsift.plans.popularity import artists_per_country, popular_terms, songs_per_country
 from songsift.plans.report import artists_report, counts_report, genres_report, playlists_report
 from songsift.schemas import CATALOGUE
 from tests.conftest import song
@@ -76,3 +78,33 @@ def test_command_needs_two_arguments():
         [sys.executable, "-m", "songsift"], cwd=root, capture_output=True, text=True, timeout=120
     )
     assert done.returncode != 0 and "python -m songsift" in done.stderr
+
+
+def test_parts_answer_like_the_whole(spark, tmp_path):
+    songs, path = catalogue_of(spark, 600), str(tmp_path / "states")
+    half = F.substring("song_id", 2, 9).cast("int") < 200
+    add_part(songs, path, "one", "artist_location")
+    add_part(songs.filter(half), path, "one", "artist_location")
+    add_part(songs.filter(~half), path, "two", "artist_location")
+    answers = report_of_parts(spark, path, songs, 3)
+    exact = {r["column"]: r for r in describe_columns(songs, ["tempo", "year", "duration"]).collect()}
+    found = {r["column"]: r for r in answers["profile"].collect()}
+    for name, row in exact.items():
+        for measure in ("count", "mean", "std", "min", "max"):
+            assert found[name][measure] == pytest.approx(row[measure]), (name, measure)
+    assert answers["artists_per_country"].collect() == artists_per_country(songs, "artist_location").collect()
+    assert answers["popular_terms"].collect() == popular_terms(songs).limit(3).collect()
+
+
+def test_grid_of_the_report(spark, monkeypatch):
+    """Asked for, the whole documented grid is run."""
+    seen = {}
+
+    def search(train, **options):
+        seen.update(options)
+        return spark.createDataFrame([(5, 16, 50, 480, 0.4), (5, 32, 50, 480, 0.5)], "max_depth int, max_bins int, trees int, rows bigint, accuracy double")
+
+    monkeypatch.setattr("songsift.plans.report.grid_search", search)
+    answers = genres_report(catalogue_of(spark, 300), trees=2, max_iter=2, folds=4, grid=True)
+    assert seen == {"folds": 4, "parallelism": 1}
+    assert answers["forest_folds"].count() == 2 and answers["forest_params"].first()["max_bins"] == 32
