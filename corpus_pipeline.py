@@ -27,7 +27,7 @@ from songsift.llm.covering_simhash import one_of_each
 from songsift.llm.decontaminate import find_leaks
 from songsift.llm.secret_scan import redact_secrets
 from songsift.llm.word_bpe import encode_texts
-from songsift.session import settle
+from songsift.session import scratch_path, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The least probability of the best language, as a multiple of the mean over all languages.
@@ -78,9 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage.  What a stage before it keeps on the way goes when its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        path, schema = scratch_path(spark, name), docs.select(*COLUMNS).schema
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
