@@ -43,8 +43,13 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return counts.unpivot([], columns, "column", "missing")
 
 
-def _measure(wide: DataFrame) -> dict[str, Row]:
-    """Count, mean, deviation, minimum and maximum of every column, in one pass."""
+def _measure(wide: DataFrame, probabilities: list[float], accuracy: int) -> dict[str, Row]:
+    """Count, mean, deviation, minimum and maximum of every column, in one pass.
+
+    Also ``ends``, approximate percentiles a little below and above each probability.
+    """
+    margin = 2 / accuracy
+    shares = [s for p in probabilities for s in (max(0.0, p - margin), min(1.0, p + margin))]
     measures = (
         ("count", F.count),
         ("mean", F.avg),
@@ -55,7 +60,10 @@ def _measure(wide: DataFrame) -> dict[str, Row]:
     row = wide.agg(
         *[
             F.struct(
-                *[f(F.when(~is_missing(wide, c), F.col(c))).alias(name) for name, f in measures]
+                *[f(F.when(~is_missing(wide, c), F.col(c))).alias(name) for name, f in measures],
+                F.percentile_approx(
+                    F.when(~is_missing(wide, c), F.col(c)), F.array(*map(F.lit, shares or [0.5])), accuracy
+                ).alias("ends"),
             ).alias(c)
             for c in wide.columns
         ]
@@ -79,15 +87,16 @@ def exact_quantiles(
     """Linear-interpolated quantiles, exact at any size, keyed by (column, probability).
 
     Approximate percentiles a little below and above each wanted rank bracket
-    it, whatever the values are, infinities included.  One pass counts the rows
-    below and inside each bracket.  A bracket that misses its rank starts again
-    with all values, and one with more than ``rows_per_task`` rows is narrowed
-    in the same way.  Then the values left are counted and the ranks are read
-    off a running total: three passes, unless a bracket has to be narrowed.  The
-    driver sees single values only, never the rows.
+    it, whatever the values are, infinities included; they come with the count,
+    in one pass.  Another counts the rows below and inside each bracket.  A
+    bracket that misses its rank keeps all values, and one with more than
+    ``rows_per_task`` rows is narrowed in the same way.  Then the values left are
+    counted and the ranks are read off a running total: three passes, unless a
+    bracket has to be narrowed.  The driver sees single values only, never the rows.
     """
     wide = _as_doubles(df, columns)
-    return _quantiles(wide, _measure(wide), probabilities, rows_per_task, accuracy)
+    measured = _measure(wide, probabilities, accuracy)
+    return _quantiles(wide, measured, probabilities, rows_per_task, accuracy)
 
 
 def _quantiles(
@@ -98,22 +107,25 @@ def _quantiles(
     accuracy: int = 10_000,
 ) -> dict[tuple[str, float], float]:
     brackets = {}  # (column, rank) -> (lowest, highest, rows below, rows inside)
-    positions = {}
+    positions, ends = {}, {}
     for c, m in measured.items():
-        for p in probabilities if m["count"] else []:
+        for i, p in enumerate(probabilities if m["count"] else []):
             position = p * (m["count"] - 1)
             positions[c, p] = position
             for rank in (math.floor(position), math.ceil(position)):
                 brackets[c, rank] = (m["min"], m["max"], 0, m["count"])
+                ends[c, rank] = (m["ends"][2 * i], m["ends"][2 * i + 1])
 
-    first, stuck = True, set()
+    open_ = {key: b for key, b in brackets.items() if b[0] < b[1]}
+    if open_:
+        brackets |= _counted(wide, open_, ends)
+    stuck = set()
     while True:
         wanted = {
             key: b
             for key, b in brackets.items()
-            if b[0] < b[1] and (first or b[3] > rows_per_task) and key not in stuck
+            if b[0] < b[1] and b[3] > rows_per_task and key not in stuck
         }
-        first = False
         if not wanted:
             break
         for key, narrowed in _narrow(wide, wanted, accuracy).items():
@@ -164,6 +176,11 @@ def _narrow(wide: DataFrame, brackets: dict, accuracy: int) -> dict:
     row = wide.agg(*[e.alias(str(i)) for i, e in enumerate(sketches)]).first()
     ends = {key: iter(zip(row[i][::2], row[i][1::2])) for i, key in enumerate(wanted)}
     found = {key: next(ends[key[0], *b[:2]]) for key, b in brackets.items()}
+    return _counted(wide, brackets, found)
+
+
+def _counted(wide: DataFrame, brackets: dict, found: dict) -> dict:
+    """Each bracket with the ``found`` ends and its rows, or as it was if these miss the rank."""
     # Floor and ceiling of a rank mostly have the same ends.
     ranges = list(dict.fromkeys((c, *found[c, rank]) for c, rank in brackets))
     row = wide.agg(
@@ -220,8 +237,9 @@ def _values_at(wide: DataFrame, brackets: dict) -> dict:
 def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum; one row per column."""
     wide = _as_doubles(df, columns)
-    measured = _measure(wide)
-    quartiles = _quantiles(wide, measured, [0.25, 0.5, 0.75])
+    shares = [0.25, 0.5, 0.75]
+    measured = _measure(wide, shares, 10_000)
+    quartiles = _quantiles(wide, measured, shares)
     return df.sparkSession.createDataFrame(
         [
             (

@@ -57,14 +57,15 @@ def test_three_passes_whatever_the_values(spark, monkeypatch):
     ends = np.concatenate([np.full(5100, -np.inf), np.full(3000, np.inf), wide[8100:]])
     df = spark.createDataFrame(pd.DataFrame({"wide": wide, "ends": ends})).repartition(4)
     narrowed, seen = [], []
-    monkeypatch.setattr(quality, "_narrow", lambda *a, f=quality._narrow: narrowed.append(1) or f(*a))
+    monkeypatch.setattr(quality, "_counted", lambda *a, f=quality._counted: narrowed.append(1) or f(*a))
+    monkeypatch.setattr(quality, "_narrow", lambda *a: pytest.fail("a further pass"))
     monkeypatch.setattr(quality, "_in_brackets", lambda *a, f=quality._in_brackets: seen.append(f(*a)) or seen[-1])
     got = exact_quantiles(df, ["wide", "ends"], [0.25, 0.5, 0.75, 0.9], rows_per_task=100)
     for p in (0.25, 0.5, 0.75, 0.9):
         assert got["wide", p] == pytest.approx(np.quantile(wide, p), rel=1e-12)
     assert got["ends", 0.25] == -np.inf and got["ends", 0.9] == np.inf
     assert got["ends", 0.5] == pytest.approx(np.quantile(ends, 0.5), rel=1e-12)
-    # The measure, one pair of percentiles and counts, and the values left.
+    # The measure with percentiles, one pass of counts, and the values left.
     assert len(narrowed) == 1
     assert seen[0][1].groupBy("slot", "value").count().groupBy("slot").count().agg({"count": "max"}).first()[0] <= 100
 
