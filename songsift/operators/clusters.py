@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from songsift.operators.features import split_bucket
+from songsift.session import settle
 
 
 def fit_kmeans(
@@ -37,7 +38,8 @@ def fit_many(
 ) -> tuple[DataFrame, dict[int, KMeansModel], dict[int, float]]:
     """``df`` with the cluster ``k<k>`` for each k, the models, and the silhouettes.
 
-    ``df`` should be settled, since every fit reads it.
+    ``df`` should be settled, since every fit reads it.  The clusters are settled
+    here, so that no score assigns the rows again.
     """
 
     def fit(k: int) -> KMeansModel:
@@ -48,6 +50,7 @@ def fit_many(
     assigned = df
     for model in models.values():
         assigned = model.transform(assigned)
+    assigned = settle(assigned, "assigned")
     scores = silhouettes(assigned, [f"k{k}" for k in ks], features)
     return assigned, models, {k: scores[f"k{k}"] for k in ks}
 
