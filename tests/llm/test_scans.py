@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from songsift.llm.license_scan import evaluate, read_expression, scan_licenses
-from songsift.llm.repetition_rules import Limits, check_quality
+from songsift.llm.repetition_rules import Limits, check_quality, repetition
 from songsift.llm.secret_scan import checksum, find_spans, keyword_automaton, redact_secrets, scan_secrets
 
 ASSIGN = re.compile(
@@ -132,7 +134,7 @@ def plain_longest(words):
             while i + k < len(words) and words[i + k] == words[j + k]:
                 k += 1
             best = max(best, k)
-    return best if best >= 8 else 0
+    return best if best >= Limits.passage else 0
 
 
 def test_quality_equals_the_base_rules(spark, docs, odd):
@@ -157,6 +159,57 @@ def test_quality_limits(spark):
     assert not check_quality(df, ["doc_id"], limits=Limits(covered=0.2)).first().kept
 
 
+def plain_passages(text, passage):
+    """Words in passages of at least ``passage`` words that start twice, and the longest of these."""
+    words, longest = text.encode().split(), 0
+    covered = set()
+    for i in range(len(words)):
+        best = 0
+        for j in range(len(words)):
+            n = 0
+            while i != j and max(i, j) + n < len(words) and words[i + n] == words[j + n]:
+                n += 1
+            best = max(best, n)
+        if best >= passage:
+            covered.update(range(i, i + best))
+            longest = max(longest, best)
+    return len(covered), longest
+
+
+@pytest.mark.parametrize("passage", [2, 3, 5, 8, 11])
+def test_intervals_equal_brute_force(passage):
+    random, texts = np.random.default_rng(passage), ["", "one", "a a", "a b " * 30, "x " * 41 + "y", "p q r s t u v w x " * 3]
+    for size in range(5, 120, 7):
+        for letters in (2, 5, 40):
+            words = [f"w{x}" for x in random.integers(0, letters, size)]
+            texts.append(" \n".join(words + words[3 : 3 + size // 4]))
+    _, windows, covered, longest = repetition([t.encode() for t in texts], passage)
+    assert list(zip(covered, longest)) == [plain_passages(t, passage) for t in texts]
+    assert windows.tolist() == [plain_quality(t)[4] for t in texts]
+
+
+def test_short_phrases_are_rejected_by_cover_alone(spark):
+    """No window of eight words occurs twice, yet nearly all of the text are phrases that come again."""
+    random = np.random.default_rng(1)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(6)) for i in range(12)]
+    text = " ".join(f"{phrases[i]} n{n}" for n, i in enumerate(random.permutation(np.repeat(range(12), 6))))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    row = check_quality(df, ["doc_id"]).first()
+    assert row.n_repeat_words == 0 and not row.base_failed and not row.kept
+    assert row.n_covered_words == 72 * 6
+    assert check_quality(df, ["doc_id"], limits=Limits(covered=0.9)).first().kept
+
+
+def test_memory_follows_the_words():
+    text = b"abc " * 1_000_000
+    tracemalloc.start()
+    n, windows, covered, longest = repetition([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n[0], windows[0], covered[0], longest[0]) == (10**6, 10**6, 10**6, 10**6 - 1)
+    assert peak < 90 << 20
+
+
 def test_scans_of_empty_tables(none):
     for scan in (scan_secrets, redact_secrets, scan_licenses, check_quality):
         assert scan(none, ["doc_id"]).count() == 0
