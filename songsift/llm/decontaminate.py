@@ -16,19 +16,26 @@ A retrieved item counts if the passage also holds enough of the word sequences
 of its question and of its answer.  The last sentence is the answer, of an item
 of one sentence the last third of its words.
 
-The test items are indexed in shards of ``shard`` items, each held by every task;
-the training texts are read once for each shard.  A null or empty text or item
-has no terms and matches nothing.  Repeated rows match alike; ties keep the
-earliest passage.
+Document frequencies, the mean length and the length of a passage are those of
+all items, taken by Spark first.  The items are then indexed in shards of about
+``shard`` items, each held by every task; the training texts are read once
+for each shard.  The shards change no result.
+
+Words are runs of Unicode letters and digits, so any punctuation or blank
+separates them.  Scripts that write no blanks between words, such as Chinese or
+Thai, give pairs of neighbouring characters instead.
+
+A null or empty text or item has no terms and matches nothing.  Repeated rows
+match alike; ties keep the earliest passage.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songsift.llm.batches import per_text
+from songsift.session import settle
 
 K1, B = 1.2, 0.75
-_WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_WORDS = re.compile(r"[^\W_]+")
+# The blocks of scripts without blanks between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_RUNS = re.compile(f"([{_UNSPACED}]+)|[^{_UNSPACED}]+")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 _LEAKS = "array<struct<item_id: bigint, score: double, question: double, answer: double, first_word: bigint>>"
 
 
@@ -53,12 +67,27 @@ class Thresholds:
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    plain = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
-    return plain.translate(_WORD).split()
+    if text.isascii():
+        return text.lower().translate(_WORD).split()
+    plain = text.decode("utf-8", "replace").lower()
+    words = _WORDS.findall(plain)
+    if _HAS_UNSPACED.search(plain):
+        words = [part for word in words for part in _parts(word)]
+    return "\n".join(words).encode().split(b"\n") if words else []
+
+
+def _parts(word: str) -> Iterator[str]:
+    """A word as it is, but runs without blanks as pairs of neighbouring characters."""
+    for run in _RUNS.finditer(word):
+        part = run[0]
+        if run[1] and len(part) > 1:
+            yield from (part[i : i + 2] for i in range(len(part) - 1))
+        else:
+            yield part
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
-    sentences = [terms_of(s.encode()) for s in re.split(r"(?<=[.!?])\s+", text)]
+    sentences = [terms_of(s.encode()) for s in _SENTENCE_END.split(text)]
     sentences = [s for s in sentences if s]
     if len(sentences) > 1:
         return [w for s in sentences[:-1] for w in s], sentences[-1]
@@ -72,17 +101,35 @@ def sequences(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with a term: their number, mean and largest length, and the items that hold each term."""
+
+    items: int
+    mean: float
+    longest: int
+    often: dict[bytes, int]
+
+
+def statistics_of(words: list[list[bytes]]) -> Statistics:
+    often = Counter(w for own in words for w in set(own))
+    return Statistics(
+        len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), often
+    )
+
+
 class Index:
     """Impact lists of a shard of items, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], blocks: int = 32):
+    def __init__(self, items: list[tuple[int, str]], blocks: int = 32, every: Statistics | None = None):
+        """``every`` tells of all items; without it these are all."""
         cut = [(item, *question_and_answer(text or "")) for item, text in items]
         cut = [x for x in cut if x[1] or x[2]]
         self.items = [x[0] for x in cut]
         self.parts = [(q, a) for _, q, a in cut]
         words = [q + a for q, a in self.parts]
-        self.longest = max(map(len, words), default=0)
-        mean = sum(map(len, words)) / max(1, len(words))
+        every = every or statistics_of(words)
+        self.longest, mean = every.longest, every.mean
         lists: dict[bytes, list[tuple[int, float]]] = {}
         for i, own in enumerate(words):
             norm = K1 * (1 - B + B * len(own) / mean)
@@ -93,8 +140,8 @@ class Index:
         self.item_of = [[i for i, _ in found] for found in lists.values()]
         total = np.zeros(max(1, len(words)))
         raw = []
-        for found in lists.values():
-            idf = np.log(1 + (len(words) - len(found) + 0.5) / (len(found) + 0.5))
+        for word, found in lists.items():
+            idf = np.log(1 + (every.items - every.often[word] + 0.5) / (every.often[word] + 0.5))
             raw.append([(i, idf * w) for i, w in found])
             for i, w in raw[-1]:
                 total[i] += w
@@ -239,15 +286,31 @@ def _finder(index: Index, limits: Thresholds) -> Callable[[], Callable[[list[byt
     return lambda: leaks
 
 
-def item_shards(items: DataFrame, item_id: str, text: str, shard: int) -> list[list[tuple[int, str]]]:
-    """The items in shards, one of which is on the driver at a time."""
+def _item_terms() -> Callable[[list[bytes]], list]:
+    def work(texts: list[bytes]) -> list:
+        cut = [question_and_answer(t.decode("utf-8", "replace")) for t in texts]
+        words = [q + a for q, a in cut]
+        return [pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))]
+
+    return work
+
+
+def item_shards(items: DataFrame, item_id: str, text: str, shard: int) -> Iterator[Index]:
+    """An index for each shard of items, whose items and terms are on the driver one shard at a time."""
     slim = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    n = slim.count()
-    shards = -(-n // shard) or 1
-    part = slim.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    rows = per_text(slim, _item_terms, "n bigint, terms array<binary>", ["id", "text"])
+    rows = settle(rows.filter("n > 0"), "items")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    shards = -(-total["n"] // shard) or 1
+    part = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    often = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    often = settle(often, "often") if shards > 1 else often
     for k in range(shards):
-        rows = part.filter(F.col("part") == k).orderBy("id", "text").collect()
-        yield [(r["id"], r["text"]) for r in rows]
+        own = part.filter(F.col("part") == k)
+        terms = often.join(own.select(F.explode("terms").alias("term")).distinct(), "term") if shards > 1 else often
+        known = {bytes(r["term"]): r["often"] for r in terms.collect()}
+        every = Statistics(total["n"], total["mean"] or 0.0, total["longest"] or 0, known)
+        yield Index([(r["id"], r["text"]) for r in own.orderBy("id", "text").collect()], every=every)
 
 
 def find_leaks(
@@ -263,8 +326,8 @@ def find_leaks(
     """Each row with ``leaks``, the items that its text holds, best passage of each."""
     carried = [*keep, *({text} - set(keep))]
     found = df.select(*carried).withColumn("leaks", F.array().cast(_LEAKS))
-    for rows in item_shards(items, item_id, item_text, shard):
-        more = per_text(found, _finder(Index(rows), limits), f"_more {_LEAKS}", [*carried, "leaks"], text, 2 << 20)
+    for index in item_shards(items, item_id, item_text, shard):
+        more = per_text(found, _finder(index, limits), f"_more {_LEAKS}", [*carried, "leaks"], text, 2 << 20)
         found = more.select(*carried, F.concat("leaks", "_more").alias("leaks"))
     return found.select(*keep, "leaks")
 

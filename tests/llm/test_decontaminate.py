@@ -71,6 +71,35 @@ def test_copied_items_are_found_and_shards_agree(spark, docs, items):
         assert all(r.score > 0.99 and r.question == r.answer == 1 for r in found)
 
 
+def test_shards_change_no_result(spark, docs, items):
+    """Partial copies around the threshold, with each item's first words or last ones changed."""
+    rnd, rows = random.Random(4), []
+    for r in items.collect():
+        words = r.text.split()
+        for share in (0.2, 0.35, 0.5):
+            n = int(share * len(words))
+            rows += [" ".join(words[n:]) + " new text here", "some lead " + " ".join(rnd.sample(words, n) + words[n:])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    loose = Thresholds(score=0.5, question=0.2, answer=0.2)
+    found = []
+    for shard in (20_000, 7, 1):
+        leaks = leak_rows(find_leaks(df, items.limit(20), ["doc_id"], shard=shard, limits=loose), ["doc_id"]).collect()
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.question, r.answer, r.first_word) for r in leaks))
+    assert found[0] == found[1] == found[2] and 20 < len(found[0]) < len(rows)
+
+
+def test_items_in_scripts_without_blanks(spark):
+    item = "\u6c34\u5728\u591a\u5c11\u5ea6\u6cb8\u817e\uff1f\u5728\u6807\u51c6\u6c14\u538b\u4e0b\u662f\u4e00\u767e\u6444\u6c0f\u5ea6\u3002"
+    other = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427"
+    quoted = "What is \u201cwater\u201d made of? It\u2019s hydrogen\u00a0and oxygen."
+    items = spark.createDataFrame([(1, item), (2, quoted)], "item_id bigint, text string")
+    rows = [(1, other * 5 + item.rstrip("\u3002") + other * 5), (2, other * 9), (3, "so: " + quoted.upper().replace("\u2019", "'") + " ok")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = leak_rows(find_leaks(df, items, ["doc_id"]), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (3, 2)]
+    assert terms_of("a\u4e2d\u6587\u5b57b \u201cc\u201d_d".encode()) == ["a".encode(), "\u4e2d\u6587".encode(), "\u6587\u5b57".encode(), b"b", b"c", b"d"]
+
+
 def test_odd_rows_and_items(spark, odd, none):
     texts = [(1, "The quick brown fox jumps over it."), (2, None), (3, ""), (None, "?!"), (4, "lorem ipsum")]
     items = spark.createDataFrame(texts, "item_id bigint, text string")
