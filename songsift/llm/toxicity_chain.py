@@ -6,6 +6,11 @@ training these are out-of-fold predictions: each row's come from models that
 have not seen it, so a later model meets earlier probabilities as uncertain as
 they will be on new texts.
 
+The categories before the last one, the label, are learned as well: the words that
+tell toxic rows best fall into ``Settings.kinds`` groups of words that occur
+together, and a toxic row is of each kind of which it has a word.  No word is
+given in advance; a caller may give kinds by their words.
+
 Training uses a bounded sample of labelled rows, ``Settings.rows`` of each value
 of the last category, and the ``Settings.words`` words that tell the categories
 apart most clearly.  The threshold is the one with the best F1 on the
@@ -32,16 +37,9 @@ from songsift.llm.batches import first_of_each, per_text
 from songsift.llm.decontaminate import terms_of
 from songsift.session import settle
 
-# Words that tell the kind of a toxic text.
-LEXICON = {
-    "insult": ["clown", "fool", "idiot", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "garbage", "pathetic", "scum", "trash", "worthless"],
-}
-
-
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` of each label and ``words`` bound what the driver sees."""
+    """``rows`` of each label and ``words`` bound what the driver sees; the ``kinds`` come from ``strongest`` words."""
 
     rows: int = 3000
     words: int = 4096
@@ -50,6 +48,8 @@ class Settings:
     folds: int = 5
     penalty: float = 0.05
     steps: int = 40
+    kinds: int = 2
+    strongest: int = 64
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def labelled_sample(labels: DataFrame, id_column: str, label: str, settings: Set
     """``settings.rows`` ids of each label, chosen by a hash of the id."""
     one = (
         labels.select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_label"))
-        .filter("_id is not null and _label is not null")
+        .filter("_id is not null and _label in (0, 1)")
         .groupBy("_id")
         .agg(F.max("_label").alias("_label"))
     )
@@ -219,6 +219,42 @@ def telling_words(sample: DataFrame, settings: Settings) -> list[str]:
     return [r["word"] for r in rows.orderBy(F.desc("g"), "word").limit(settings.words).collect()]
 
 
+def word_groups(words: list[np.ndarray], toxic: np.ndarray, strongest: list[int], groups: int) -> list[list[int]]:
+    """The ``strongest`` words that speak for toxic rows, in groups of words that occur together in them.
+
+    The first group starts with the most common word, each further one with the
+    word that is least often found with the words that started the others.  Then
+    every word joins the group whose words it is found with most, until none moves.
+    """
+    at = {w: i for i, w in enumerate(strongest)}
+    has = np.zeros((len(words), len(strongest)))
+    for row, own in enumerate(words):
+        has[row, [at[w] for w in own.tolist() if w in at]] = 1
+    for_, against = has[toxic].sum(axis=0), has[~toxic].sum(axis=0)
+    kept = np.flatnonzero(for_ / max(1, toxic.sum()) > against / max(1, (~toxic).sum()))
+    if len(kept) < groups or groups < 1:
+        return []
+    rows = has[toxic][:, kept]
+    size = np.sqrt(rows.sum(axis=0))
+    together = rows.T @ rows / np.outer(size, size)
+    np.fill_diagonal(together, 0)
+    starts = [int(size.argmax())]
+    while len(starts) < groups:
+        nearest = together[:, starts].max(axis=1)
+        nearest[starts] = np.inf
+        starts.append(int(nearest.argmin()))
+    group = together[:, starts].argmax(axis=1)
+    group[starts] = np.arange(groups)
+    for _ in range(20):
+        means = np.stack([together[:, group == g].sum(axis=1) / max(1, (group == g).sum()) for g in range(groups)], 1)
+        new = means.argmax(axis=1)
+        new[starts] = np.arange(groups)
+        if (new == group).all():
+            break
+        group = new
+    return [[strongest[kept[i]] for i in np.flatnonzero(group == g)] for g in range(groups)]
+
+
 class Chain:
     def __init__(self, categories: list[str], words: list[str], models: list[np.ndarray], threshold: float):
         self.categories, self.models, self.threshold = categories, models, threshold
@@ -239,12 +275,14 @@ def train_chain(
     id_column: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    kinds: dict[str, list[str]] = LEXICON,
+    kinds: dict[str, list[str]] | None = None,
     settings: Settings = Settings(),
 ) -> Chain:
-    """A chain of the ``kinds`` of toxic texts and, last, of ``label`` itself.
+    """A chain of the kinds of toxic texts and, last, of ``label`` itself, 1 for toxic and 0 for others.
 
     A text is of a kind if it is labelled toxic and has one of the kind's words.
+    The kinds are learned, or given by their words.  Without enough telling words
+    the label alone is left.
     """
     # At most twice ``settings.rows`` rows.
     sample = F.broadcast(labelled_sample(labels, id_column, label, settings))
@@ -261,11 +299,22 @@ def train_chain(
     words = telling_words(distinct, settings)
     number = {w: i for i, w in enumerate(words)}
     vocabulary = F.array(*map(F.lit, words)) if words else F.array().cast(T.ArrayType(T.StringType()))
-    flags = [F.arrays_overlap("_words", F.array(*map(F.lit, own))).alias(kind) for kind, own in kinds.items()]
-    seen = distinct.select("_hash", "_label", F.array_intersect("_words", vocabulary).alias("_seen"), *flags)
+    named = sorted({w for own in (kinds or {}).values() for w in own})
+    given = F.array(*map(F.lit, named)) if named else F.array().cast(T.ArrayType(T.StringType()))
+    seen = distinct.select(
+        "_hash", "_label", F.array_intersect("_words", vocabulary).alias("_seen"), F.array_intersect("_words", given).alias("_named")
+    )
     picked = seen.orderBy("_hash", "_label").collect()
-    targets = np.array([[bool(r["_label"] and r[k]) for k in kinds] + [bool(r["_label"])] for r in picked])
     ids = [np.array([number[w] for w in r["_seen"]], np.int64) for r in picked]
+    toxic = np.array([bool(r["_label"]) for r in picked], bool)
+    if kinds is None:
+        strongest = [i for i, w in enumerate(words) if not w.endswith("*")][: settings.strongest]
+        groups = word_groups(ids, toxic, strongest, settings.kinds)
+        kinds = {f"kind{g}": [words[i] for i in own] for g, own in enumerate(groups, 1)}
+        own_words = [set(r["_seen"]) for r in picked]
+    else:
+        own_words = [set(r["_named"]) for r in picked]
+    targets = np.array([[t and bool(has & set(kinds[k])) for k in kinds] + [t] for t, has in zip(toxic, own_words)], bool)
     models, threshold = fit_chain(ids, len(words), targets.reshape(len(picked), len(kinds) + 1), settings)
     chain = Chain([*kinds, label], words, models, threshold)
     # No text is toxic without evidence.

@@ -51,11 +51,52 @@ def test_held_out_rows(spark, sf_dir):
     labels = spark.read.parquet(f"{larger}/labels.parquet")
     chain = train_chain(docs, labels.filter("doc_id % 5 <> 0"))
     found = predict_toxicity(docs, chain, ["doc_id"])
-    assert found.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "toxic"]
+    assert found.columns == ["doc_id", "p_kind1", "p_kind2", "p_toxic", "toxic"]
     held = labels.filter("doc_id % 5 = 0").withColumnRenamed("toxic", "label")
     rows = found.join(held, "doc_id").collect()
     assert sum(r.toxic == bool(r.label) for r in rows) >= 0.9 * len(rows)
-    assert all(0 <= r[c] <= 1 for r in rows for c in ("p_insult", "p_contempt", "p_toxic"))
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("p_kind1", "p_kind2", "p_toxic"))
+
+
+def made_up(random, n):
+    """Toxic texts of two kinds, of words of no known language, among common words."""
+    common = [f"w{i}" for i in range(300)]
+    kinds = [[f"grr{i}" for i in range(6)], [f"zok{i}" for i in range(6)]]
+    rows = []
+    for i in range(n):
+        words = random.choice(common, 40).tolist()
+        kind = i % 4
+        if kind < 2:
+            words[5:5] = random.choice(kinds[kind], 3).tolist()
+        rows.append((i, " ".join(words), int(kind < 2), kind))
+    return rows
+
+
+def test_kinds_are_learned_from_the_labels(spark):
+    """The groups of words are those that occur together, and the chain tells the kinds apart in new texts."""
+    rows = made_up(np.random.default_rng(6), 900)
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, kind int")
+    chain = train_chain(df.filter("doc_id < 600"), df.filter("doc_id < 600").select("doc_id", "toxic"))
+    assert chain.categories == ["kind1", "kind2", "toxic"]
+    found = predict_toxicity(df, chain, ["doc_id", "kind"]).filter("doc_id >= 600").collect()
+    assert sum(r.toxic == (r.kind < 2) for r in found) >= 0.98 * len(found)
+    first = {r.kind for r in found if r.p_kind1 > 0.5}
+    second = {r.kind for r in found if r.p_kind2 > 0.5}
+    assert first | second == {0, 1} and not first & second
+
+
+def test_given_kinds(spark):
+    rows = made_up(np.random.default_rng(7), 400)
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, kind int")
+    chain = train_chain(df, df.select("doc_id", "toxic"), kinds={"growl": [f"grr{i}" for i in range(6)]})
+    found = predict_toxicity(df, chain, ["kind"]).collect()
+    assert chain.categories == ["growl", "toxic"]
+    assert all((r.p_growl > 0.5) == (r.kind == 0) for r in found)
+
+
+def test_labels_other_than_0_and_1_are_left_out(spark, docs):
+    labels = spark.createDataFrame([(1, 7), (2, 1), (3, -1), (4, 0)], "doc_id bigint, toxic int")
+    assert {r._id for r in labelled_sample(labels, "doc_id", "toxic", Settings()).collect()} == {2, 4}
 
 
 def test_odd_rows(spark, odd, none):
