@@ -44,8 +44,9 @@ from tokenizers.pre_tokenizers import Split
 from songsift.llm.batches import TEXT, pieces, texts_of
 from songsift.session import settle
 
-#: Bytes of text in a block.
-BLOCK = 16 << 20
+#: Bytes of text in a block, and for which there is a bucket of words; so the tasks
+#: keep their size however much text there is.
+BLOCK, BUCKET = 16 << 20, 8 << 20
 _LAST_LATIN = "ſ"
 
 
@@ -122,10 +123,14 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def _pack(numbers: np.ndarray, level: int = 1) -> bytes:
     """Small integers, byte plane by byte plane."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), level)
+
+
+#: Lists of words travel twice, so they are worth a higher level.
+_DENSE = 9
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -195,8 +200,8 @@ def split_blocks(df: DataFrame, keep: list[str], text: str, path: str, buckets:
             out = [("places", number, None, len(every), pack_places(rank[every]), None)]
             for bucket, members in by_bucket.items():
                 at = rank[[places[w] for w in members]]
-                spelled = zstandard.compress("\n".join(members).encode(), 3)
-                out.append(("list", number, bucket, len(members), _pack(at), spelled))
+                spelled = zstandard.compress("\n".join(members).encode(), _DENSE)
+                out.append(("list", number, bucket, len(members), _pack(at, _DENSE), spelled))
             return rows(list(zip(*out)))
 
         kept_types: list[pa.DataType] = []
@@ -225,7 +230,7 @@ def split_blocks(df: DataFrame, keep: list[str], text: str, path: str, buckets:
     )
 
 
-def encode_words(blocks: DataFrame, path: str) -> DataFrame:
+def encode_words(blocks: DataFrame, path: str, buckets: int) -> DataFrame:
     """For each list of words its places, and the number of ids of each word and the ids, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,18 +244,18 @@ def encode_words(blocks: DataFrame, path: str) -> DataFrame:
                 known.update(zip(new, encoder.ids(new)))
                 ids = [known[w] for w in found]
                 flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
-                out.append((block, data, _pack(np.array(list(map(len, ids)))), _pack(flat)))
+                out.append((block, data, _pack(np.array(list(map(len, ids))), _DENSE), _pack(flat, _DENSE)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in zip(*out)], ["block", "places", "counts", "ids"]
                 )
 
     lists = blocks.filter("kind = 'list'").select("block", F.col("at").alias("bucket"), "data", "words")
-    return lists.repartition("bucket").mapInArrow(run, "block bigint, places binary, counts binary, ids binary")
+    return lists.repartition(buckets, "bucket").mapInArrow(run, "block bigint, places binary, counts binary, ids binary")
 
 
 def assemble(
-    blocks: DataFrame, encoded: DataFrame, keep: list[str], path: str, out: dict[str, tuple], finish: Callable
+    blocks: DataFrame, encoded: DataFrame, keep: list[str], path: str, out: dict[str, tuple], finish: Callable, groups: int
 ) -> DataFrame:
     """Each text's ids and decoded text through ``finish(ids, decoded)``, which gives the fields of ``out``.
 
@@ -309,7 +314,7 @@ def assemble(
         *[F.lit(None).cast(types[c]).alias(c) for c in keep],
     )
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} {kind}" for c, (kind, _) in out.items()])
-    return own.union(lists).groupBy("block").applyInArrow(run, schema)
+    return own.union(lists).repartition(groups, "block").groupBy("block").applyInArrow(run, schema)
 
 
 def _whole(ids: np.ndarray, decoded: str) -> tuple:
@@ -341,9 +346,12 @@ def encode_texts(
     The split texts are written to the shared folder, since the word lists and
     the positions must belong together.
     """
-    spark = df.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = {"kind", "block", "at", "n", "data", "words", "counts", TEXT, "ids", "decoded", *_DIGESTS}
+    if clash := names & set(keep):
+        raise ValueError(f"rename {sorted(clash)} before keeping them")
+    size = df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+    buckets, groups = -(-size // BUCKET) or 1, 2 * -(-size // block) or 1
     blocks = settle(split_blocks(df, keep, text, path, buckets, block), "words")
-    encoded = encode_words(blocks, path)
+    encoded = encode_words(blocks, path, buckets)
     out, finish = (_DIGESTS, _digests) if digests else (_WHOLE, _whole)
-    return assemble(blocks, encoded, keep, path, out, finish)
+    return assemble(blocks, encoded, keep, path, out, finish, groups)

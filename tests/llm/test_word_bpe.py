@@ -49,6 +49,11 @@ def test_digests(odd, none, library):
     assert encode_texts(none, ["doc_id"], PATH).count() == 0
 
 
+def test_clashing_names_are_refused(odd):
+    with pytest.raises(ValueError):
+        encode_texts(odd, ["doc_id", "kind"], PATH)
+
+
 def test_places_survive_packing():
     places = np.array([0, 223, 224, 225, 8159, 8160, 8161, 70_000, 1 << 24, 5, 300])
     assert unpack_places(pack_places(places)).tolist() == places.tolist()
