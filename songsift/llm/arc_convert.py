@@ -2,8 +2,8 @@
 
 Archives are written by Spark's text writer and read whole by its binary reader,
 so any store that Spark knows will do.  An ARC file ends behind the record that
-takes it over ``FILE_BYTES``, a WARC file has at most ``FILE_RECORDS`` records; a
-single record may be of any length.
+takes it over ``FILE_BYTES``, a WARC file before it; a single record may be of any
+length.
 
 An ARC file begins with a version block whose lines name the version and the
 fields of the header lines: five in version 1, ten in version 2.  Records are
@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from songsift.llm.batches import PIECE
 from songsift.session import scratch_path, settle
 
 # Fixed values of the two ARC versions.
@@ -49,7 +50,6 @@ MIN_REVISIT = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of content that an archive file should have.
 FILE_BYTES = 16 << 20
-FILE_RECORDS = 4096
 
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _STAMP = "20200101000000"
@@ -251,10 +251,31 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.octet_length(http) + F.octet_length(payload), F.lit(line + line),
     )
     value = F.concat(head, http, payload).alias("value")
-    files = records.select(value).write.option("maxRecordsPerFile", FILE_RECORDS)
+    # A row is all of a file.
+    files = records.select(value).mapInArrow(_in_files, "value string").write.option("maxRecordsPerFile", 1)
     files.option("compression", "gzip").option("lineSep", line + line).text(path)
 
 
+def _in_files(batches: Iterator[pa.RecordBatch], size: int = FILE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Records joined to texts of about ``size`` bytes; one that is larger is a text of its own."""
+    held: list[str] = []
+    total = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(held)])], ["value"])
+
+    for batch in batches:
+        for value in batch.column("value"):
+            record = value.as_py()
+            if held and total + len(record) > size:
+                yield joined()
+                held, total = [], 0
+            held.append(record)
+            total += len(record)
+    if held:
+        yield joined()
+
+
 def parse_warc(data: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record."""
     at = 0
@@ -287,10 +308,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def number(text: str | None) -> int | None:
         return int(text) if text is not None else None
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int64()] + [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2
+        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), [*types, pa.int64(), pa.binary()])]
+        return pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in schema.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
-                rows = []
+                rows, held = [], 0
                 for head, block in parse_warc(_inflated(data), file):
                     http, payload = split_http(block)
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
@@ -304,11 +330,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         + (head["warc-date"], kind, size, digest, head.get("warc-refers-to", "").strip("<>") or None)
                         + (number(head.get("x-refers-to-page")), payload)
                     )
-                for at in range(0, len(rows), 256):
-                    types = [pa.string(), pa.int64()] + [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2
-                    types += [pa.int64(), pa.binary()]
-                    arrays = [pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), types)]
-                    yield pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in schema.split(", ")])
+                    held += len(block)
+                    if len(rows) == 256 or held > PIECE:
+                        yield table(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield table(rows)
 
     return _archives(spark, path).mapInArrow(run, schema)
 
