@@ -141,8 +141,8 @@ def chunks(batches: Iterator[pa.RecordBatch], longest: int, size: int = CHUNK) -
             plain, words = (text or b"").translate(_PLAIN).replace(b".", b" . "), [b"."]
             add([b"."], langs.setdefault(name, len(langs)))
             for part in slices(plain):
-                words = words[-longest + 1 :] + part.split()
-                new = words[-len(part.split()) :] if part.split() else []
+                new = part.split()
+                words = words[-longest + 1 :] + new
                 add(new, langs[name])
                 if n >= size:
                     yield close()
