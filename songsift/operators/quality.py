@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
