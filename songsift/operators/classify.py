@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from songsift.operators.features import index_vector, split_bucket
+from songsift.operators.forest import CountedForestClassifier
 from songsift.schemas import CLASSIFIER_FEATURES
 
 LABEL = "filtered_genre_index"
@@ -104,7 +105,7 @@ def random_forest(
     seed: int = 1,
 ) -> Pipeline:
     return _tree_pipeline(
-        RandomForestClassifier(
+        CountedForestClassifier(
             labelCol=label,
             featuresCol="indexedFeatures",
             numTrees=trees,

@@ -137,3 +137,21 @@ def test_genre_plan_end_to_end(spark):
     scores = dict(rows(table, "model", "accuracy"))
     assert set(scores) == {"mlp", "decision_tree", "random_forest"}
     assert scores["decision_tree"] > 0.95 and scores["random_forest"] > 0.95
+
+
+def test_forest_of_counted_rows_equals_a_forest_of_all_rows(spark):
+    """Rows that occur many times are counted: a tree draws as many rows, and the forest learns the same."""
+    from songsift.operators.forest import CountedForestModel
+
+    cells = spark.range(60).selectExpr("cast(id % 12 as double) / 12 as a", "cast(id % 5 as double) as c")
+    rows_ = cells.crossJoin(spark.range(50)).selectExpr(
+        "a", "c", "cast(case when c = 2 then 2 when a < 0.5 then 0 else 1 end as int) as y"
+    )
+    model = fit_random_forest(rows_, features=["a", "c"], label="y", trees=30)
+    forest = model.stages[-1]
+    assert isinstance(forest, CountedForestModel) and len(forest.nodes) == 30
+    assert accuracy(model.transform(rows_), "y") == 1.0
+    again = fit_random_forest(rows_.repartition(7), features=["a", "c"], label="y", trees=30)
+    assert all((p == q).all() for s, t in zip(forest.nodes, again.stages[-1].nodes) for p, q in zip(s, t))
+    few = fit_random_forest(rows_, features=["a", "c"], label="y", trees=30, min_instances=10_000)
+    assert all(len(feature) == 1 for feature, *_ in few.stages[-1].nodes)
