@@ -6,8 +6,8 @@
 2. ``word_counts`` adds up the lists of the training texts.  That covers all of
    them, and the most common words become the network's vocabulary.
 3. ``train`` starts the network on the driver, on a bounded sample.  Then every
-   task goes on with its share of the training texts, ``Settings.share`` of all
-   of them, and Spark averages the weights.
+   task goes on with its part of the training texts, all of them whole, and
+   Spark averages the weights.
 4. ``score_texts`` joins the counts back to the lists and reads each text from
    its first to its last word.  Texts go through the network side by side, a
    window of positions at a time, and each carries its state from one window
@@ -55,8 +55,8 @@ RESULT = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 @dataclass(frozen=True)
 class Settings:
-    """``documents`` of up to ``words`` bound the first training, of about ``updates`` windows; ``share`` is the
-    part of all training texts that the second one reads, one of so many, at a tenth of the rate."""
+    """``documents`` of up to ``words`` bound the first training, of about ``updates`` windows; the second one
+    reads all training texts, at a tenth of the rate."""
 
     classes: int = 64
     members: int = 64
@@ -67,8 +67,7 @@ class Settings:
     updates: int = 250
     lanes: int = 128
     rate: float = 0.01
-    share: int = 24
-    bytes_per_task: int = 2 << 20
+    bytes_per_task: int = 32 << 20
     seed: int = 3
 
 
@@ -483,15 +482,15 @@ def train(texts: DataFrame, corpus: Corpus, settings: Settings = Settings()) ->
     if not some:
         return network
     network.fit(some, settings.updates, settings.rate)
-    share = texts.filter(F.pmod(F.xxhash64("_id", F.lit(settings.seed)), F.lit(settings.share)) == 0).select(TEXT)
+    whole = texts.select(TEXT)
     # So many tasks that each has about the same text, as each sends all its weights.
-    size = share.agg(F.sum(F.octet_length(TEXT)).alias("n")).first()["n"] or 0
-    share = share.coalesce(-(-size // settings.bytes_per_task) or 1)
-    made = share.mapInArrow(_trainer(network, number), "part bigint, tokens bigint, weights array<float>")
+    size = whole.agg(F.sum(F.octet_length(TEXT)).alias("n")).first()["n"] or 0
+    whole = whole.coalesce(-(-size // settings.bytes_per_task) or 1)
+    made = whole.mapInArrow(_trainer(network, number), "part bigint, tokens bigint, weights array<float>")
     averaged = made.groupBy("part").applyInArrow(_sum_parts, "part bigint, tokens bigint, weights array<double>")
     averaged = averaged.orderBy("part").collect()
     if averaged:
-        # The start counts with its own tokens, so that a small share changes little.
+        # The start counts with its own tokens, so that few texts change little.
         start, more = sum(map(len, some)), averaged[0]["tokens"]
         flat, at = np.concatenate([r["weights"] for r in averaged]), 0
         for w in network.weights.values():

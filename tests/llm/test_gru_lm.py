@@ -162,3 +162,21 @@ def test_the_denominators_make_whole_distributions():
     corpus = Corpus(tokens=100, distinct=20, texts=10, common=[" ", "a"], counts=[10, 30])
     # The 18 words that are not common hold 60 tokens; each counts once more, and so does an unseen one.
     assert corpus.base == 121 and corpus.further == 60 + 18 + 1
+
+
+def test_every_training_text_moves_the_network(spark):
+    """The network learns from all training texts, not from a part of them."""
+    from songsift.llm.gru_lm import TEXT, train
+
+    texts = [(str(i), f"w{i % 7} w{i % 5} w{i % 3} w{i}".encode()) for i in range(60)]
+    common = [" ", *[f"w{i}" for i in range(10)]]
+    corpus = Corpus(300, 60, 60, common, [60] + [20] * 10)
+
+    def weights(some):
+        frame = spark.createDataFrame(some, f"_id string, {TEXT} binary").coalesce(1)
+        return np.concatenate([w.ravel() for w in train(frame, corpus, ONE).weights.values()])
+
+    ONE = Settings(classes=3, members=4, hidden=5, window=4, documents=1, words=30, updates=5, lanes=4)
+    whole = weights(texts)
+    left_out = [np.abs(weights(texts[:i] + texts[i + 1 :]) - whole).max() for i in (3, 17, 29, 48)]
+    assert min(left_out) > 0
