@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from songsift.operators.features import index_vector, split_bucket
 from songsift.operators.forest import CountedForestClassifier
 from songsift.schemas import CLASSIFIER_FEATURES
+from songsift.session import settle
 
 LABEL = "filtered_genre_index"
 
@@ -174,17 +175,29 @@ def cross_validate(
 
     The folds are drawn per row position, so ``train`` should be a settled
     table: a repeated task then draws the same folds.
+
+    For a forest, equal rows of a fold are counted once, before all fits: every
+    fit learns from the counts, and every score is weighted by them.
     """
-    return CrossValidator(
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
+    validator = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=grid or ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(
-            labelCol=label, predictionCol="prediction", metricName="accuracy"
-        ),
+        evaluator=evaluator,
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,
-    ).fit(train)
+    )
+    assembler, classifier = pipeline.getStages()[0], pipeline.getStages()[-1]
+    if not (isinstance(classifier, CountedForestClassifier) and isinstance(assembler, VectorAssembler)):
+        return validator.fit(train)
+    columns = [*dict.fromkeys([*assembler.getInputCols(), label])]
+    dealt = train.select(*columns, F.floor(F.rand(seed) * folds).cast("int").alias("_fold"))
+    counted = settle(dealt.groupBy(*columns, "_fold").agg(F.count(F.lit(1)).alias("_rows")), "dealt", spread=True)
+    evaluator.setWeightCol("_rows")
+    validator.setFoldCol("_fold")
+    stages = [*pipeline.getStages()[:-1], classifier.copy().setCounts("_rows")]
+    return validator.setEstimator(Pipeline(stages=stages)).fit(counted)
 
 
 def grid_search(

@@ -73,8 +73,18 @@ class CountedForestClassifier(RandomForestClassifier):
     trees grow a level at a time from histograms of the weights by node, feature,
     bin and class, which Spark brings together by tree.  Where most rows differ,
     or trees see only some of the features, this is the library's own fit.
+
+    With ``counts`` the rows come counted already, and that column holds how often
+    each occurs; the library's fit then gets each of them as often.
     """
 
+    #: The column of a counted dataset that holds how many rows each stands for.
+    counts: str | None = None
+
+    def setCounts(self, column: str | None) -> CountedForestClassifier:
+        self.counts = column
+        return self
+
     def _fit(self, dataset: DataFrame) -> Model:
         trees, features, label = self.getNumTrees(), self.getFeaturesCol(), self.getLabelCol()
         counts = (
@@ -85,17 +95,20 @@ class CountedForestClassifier(RandomForestClassifier):
             and not (self.isSet("weightCol") or self.getMinWeightFractionPerNode())
         )
         if not counts:
-            return super()._fit(dataset)
-        rows = dataset.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"))
-        counted = settle(rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "counted", spread=True)
+            return super()._fit(self._each(dataset))
+        often = F.col(self.counts) if self.counts else F.lit(1)
+        rows = dataset.select(
+            vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"), often.cast("long").alias("n")
+        )
+        counted = settle(rows.groupBy("x", "y").agg(F.sum("n").alias("n")), "counted", spread=True)
         found = counted.agg(
             F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"), F.max("y").alias("top"), F.first("x").alias("x")
         ).first()
         if not found["cells"] or found["rows"] < WORTH_COUNTING * found["cells"]:
-            return super()._fit(dataset)
+            return super()._fit(self._each(dataset))
         attributes = dataset.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
         nominal = {a["idx"] for a in attributes.get("nominal", [])}
-        edges = _edges(rows, counted, len(found["x"]), nominal, self.getMaxBins())
+        edges = _edges(counted, len(found["x"]), nominal, self.getMaxBins())
         classes = found["top"] + 1
         draw = _draw(edges, self.getSubsamplingRate(), trees, self.getSeed())
         keyed = counted.withColumn("key", F.xxhash64("x", "y"))
@@ -103,6 +116,10 @@ class CountedForestClassifier(RandomForestClassifier):
         nodes = self._grow(cells, edges, nominal, classes)
         return self._copyValues(CountedForestModel(edges, nodes, classes))
 
+    def _each(self, dataset: DataFrame) -> DataFrame:
+        """Each row as often as it was counted."""
+        return repeated(dataset, self.counts) if self.counts else dataset
+
     def _grow(self, cells: DataFrame, edges: list, nominal: set[int], classes: int) -> list[tuple[np.ndarray, ...]]:
         """All trees, one level after the other; only chosen splits come to the driver."""
         trees, dims = self.getNumTrees(), len(edges)
@@ -144,6 +161,11 @@ class CountedForestClassifier(RandomForestClassifier):
         return [_arrays(_pruned(g)) for g in grown]
 
 
+def repeated(counted: DataFrame, counts: str) -> DataFrame:
+    """The rows that a counted table stands for."""
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(counts).cast("int")))).drop("_copy")
+
+
 def _pruned(tree: dict) -> dict:
     """A split between two leaves of one prediction goes, as in the library's trees."""
     feature, child, stats = tree["feature"], tree["child"], tree["stats"]
@@ -161,7 +183,7 @@ def _arrays(tree: dict) -> tuple[np.ndarray, ...]:
     return np.array(tree["feature"]), np.array(tree["left"]), np.array(tree["child"]), share
 
 
-def _edges(rows: DataFrame, counted: DataFrame, dims: int, nominal: set[int], bins: int) -> list[np.ndarray]:
+def _edges(counted: DataFrame, dims: int, nominal: set[int], bins: int) -> list[np.ndarray]:
     """The upper ends of each feature's bins but the last: between all values if they are few, else quantiles.
 
     A category is its own bin.
@@ -181,7 +203,7 @@ def _edges(rows: DataFrame, counted: DataFrame, dims: int, nominal: set[int], bi
             edges[i] = np.arange(own[-1]) + 0.5 if i in nominal else (own[1:] + own[:-1]) / 2
     if many:
         at = [k / bins for k in range(1, bins)]
-        row = rows.agg(*[F.percentile_approx(F.get("x", F.lit(i)), at, 10_000).alias(f"q{i}") for i in many]).first()
+        row = repeated(counted, "n").agg(*[F.percentile_approx(F.get("x", F.lit(i)), at, 10_000).alias(f"q{i}") for i in many]).first()
         for i in many:
             edges[i] = np.unique(row[f"q{i}"])
     return edges

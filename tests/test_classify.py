@@ -155,3 +155,26 @@ def test_forest_of_counted_rows_equals_a_forest_of_all_rows(spark):
     assert all((p == q).all() for s, t in zip(forest.nodes, again.stages[-1].nodes) for p, q in zip(s, t))
     few = fit_random_forest(rows_, features=["a", "c"], label="y", trees=30, min_instances=10_000)
     assert all(len(feature) == 1 for feature, *_ in few.stages[-1].nodes)
+
+
+def test_cross_validation_counts_equal_rows_once(spark, monkeypatch):
+    """The fits get each different row of a fold once, and learn and score as from all rows."""
+    from songsift.operators.forest import CountedForestClassifier, CountedForestModel
+
+    seen = []
+    fit = CountedForestClassifier._fit
+    monkeypatch.setattr(
+        CountedForestClassifier, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows)
+    )
+    cells = spark.range(60).selectExpr("cast(id % 12 as double) / 12 as a", "cast(id % 5 as double) as c")
+    train = cells.crossJoin(spark.range(200)).selectExpr(
+        "a", "c", "cast(case when c = 2 then 2 when a < 0.5 then 0 else 1 end as int) as y"
+    )
+    model = cross_validate(train, random_forest(features=["a", "c"], label="y", trees=20), label="y", folds=3)
+    assert max(seen) <= 180 and len(seen) == 4
+    assert [r["accuracy"] for r in fold_metrics(train, model).collect()] == [1.0]
+    assert isinstance(model.bestModel.stages[-1], CountedForestModel)
+    assert model.bestModel.stages[-1].nodes[0][3].shape[1] == 3
+    # Too few equal rows to grow from counts: the library gets every row as often as it occurs.
+    few = cross_validate(train.limit(150), random_forest(features=["a", "c"], label="y", trees=3), label="y", folds=2)
+    assert len(few.avgMetrics) == 1 and not isinstance(few.bestModel.stages[-1], CountedForestModel)
