@@ -48,6 +48,15 @@ def write_staging_csv(df: DataFrame, path: str) -> None:
     df.select(*map(flat, df.schema)).write.mode("overwrite").options(**_CSV).csv(path)
 
 
+def _once(column: Column) -> Column:
+    """The same value, worked out once for a row.
+
+    Filters and projections above a generator are not pushed below it, so what they
+    use of the value does not parse the line again.
+    """
+    return F.explode(F.array(column))
+
+
 def read_staging_lines(
     spark: SparkSession, path: str, schema: T.StructType
 ) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +77,7 @@ def read_staging_lines(
         .select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_line"))
         .filter((F.col("_line") != header) & (F.col("_line") != ""))
     )
-    fields = lines.withColumn("_text", F.from_csv("_line", with_bad.simpleString(), options))
+    fields = lines.select("_file", "_line", _once(F.from_csv("_line", with_bad.simpleString(), options)).alias("_text"))
 
     def typed(field: T.StructField) -> Column:
         value = F.col(f"_text.`{field.name}`")
@@ -78,17 +87,18 @@ def read_staging_lines(
             return _unescaped(value)
         return value.try_cast(field.dataType)
 
+    values = fields.select("*", _once(F.struct(*[typed(f).alias(f.name) for f in schema])).alias("_typed"))
     wrong = [
-        F.when(F.col(f"_text.`{f.name}`").isNotNull() & typed(f).isNull(), F.lit(f.name))
+        F.when(F.col(f"_text.`{f.name}`").isNotNull() & F.col(f"_typed.`{f.name}`").isNull(), F.lit(f.name))
         for f in schema
     ]
-    read = fields.select(
+    read = values.select(
         "_file",
         "_line",
         F.when(F.col("_text._bad").isNotNull(), F.lit(f"not {len(schema)} fields"))
         .otherwise(F.nullif(F.concat(F.lit("wrong type: "), F.array_join(F.array(*wrong), ", ")), F.lit("wrong type: ")))
         .alias("_reason"),
-        *[typed(f).alias(f.name) for f in schema],
+        *[F.col(f"_typed.`{f.name}`").alias(f.name) for f in schema],
     )
     rejects = read.filter("_reason IS NOT NULL").select(
         F.col("_file").alias("file"), F.col("_line").alias("line"), F.col("_reason").alias("reason")

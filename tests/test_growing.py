@@ -217,3 +217,12 @@ def test_staging_lines_are_sound_or_rejected(spark, tmp_path):
     assert rows(sound) == rows(df)
     assert rows(rejects, "line", "reason") == sorted(bad, key=repr)
     assert all(f.startswith("file:") for (f,) in rows(rejects, "file"))
+
+
+def test_staging_lines_are_parsed_once(spark, tmp_path):
+    """What tells sound lines from others does not parse them again for each column."""
+    path = str(tmp_path / "staging")
+    write_staging_csv(spark.createDataFrame([song()], CATALOGUE), path)
+    for side in read_staging_lines(spark, path, CATALOGUE):
+        plan = plan_of(side)
+        assert plan.count("from_csv(") == 1 and plan.count("try_cast") <= len(CATALOGUE)
