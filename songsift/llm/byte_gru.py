@@ -291,4 +291,5 @@ def _predictor(network: Network | None, at_once: int = 2048) -> Callable[[], Cal
 
 def predict_language(df: DataFrame, network: Network | None, keep: list[str], text: str = "text") -> DataFrame:
     """``lang_pred`` and ``score``, the pooled probability of that language."""
-    return per_text(df, _predictor(network), "lang_pred string, score double", keep, text)
+    # Cutting a piece into segments takes many times its size.
+    return per_text(df, _predictor(network), "lang_pred string, score double", keep, text, size=1 << 20)

@@ -85,3 +85,13 @@ def test_sample_is_limited_before_the_shuffle(docs):
     assert plan.count("WindowGroupLimit") == 2
     small = training_sample(docs, "text", "lang", ["doc_id"], Settings(documents=5))
     assert {r["count"] for r in small.groupBy("_label").count().collect()} == {5}
+
+
+def test_texts_are_cut_into_segments_a_megabyte_at_a_time(monkeypatch):
+    """Segments take many times the size of their texts, so a task cuts few texts at once."""
+    from songsift.llm import byte_gru
+
+    sizes = {}
+    monkeypatch.setattr(byte_gru, "per_text", lambda *args, size=4 << 20: sizes.setdefault("size", size))
+    byte_gru.predict_language(None, None, ["doc_id"])
+    assert sizes["size"] == 1 << 20
