@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from songsift.operators.features import index_vector, split_bucket
-from songsift.operators.forest import CountedForestClassifier
+from songsift.operators.forest import WORTH_COUNTING, CountedForestClassifier
 from songsift.schemas import CLASSIFIER_FEATURES
 from songsift.session import settle
 
@@ -222,8 +222,18 @@ def grid_search(
     Rows are dealt to folds by a hash of their values, so equal rows share a fold
     and a repeated task deals them alike.  ``train`` should be settled.  Fits of
     different folds run side by side, as many as ``parallelism``.
+
+    Where many rows of a fold have equal features and label, they are counted once,
+    before all fits: every fit learns from the counts, every score is weighted by them.
     """
     dealt = train.withColumn("_fold", split_bucket(train.columns, folds))
+    columns = [*dict.fromkeys([*features, label])]
+    counted = dealt.groupBy(*columns, "_fold").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = settle(counted, "dealt", spread=True)
+    found = counted.agg(F.count(F.lit(1)).alias("cells"), F.sum("_rows").alias("rows")).first()
+    counts, often = None, F.lit(1)
+    if found["cells"] and found["rows"] >= WORTH_COUNTING * found["cells"]:
+        dealt, counts, often = counted, "_rows", F.col("_rows")
     sizes = sorted(set(trees))
     steps = [b - a for a, b in zip([0, *sizes], sizes)]
 
@@ -238,14 +248,15 @@ def grid_search(
                 features, label, more, max_depth=depth, max_bins=width, seed=seed + i, **settings
             )
             forest.getStages()[-1].setRawPredictionCol(f"_votes{i}").setProbabilityCol("").setPredictionCol("")
+            forest.getStages()[-1].setCounts(counts)
             kept = scored.columns
             scored = forest.fit(learn).transform(scored).select(*kept, f"_votes{i}")
             own = vector_to_array(f"_votes{i}")
             votes = own if votes is None else F.zip_with(votes, own, lambda a, b: a + b)
             # The first of the classes with most votes, as in the model's own prediction.
             best = F.array_position(votes, F.array_max(votes)) - 1
-            hits.append(F.count_if(best == F.col(label)).alias(f"hits{i}"))
-        return scored.agg(F.count(F.lit(1)).alias("rows"), *hits).first()
+            hits.append(F.sum(F.when(best == F.col(label), often).otherwise(0)).alias(f"hits{i}"))
+        return scored.agg(F.sum(often).alias("rows"), *hits).first()
 
     jobs = list(product(depths, bins, range(folds)))
     with ThreadPool(min(parallelism, len(jobs))) as pool:

@@ -178,3 +178,27 @@ def test_cross_validation_counts_equal_rows_once(spark, monkeypatch):
     # Too few equal rows to grow from counts: the library gets every row as often as it occurs.
     few = cross_validate(train.limit(150), random_forest(features=["a", "c"], label="y", trees=3), label="y", folds=2)
     assert len(few.avgMetrics) == 1 and not isinstance(few.bestModel.stages[-1], CountedForestModel)
+
+
+def test_grid_counts_equal_rows_once(spark, monkeypatch):
+    """Every fit of the grid gets each different row of its folds once; the scores count all rows."""
+    from songsift.operators.forest import CountedForestClassifier
+
+    seen = []
+    fit = CountedForestClassifier._fit
+    monkeypatch.setattr(
+        CountedForestClassifier, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows)
+    )
+    cells = spark.range(60).selectExpr("cast(id % 12 as double) / 12 as a", "cast(id % 5 as double) as c")
+    train = cells.crossJoin(spark.range(100).withColumnRenamed("id", "song")).selectExpr(
+        "a", "c", "song", "cast(case when c = 2 then 2 when a < 0.5 then 0 else 1 end as int) as y"
+    )
+    options = dict(depths=(1, 4), bins=(16,), trees=(2, 4), folds=2, min_instances=1, parallelism=2)
+    table = grid_search(train, ["a", "c"], "y", **options)
+    assert len(seen) == 8 and max(seen) <= 60
+    assert {r["rows"] for r in table.collect()} == {6000}
+    assert (best_of_grid(table).first()["max_depth"], best_of_grid(table).first()["accuracy"]) == (4, 1.0)
+    # Some rows that differ: a label that is wrong for a few of the equal rows costs exactly their share.
+    wrong = train.withColumn("y", F.when((F.col("song") < 10) & (F.col("c") == 2), 0).otherwise(F.col("y")))
+    found = best_of_grid(grid_search(wrong, ["a", "c"], "y", **options)).first()
+    assert found["accuracy"] == pytest.approx(0.98, abs=0.005)
