@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from songsift.operators.features import split_bucket
+from songsift.operators.kmeans import CentersModel, fit_all
 from songsift.session import settle
 
 
@@ -25,8 +23,8 @@ def fit_kmeans(
     features: str = "scaledFeatures",
     seed: int = 1,
     prediction: str = "prediction",
-) -> KMeansModel:
-    return KMeans(k=k, featuresCol=features, predictionCol=prediction, seed=seed).fit(df)
+) -> CentersModel:
+    return CentersModel(fit_all(df, [k], features, seed)[k], features, prediction)
 
 
 def fit_many(
@@ -35,18 +33,15 @@ def fit_many(
     features: str = "scaledFeatures",
     seed: int = 1,
     parallelism: int = 1,
-) -> tuple[DataFrame, dict[int, KMeansModel], dict[int, float]]:
+) -> tuple[DataFrame, dict[int, CentersModel], dict[int, float]]:
     """``df`` with the cluster ``k<k>`` for each k, the models, and the silhouettes.
 
-    ``df`` should be settled, since every fit reads it.  The clusters are settled
-    here, so that no score assigns the rows again.
+    ``df`` should be settled, since it is read more than once.  All fits take the
+    same passes over the points, so ``parallelism`` changes nothing.  The clusters
+    are settled here, so that no score assigns the rows again.
     """
-
-    def fit(k: int) -> KMeansModel:
-        return fit_kmeans(df, k, features, seed, f"k{k}")
-
-    with ThreadPool(min(parallelism, len(ks))) as pool:
-        models = dict(zip(ks, pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)))
+    centers = fit_all(df, ks, features, seed)
+    models = {k: CentersModel(centers[k], features, f"k{k}") for k in ks}
     assigned = df
     for model in models.values():
         assigned = model.transform(assigned)
@@ -167,7 +162,7 @@ def sweep_k(
     features: str = "scaledFeatures",
     seed: int = 1,
     parallelism: int = 1,
-) -> tuple[DataFrame, dict[int, KMeansModel]]:
+) -> tuple[DataFrame, dict[int, CentersModel]]:
     """``k, silhouette`` for each k, and the fitted models for later use."""
     _, models, scores = fit_many(df, ks, features, seed, parallelism)
     for model in models.values():
@@ -180,7 +175,7 @@ def best_k(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("silhouette"), "k").limit(1)
 
 
-def cluster_centers(df: DataFrame, model: KMeansModel, features: list[str]) -> DataFrame:
+def cluster_centers(df: DataFrame, model: CentersModel, features: list[str]) -> DataFrame:
     """Centres as rows of ``cluster, feature, value``, in the units of the model."""
     rows = [
         (cluster, name, float(value))
@@ -190,7 +185,7 @@ def cluster_centers(df: DataFrame, model: KMeansModel, features: list[str]) -> D
     return df.sparkSession.createDataFrame(rows, "cluster int, feature string, value double")
 
 
-def attach_predictions(df: DataFrame, model: KMeansModel) -> DataFrame:
+def attach_predictions(df: DataFrame, model: CentersModel) -> DataFrame:
     """Every row with its cluster; the model passes all other columns through."""
     return model.transform(df)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from songsift.functions.lists import parse_list
 from songsift.operators.clusters import fit_many, silhouette
+from songsift.operators.kmeans import CentersModel
 from songsift.operators.joins import lookup
 from songsift.operators.quality import drop_na
 from songsift.operators.ranks import number_rows
@@ -230,12 +230,12 @@ def artist_sweep(
     features: str = "scaledFeatures",
     seed: int = 1,
     parallelism: int = 1,
-) -> tuple[DataFrame, dict[int, KMeansModel]]:
+) -> tuple[DataFrame, dict[int, CentersModel]]:
     """The scores of ``evaluate_clusters`` for several k, and the models.
 
     All k are scored in one pass over the known pairs, and their silhouettes are
     taken together.  ``artists`` should be
-    settled, since every fit reads it.
+    settled, since it is read more than once.
     """
     assigned, models, silhouettes = fit_many(
         artists.select("artist_id", features), ks, features, seed, parallelism

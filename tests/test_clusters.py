@@ -134,3 +134,28 @@ def test_playlist_plan_end_to_end(songs):
     assert sweep.count() == 2
     assert {"song_id", "title", "tempo", "prediction"} <= set(clustered.columns)
     assert clustered.count() == 9
+
+
+def test_all_fits_share_their_passes(blobs, monkeypatch):
+    """Several k take as many passes over the points as one; the centres are those of the library."""
+    from pyspark.ml.clustering import KMeans
+
+    from songsift.operators.clusters import fit_many
+
+    passes = []
+    run = type(blobs).mapInArrow
+    monkeypatch.setattr(type(blobs), "mapInArrow", lambda df, *a, **k: passes.append(1) or run(df, *a, **k))
+    _, models, _ = fit_many(blobs, [2, 3, 4, 5, 6, 7])
+    # One point, two rounds of cost and draw, weights, up to 20 iterations, two passes of the silhouettes.
+    assert 8 < len(passes) <= 28
+    library = KMeans(k=4, featuresCol="scaledFeatures", seed=1).fit(blobs)
+    ours, theirs = (sorted(map(tuple, m.clusterCenters())) for m in (models[4], library))
+    assert ours == [pytest.approx(c) for c in theirs]
+    assert [len(m.clusterCenters()) for m in models.values()] == [2, 3, 4, 5, 6, 7]
+
+
+def test_fewer_different_points_than_clusters(spark):
+    points = assemble(spark.range(50).selectExpr("cast(id % 3 as double) as x"), ["x"], "scaledFeatures")
+    model = fit_kmeans(points, 5)
+    assert sorted(c[0] for c in model.clusterCenters()) == [0.0, 1.0, 2.0]
+    assert rows(cluster_sizes(attach_predictions(points, model)), "count") == [(16,), (17,), (17,)]
