@@ -9,7 +9,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from songsift.operators.features import index_vector, split_bucket
 from songsift.operators.forest import WORTH_COUNTING, CountedForestClassifier
+from songsift.operators.perceptron import CountedPerceptronClassifier
 from songsift.schemas import CLASSIFIER_FEATURES
 from songsift.session import settle
 
@@ -40,7 +40,7 @@ def mlp(
     seed: int = 1234,
 ) -> Pipeline:
     """Multilayer perceptron with one input per feature and one output per class."""
-    network = MultilayerPerceptronClassifier(
+    network = CountedPerceptronClassifier(
         labelCol=label,
         featuresCol="features",
         layers=[len(features), *hidden, classes],

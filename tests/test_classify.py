@@ -202,3 +202,23 @@ def test_grid_counts_equal_rows_once(spark, monkeypatch):
     wrong = train.withColumn("y", F.when((F.col("song") < 10) & (F.col("c") == 2), 0).otherwise(F.col("y")))
     found = best_of_grid(grid_search(wrong, ["a", "c"], "y", **options)).first()
     assert found["accuracy"] == pytest.approx(0.98, abs=0.005)
+
+
+def test_perceptron_of_counted_rows_is_the_networks_own(spark, monkeypatch):
+    """Rows that occur many times are counted; the weights found from them make the library's model."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    given = []
+    fit = MultilayerPerceptronClassifier._fit
+    monkeypatch.setattr(
+        MultilayerPerceptronClassifier, "_fit", lambda self, rows: given.append(rows.count()) or fit(self, rows)
+    )
+    cells = spark.range(60).selectExpr("cast(id % 12 as double) / 12 as a", "cast(id % 5 as double) / 5 as c")
+    rows_ = cells.crossJoin(spark.range(20)).selectExpr(
+        "a", "c", "cast(case when c > 0.5 then 2 when a < 0.5 then 0 else 1 end as int) as y"
+    )
+    model = fit_mlp(rows_, features=["a", "c"], label="y", max_iter=100)
+    assert given == [1] and model.stages[-1].getLayers() == [2, 10, 10, 3]
+    assert accuracy(model.transform(rows_), "y") == 1.0
+    fit_mlp(cells.withColumn("y", F.lit(1)), features=["a", "c"], label="y", max_iter=1)
+    assert given == [1, 60]
