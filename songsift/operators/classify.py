@@ -300,16 +300,25 @@ def best_params(train: DataFrame, model: CrossValidatorModel) -> DataFrame:
 
 
 def compare_models(models: dict[str, Model], test: DataFrame, label: str = LABEL) -> DataFrame:
-    """Accuracy of several fitted models on the same test rows, in one pass over them."""
-    scored = test
+    """Accuracy of several fitted models on the same test rows.
+
+    Rows with equal features and label are counted once, and each model scores the
+    counts by itself, so no plan holds more than one model.
+    """
+    first = [model.stages[0] if isinstance(model, PipelineModel) else None for model in models.values()]
+    columns = test.columns
+    if all(isinstance(stage, VectorAssembler) for stage in first):
+        columns = [*dict.fromkeys([c for stage in first for c in stage.getInputCols()] + [label])]
+    counted = settle(test.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows")), "scored", spread=True)
+    table = []
     for name, model in models.items():
-        scored = model.transform(scored).withColumn(
-            f"hit_{name}", (F.col("prediction") == F.col(label)).cast("double")
-        )
-        scored = scored.select(*test.columns, *[c for c in scored.columns if c.startswith("hit_")])
-    wide = scored.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.avg(f"hit_{name}").alias(name) for name in models]
-    )
-    return wide.unpivot(["rows"], list(models), "model", "accuracy").select(
-        "model", "rows", "accuracy"
-    )
+        scored = model.transform(counted)
+        hit = F.col("prediction") == F.col(label)
+        found = scored.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+            F.sum(F.when(hit, F.col("_rows"))).alias("hits"),
+            F.sum(F.when(hit.isNotNull(), F.col("_rows"))).alias("known"),
+        ).first()
+        share = (found["hits"] or 0) / found["known"] if found["known"] else None
+        table.append((name, found["rows"], share))
+    return test.sparkSession.createDataFrame(table, "model string, rows bigint, accuracy double")

@@ -222,3 +222,23 @@ def test_perceptron_of_counted_rows_is_the_networks_own(spark, monkeypatch):
     assert accuracy(model.transform(rows_), "y") == 1.0
     fit_mlp(cells.withColumn("y", F.lit(1)), features=["a", "c"], label="y", max_iter=1)
     assert given == [1, 60]
+
+
+def test_models_are_compared_on_counted_rows_one_at_a_time(spark, monkeypatch):
+    """Each model scores each different row once and by itself, and all rows count."""
+    from pyspark.ml import PipelineModel
+
+    seen = []
+    transform = PipelineModel.transform
+    monkeypatch.setattr(
+        PipelineModel, "transform", lambda self, rows: seen.append((rows.columns, rows.count())) or transform(self, rows)
+    )
+    test = spark.range(60).crossJoin(spark.range(5).withColumnRenamed("id", "song")).selectExpr(
+        "cast(id % 12 as double) / 12 as a", "song", "cast(id % 12 >= 6 as int) as y"
+    )
+    models = {name: fit_decision_tree(test, features=["a"], label="y", max_depth=depth) for name, depth in (("leaf", 0), ("tree", 3))}
+    wrong = test.withColumn("y", F.when((F.col("song") == 4) & (F.col("y") == 1), 0).otherwise(F.col("y")))
+    table = {r["model"]: (r["rows"], r["accuracy"]) for r in compare_models(models, wrong, "y").collect()}
+    assert seen == [(["a", "y", "_rows"], 18)] * 2
+    assert table["tree"] == (300, pytest.approx(0.9)) and table["leaf"][0] == 300
+    assert rows(compare_models(models, wrong.limit(0), "y")) == [("leaf", 0, None), ("tree", 0, None)]
