@@ -518,8 +518,9 @@ def kmeans_profile_total(spark, sf_dir):
 def artist_cluster_sweep(spark, sf_dir):
     """What must hold for each k, whatever the fit."""
     songs = catalogue(spark, sf_dir, *_ARTIST_COLUMNS, "song_id", "similar_artists")
-    sweep = compare_artist_clusterings(songs, parallelism=4)
-    total = artist_features(catalogue(spark, sf_dir, *_ARTIST_COLUMNS)).count()
+    found = settle(artist_features(songs), "features")
+    sweep = compare_artist_clusterings(songs, parallelism=4, artists=found)
+    total = found.count()
     size, average, largest = (
         F.col(c) for c in ("avgArtistsPerCluster", "avgPercent", "maxPercent")
     )

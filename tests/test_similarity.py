@@ -131,3 +131,17 @@ def test_artist_plan_end_to_end(spark):
     vectors = artist_vectors(songs)
     single, _ = artist_sweep(vectors, ground_truth(songs), [3])
     assert single.first()["avgPercent"] == 50.0
+
+
+def test_artist_vectors_read_the_songs_once(spark, songs):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        read.add(1)
+        return value
+
+    watched = songs.withColumn("duration", counted("duration"))
+    found = artist_vectors(watched).count()
+    assert read.value == songs.count()
+    assert found == artist_features(songs).count() > 0
