@@ -5,6 +5,8 @@ Every column is one SQL expression that Spark and DuckDB read the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,19 +73,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalogue(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def catalogue(
+    spark: SparkSession, sf_dir: str, *columns: str, of_part: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
     """The catalogue with the given columns (all of them if none are named).
 
     Every song has its order, customer, nation and part, so a table that no
-    column needs is not joined.
+    column needs is not joined.  ``of_part`` names columns that need a song's part
+    alone, and what to make of them: both are worked out on the rows of ``part``,
+    once for all songs of a part.
     """
-    columns = columns or tuple(COLUMNS)
+    columns, of_part = columns or tuple(COLUMNS), of_part or {}
     needed = {t for c in columns for t in COLUMNS[c][0].split()}
     songs = table(spark, sf_dir, "lineitem")
     for name, condition in _JOINS.items():
         if name in needed:
-            songs = songs.join(table(spark, sf_dir, name), F.expr(condition))
-    return songs.select(*[F.expr(COLUMNS[c][1]).alias(c) for c in columns])
+            joined = table(spark, sf_dir, name)
+            if name == "part":
+                joined = joined.withColumns({f"_{c}": F.expr(COLUMNS[c][1]) for c in of_part})
+                joined = joined.withColumns({f"_{c}": make(F.col(f"_{c}")) for c, make in of_part.items()})
+            songs = songs.join(joined, F.expr(condition))
+    return songs.select(*[(F.col(f"_{c}") if c in of_part else F.expr(COLUMNS[c][1])).alias(c) for c in columns])
 
 
 def artists(spark: SparkSession, sf_dir: str) -> DataFrame:

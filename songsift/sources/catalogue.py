@@ -101,16 +101,16 @@ def select_song_fields(df: DataFrame) -> DataFrame:
 
 
 def decode_text_columns(df: DataFrame) -> DataFrame:
-    """Read every binary column, and every array of binaries, as UTF-8 text."""
+    """Read every binary column, and every array of binaries, as UTF-8 text; other bytes are an error."""
 
     def decoded(field: T.StructField) -> Column:
         column = F.col(field.name)
         if isinstance(field.dataType, T.BinaryType):
-            return F.decode(column, "UTF-8").alias(field.name)
+            return F.validate_utf8(column.cast("string")).alias(field.name)
         if isinstance(field.dataType, T.ArrayType) and isinstance(
             field.dataType.elementType, T.BinaryType
         ):
-            return F.transform(column, lambda item: F.decode(item, "UTF-8")).alias(field.name)
+            return F.transform(column.cast("array<string>"), F.validate_utf8).alias(field.name)
         return column
 
     return df.select(*[decoded(field) for field in df.schema])

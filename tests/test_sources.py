@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from songsift.operators.counts import token_count
 from songsift.operators.quality import drop_missing
+from songsift.registry.ingesting import _records
 from songsift.schemas import CATALOGUE, SONG_GROUPS
 from songsift.session import ROWS_PER_FILE, scratch_path, settle, shared_folder, temporary
 from songsift.sources.catalogue import (
@@ -194,3 +195,14 @@ def test_stored_lists_are_parsed_late(spark, songs, tmp_path):
     assert "try_cast" not in plan_of(drop_missing(late.select("loudness", "beats_start")))
     early = read_catalogue(spark, str(tmp_path / "c"))
     assert rows(token_count(late, "artist_terms")) == rows(token_count(early, "artist_terms"))
+
+
+def test_terms_are_parsed_on_the_rows_of_part(spark, sf_dir):
+    plan = plan_of(_records(spark, sf_dir))
+    assert plan.index("Join") < plan.index("from_json")  # below the join, so not for each song
+
+
+def test_bytes_that_are_no_text_are_an_error(spark):
+    for broken in ([(bytearray(b"a\xff"), [])], [(None, [bytearray(b"a"), bytearray(b"\xc3")])]):
+        with pytest.raises(PySparkException):
+            decode_text_columns(spark.createDataFrame(broken, "a binary, b array<binary>")).collect()
