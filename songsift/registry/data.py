@@ -86,13 +86,18 @@ def catalogue(
     columns, of_part = columns or tuple(COLUMNS), of_part or {}
     needed = {t for c in columns for t in COLUMNS[c][0].split()}
     songs = table(spark, sf_dir, "lineitem")
-    for name, condition in _JOINS.items():
-        if name in needed:
-            joined = table(spark, sf_dir, name)
-            if name == "part":
-                joined = joined.withColumns({f"_{c}": F.expr(COLUMNS[c][1]) for c in of_part})
-                joined = joined.withColumns({f"_{c}": make(F.col(f"_{c}")) for c, make in of_part.items()})
-            songs = songs.join(joined, F.expr(condition))
+    if "orders" in needed:
+        # Customer and nation are joined to the orders, which are fewer than the songs.
+        orders = table(spark, sf_dir, "orders")
+        for name in ("customer", "nation"):
+            if name in needed:
+                orders = orders.join(table(spark, sf_dir, name), F.expr(_JOINS[name]))
+        songs = songs.join(orders, F.expr(_JOINS["orders"]))
+    if "part" in needed:
+        part = table(spark, sf_dir, "part")
+        part = part.withColumns({f"_{c}": F.expr(COLUMNS[c][1]) for c in of_part})
+        part = part.withColumns({f"_{c}": make(F.col(f"_{c}")) for c, make in of_part.items()})
+        songs = songs.join(part, F.expr(_JOINS["part"]))
     return songs.select(*[(F.col(f"_{c}") if c in of_part else F.expr(COLUMNS[c][1])).alias(c) for c in columns])
 
 

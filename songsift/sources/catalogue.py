@@ -51,9 +51,11 @@ def _typed(field: T.StructField, target: T.DataType) -> Column:
     return column.alias(field.name)
 
 
-def write_catalogue(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write the catalogue as Parquet, replacing what is there."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def write_catalogue(
+    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite"
+) -> None:
+    """Write the catalogue as Parquet, replacing what is there or, with ``append``, adding to it."""
+    df.write.mode(mode).partitionBy(*partition_by).option("compression", "zstd").parquet(path)
 
 
 def write_by_artist(

@@ -1,10 +1,16 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from songsift import session
 from songsift.operators.enrich import EARTH_RADIUS_KM, enrich_country, enrich_tags
+from songsift.operators.joins import lookup_by_parts
+from songsift.plans import ingest
+from songsift.schemas import SONG_GROUPS
 from songsift.session import temporary
-from tests.conftest import rows
+from songsift.sources.catalogue import write_catalogue
+from tests.conftest import plan_of, rows
 
 
 def sphere(lat, lon):
@@ -75,3 +81,48 @@ def test_no_places_need_no_rounds(spark, songs):
         got = enrich_country(songs, none)
         assert got.filter("artist_country is not null").count() == 0 and got.count() == songs.count()
         assert len(session._open[-1]) <= 6
+
+
+def nested(songs):
+    return songs.select(*[F.struct(*names).alias(group) for group, names in SONG_GROUPS.items()])
+
+
+def test_ingest_shuffles_no_songs_and_keeps_nothing_on_the_way(spark, songs, tmp_path, monkeypatch):
+    """Country and tags are looked up for artists; the songs are only written, read and written."""
+    places = spark.createDataFrame([(1, 10.0, 21.0, "East")], "place_id int, lat double, lon double, country string")
+    tags = spark.createDataFrame([("Ann", ["rock", "a"])], "artist_name string, tags array<string>")
+    plans = []
+
+    def write(df, path, *args, **options):
+        plans.append(plan_of(df))
+        write_catalogue(df, path, *args, **options)
+
+    monkeypatch.setattr(ingest, "write_catalogue", write)
+    before = set(os.listdir(session.shared_folder(spark)))
+    # Small tables are broadcast anyway; without that songs would be shuffled.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = ingest.build_catalogue(nested(songs), places, tags, str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(os.listdir(session.shared_folder(spark))) == before
+    assert plans and all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+    want = enrich_tags(enrich_country(songs.drop("artist_genre"), places), tags)
+    assert built.columns[-2:] == ["artist_country", "artist_genre"]
+    assert rows(built, *sorted(want.columns)) == rows(want, *sorted(want.columns))
+
+
+def test_ingest_in_several_runs_equals_one(spark, songs, tmp_path, monkeypatch):
+    places = spark.createDataFrame([(1, 10.0, 21.0, "East")], "place_id int, lat double, lon double, country string")
+    tags = spark.createDataFrame([("Ann", ["rock", "a"])], "artist_name string, tags array<string>")
+    whole = rows(ingest.build_catalogue(nested(songs), places, tags, str(tmp_path / "one")))
+
+    def one_at_a_time(facts, dim, on, part):
+        return lookup_by_parts(facts, dim, on, part, at_once=1)
+
+    monkeypatch.setattr(ingest, "lookup_by_parts", one_at_a_time)
+    again = ingest.build_catalogue(nested(songs), places, tags, str(tmp_path / "many"))
+    assert rows(again) == whole and len(whole) == songs.count()
+    none = ingest.build_catalogue(nested(songs.limit(0)), places, tags, str(tmp_path / "none"))
+    assert none.count() == 0 and none.columns == again.columns

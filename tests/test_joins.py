@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from songsift.operators.joins import lookup
+from songsift.operators.joins import lookup, lookup_by_parts
 from tests.conftest import plan_of, rows
 
 
@@ -62,3 +62,33 @@ def test_hot_keys_are_split_even_if_their_rows_are_equal(spark, how):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("at_once, runs", [(1, 4), (40, 3), (10_000, 1)])
+def test_lookup_by_parts_equals_a_plain_join(spark, tmp_path, at_once, runs):
+    """Missing keys, NaN and both zeros too; parts that have too many rows are joined all the same."""
+    big = facts(spark).select(
+        F.when(F.col("row") % 7 == 0, F.lit(float("nan")))
+        .when(F.col("row") % 11 == 0, F.lit(-0.0))
+        .otherwise(F.col("k").cast("double"))
+        .alias("x"),
+        (F.col("row") % 5).cast("string").alias("name"),
+        "row",
+    )
+    big = big.withColumn("p", F.pmod(F.xxhash64("x", "name"), F.lit(4)).cast("int"))
+    big.write.partitionBy("p").parquet(str(tmp_path / "facts"))
+    stored = spark.read.parquet(str(tmp_path / "facts"))
+    dim = stored.select("x", "name", "p").distinct().withColumn("v", F.concat_ws("/", "x", "name"))
+    dim = dim.filter("name <> '3' OR name IS NULL")
+    frames = list(lookup_by_parts(stored, dim, ["x", "name"], "p", at_once))
+    assert len(frames) == runs
+    got = [row for frame in frames for row in rows(frame)]
+    assert all(frame.columns == ["x", "name", "row", "v"] for frame in frames)
+    want = stored.select("x", "name", "row", F.when(F.col("name") != "3", F.concat_ws("/", F.col("x") + 0.0, "name")))
+    assert sorted(got, key=repr) == rows(want)
+
+
+def test_lookup_by_parts_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "k bigint, p int, row bigint")
+    frames = list(lookup_by_parts(none, none.select("k", "p", F.lit("a").alias("v")), ["k"], "p"))
+    assert [f.columns for f in frames] == [["k", "row", "v"]] and frames[0].count() == 0

@@ -10,7 +10,7 @@ from songsift.operators.quality import drop_missing, drop_zero, missing_profile
 from songsift.operators.similarity import artist_features
 from songsift.plans.popularity import songs_per_year, sound_of_popular_terms
 from songsift.registry import load
-from songsift.registry.data import artists
+from songsift.registry.data import artists, catalogue
 from songsift.sources.catalogue import read_catalogue, write_catalogue
 from tests.conftest import plan_of
 
@@ -38,6 +38,15 @@ def test_count_reads_one_column_and_pushes_the_filter(stored):
     assert "partial_count" in plan
 
 
+def test_customers_are_joined_to_the_orders(spark, sf_dir):
+    """Which are fewer than the songs, so that the songs go through one shuffle less."""
+    plan = plan_of(catalogue(spark, sf_dir, "song_id", "artist_name", "artist_location", "title"))
+    assert plan.index("p_partkey") < plan.index("o_orderkey")
+    depth = {key: len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "FileScan" in line
+             for key in ("l_orderkey", "c_custkey", "n_nationkey", "p_partkey") if f"[{key}" in line}
+    assert depth["c_custkey"] > depth["l_orderkey"] > 0 and depth["n_nationkey"] > depth["l_orderkey"]
+
+
 def test_missing_filter_is_pushed(stored):
     plan = plan_of(drop_zero(drop_missing(stored.select("tempo", "title")), "tempo"))
     assert "IsNotNull(tempo)" in plan and "IsNotNull(title)" in plan

@@ -61,6 +61,21 @@ def test_staging_csv_is_lossless(spark, tmp_path):
     assert rows(read_staging_csv(spark, path, df.schema)) == rows(df)
 
 
+def test_packed_staging_csv_is_small_and_lossless(spark, tmp_path):
+    df = spark.range(30_000).select(
+        (F.col("id") % 3).cast("int").alias("p"),
+        F.concat(F.lit("a title, \"quoted\" "), F.col("id").cast("string")).alias("t"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("x"), F.lit("y\n"))).alias("l"),
+    )
+    write_staging_csv(df, str(tmp_path / "plain"))
+    write_staging_csv(df, str(tmp_path / "packed"), partition_by=("p",), packed=True)
+    back = read_staging_csv(spark, str(tmp_path / "packed"), df.schema)
+    assert back.schema.simpleString() == df.schema.simpleString() and rows(back) == rows(df)
+    sizes = [sum(f.stat().st_size for f in (tmp_path / d).rglob("*.csv*")) for d in ("plain", "packed")]
+    assert sizes[1] < sizes[0] / 2
+    assert "p=1" in "".join(back.filter("p = 1").inputFiles())
+
+
 def test_decode_text_columns(spark):
     df = spark.createDataFrame(
         [(bytearray("é".encode()), [bytearray(b"a"), None], 1, None)],
