@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from songsift.session import settle
 
-#: Rows of the looked-up side that are broadcast at once; about 150 MB for short texts.
+#: Rows of the looked-up side that are broadcast at once; by estimate 150 MB for short texts.
 ROWS_AT_ONCE = 500_000
 
 
